@@ -27,6 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import written
+
 OUTSIDE = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<[a-zA-Z/!?][^<>]*>", re.S | re.I)
 NOT_LETTER = re.compile(r"[\W\d_]+")
 WINDOW, MASK = 16, 63
@@ -124,7 +126,8 @@ def line_chunks(df: DataFrame, id_col: str, source_col: str, text_col: str) -> D
 
 def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, least: int = 6, salts: int = 8) -> DataFrame:
     """(id, line_no) of every occurrence of a line on `least` different documents or more of its source."""
-    chunks = line_chunks(df, id_col, source_col, text_col)
+    # written once: the counts and the candidates read it, and the letters are cut no second time
+    chunks = written(line_chunks(df, id_col, source_col, text_col), "chunks")
     # rows of one document may be repeated, so this count of documents is an upper bound: it rules out, no more
     often = chunks.filter("first").groupBy("chunk").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("chunk")
     often = often.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
