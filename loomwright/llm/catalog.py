@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dedup, encode, language, lines, pages
+from . import dedup, encode, garbled, language, lines, mix, pages
 from ..session import Query, table
 
 
@@ -47,7 +47,26 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode.decode(p8_ids(spark, d), "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded)}
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's blocks with their token ids and documents."""
+    return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the sources reached."""
+    return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restored(table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with what could be restored of their texts."""
+    return garbled.restored(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "restored_text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 _NORM = "regexp_replace(lower(url_decode(regexp_replace({x}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)', '\\1', 'g'))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 
