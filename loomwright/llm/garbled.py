@@ -342,7 +342,7 @@ def judge(text: str, counts: Counts, table: dict[str, str]) -> tuple[bool, str]:
             parts, last = [], 0
             for at, u, a, c in units_in(new):
                 letter = table.get(u)
-                if letter and letter != u:
+                if letter and letter != u and not (u in SIGNS and a == " " and c == " "):
                     own = counts.fits(a, u, c) if len(u) == 1 else 0.0
                     there = counts.fits(a, letter, c)
                     if (len(u) > 1 and (there > 0.02 or u in known_units()) or there > 8 * own + 0.5) and not mentioned(new, at, u):
