@@ -1,0 +1,71 @@
+"""robots.txt as rule tables, and which path an agent may fetch."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+# Agents of the verdict matrix and the AI agents among the known ones. Fixed values.
+AGENTS = ("*", "googlebot", "bingbot", "gptbot", "ccbot", "claudebot", "google-extended", "perplexitybot", "bytespider")
+AI_AGENTS = ("gptbot", "ccbot", "claudebot", "google-extended", "perplexitybot", "bytespider")
+TYPOS = {"useragent": "user-agent", "user agent": "user-agent", "dissallow": "disallow", "disalow": "disallow", "site-map": "sitemap", "crawldelay": "crawl-delay"}
+KNOWN = ("user-agent", "disallow", "allow", "sitemap", "crawl-delay", "host", "clean-param", "noindex")
+
+
+def parse(txt: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, agent, kind, value, warning): each directive under each agent of its group.
+
+    A group is a run of user-agent lines with the rules behind it; a blank line doesn't close it. Windows are over
+    the lines of one file. Null and empty files give none.
+    """
+    lines = txt.filter(F.length(text_col) > 0).select(id_col, F.posexplode(F.split(F.regexp_replace(text_col, "^﻿", ""), r"\r\n|\n|\r")).alias("line_no", "raw"))
+    lines = lines.withColumn("raw", F.trim(F.regexp_replace("raw", "#.*$", ""))).filter("raw <> ''")
+    key = F.lower(F.trim(F.regexp_extract("raw", "^([^:]*):", 1)))
+    fixed = key
+    for a, b in TYPOS.items():
+        fixed = F.when(key == a, F.lit(b)).otherwise(fixed)
+    d = lines.select(id_col, "line_no", fixed.alias("kind"), F.trim(F.regexp_extract("raw", "^[^:]*:(.*)$", 1)).alias("value"), key.alias("_key"))
+    w = Window.partitionBy(id_col).orderBy("line_no")
+    opens = (F.col("kind") == "user-agent") & (F.coalesce(F.lag("kind").over(w), F.lit("")) != "user-agent")
+    d = d.withColumn("grp", F.sum(opens.cast("int")).over(w))
+    agents = d.filter("kind = 'user-agent'").groupBy(id_col, "grp").agg(F.collect_set(F.lower("value")).alias("agents"))
+    warning = F.when(F.col("_key") != F.col("kind"), "misspelt").when(~F.col("kind").isin(*KNOWN), "unknown").when((F.col("kind") == "crawl-delay") & F.expr("try_cast(value AS double) IS NULL"), "not a number")
+    rules = d.filter("kind <> 'user-agent'").withColumn("warning", warning).join(agents, [id_col, "grp"], "left")
+    alone = F.col("kind").isin("sitemap", "host")
+    return rules.select(id_col, "line_no", F.explode(F.when(alone | F.col("agents").isNull(), F.array(F.lit("*"))).otherwise(F.col("agents"))).alias("agent"), "kind", "value", "warning")
+
+
+def rule_regex(pattern: Column) -> Column:
+    """* as any run of signs, $ at the end as the end, everything else literally, anchored at the start."""
+    open_end = F.regexp_replace(pattern, r"\$$", "")
+    quoted = F.regexp_replace(open_end, r"([\\.\[\]{}()+?^$|])", r"\\$1")
+    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*+", ".*"), F.when(pattern.endswith("$"), F.lit("$")).otherwise(F.lit("")))
+
+
+def specificity(pattern: Column) -> Column:
+    return F.length(F.regexp_replace(pattern, r"\$$", ""))
+
+
+def verdicts(paths: DataFrame, rules: DataFrame, agents: tuple[str, ...] = AGENTS, key: str = "host") -> DataFrame:
+    """(host, path, agent, allowed): the longest matching rule decides, ties allow; an agent without rules uses those of *.
+
+    paths: (host, path); rules: (host, agent, kind, value). Rules meet only paths of their own host (equi join), and
+    the matching rules are folded into two lengths before anything is collected.
+    """
+    own = rules.filter("kind in ('allow','disallow') and value <> ''").select(key, "agent", "kind", F.col("value").alias("pattern"))
+    has = rules.filter("kind in ('allow','disallow')").select(key, "agent").distinct()
+    a = paths.select(key, "path").distinct().withColumn("agent", F.explode(F.array(*map(F.lit, agents))))
+    a = a.join(has.withColumn("_own", F.lit(True)), [key, "agent"], "left").withColumn("_use", F.when(F.col("_own"), F.col("agent")).otherwise(F.lit("*")))
+    j = a.join(own.withColumnRenamed("agent", "_use"), [key, "_use"], "left")
+    hit = F.when(F.expr("path rlike pattern_re"), specificity(F.col("pattern")))
+    j = j.withColumn("pattern_re", rule_regex(F.col("pattern"))).withColumn("_len", hit)
+    best = j.groupBy(key, "path", "agent").agg(F.coalesce(F.max(F.when(F.col("kind") == "disallow", F.col("_len"))), F.lit(-1)).alias("d"), F.coalesce(F.max(F.when(F.col("kind") == "allow", F.col("_len"))), F.lit(-1)).alias("a"))
+    return best.select(key, "path", "agent", (F.col("d") <= F.col("a")).alias("allowed"))
+
+
+def ai_summary(rules: DataFrame, key: str) -> DataFrame:
+    """(key, n_ai_agents): AI agents with any rule of their own."""
+    return rules.filter(F.col("agent").isin(*AI_AGENTS)).groupBy(key).agg(F.count_distinct("agent").alias("n_ai_agents"))
+
+
+def fetch_policy(status: Column) -> Column:
+    return F.when(status == 0, "unreachable").when(status >= 500, "disallow all").when(status >= 400, "allow all").otherwise("parse")

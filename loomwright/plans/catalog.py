@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import nested
+from ..functions import texts as X, urls as U
+from ..operators import dom as D, graph as G, jsonld as J, metrics as M, nested, report as R, robots as B
+from ..streaming import flows as S
 from ..session import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -45,3 +47,588 @@ def p1_cwv_buckets(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p1_technical_checks(spark: SparkSession, d: str) -> DataFrame:
     return nested.pivot_group(_report_triples(spark, d), "report_id", "scores.seo.technical.checks", ["check", "status"])
+
+
+# ------------------------------------------------------------------------------------------- shared SQL
+
+_RE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '{U.EDGES}', '', 'g')"
+
+
+def _part(url: str, n: int) -> str:
+    return f"regexp_extract({_trim(url)}, '{_RE}', {n})"
+
+
+def _host(url: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({_part(url, 2)}, '^.*@', ''), ':\\d+$', ''))"
+
+
+def _path(url: str) -> str:
+    return f"CASE WHEN {_part(url, 3)} = '' THEN '/' ELSE {_part(url, 3)} END"
+
+
+def _segment(url: str) -> str:
+    s = f"regexp_extract({_path(url)}, '^/+([^/]+)', 1)"
+    return f"CASE WHEN {s} = '' THEN 'root' ELSE lower({s}) END"
+
+
+def _sql(**texts: str) -> None:
+    SQL.update(texts)
+
+
+# ------------------------------------------------------------------------------------------- addresses and pages
+
+
+def _crawl(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "crawl_pages")
+
+
+@_query
+def site_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the crawl: pages, titles and hosts of each first path segment."""
+    c = _crawl(spark, d).select(U.first_segment(F.col("url")).alias("cluster"), "host", F.length("title").alias("n"))
+    g = c.groupBy("cluster").agg(F.count("*").alias("n_pages"), F.count_distinct("host").alias("n_hosts"), F.round(F.avg("n"), 4).alias("mean_title"))
+    return g.filter("n_pages >= 2")
+
+
+@_query
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d).select("page_id", U.normalize(F.col("url")).alias("url_norm"), U.strip_tracking(F.col("url")).alias("url_clean"))
+
+
+@_query
+def url_structure(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d).select("page_id", *(c.alias(k) for k, c in U.structure(F.col("url")).items()))
+
+
+@_query
+def url_compare_canonical(spark: SparkSession, d: str) -> DataFrame:
+    c = _crawl(spark, d)
+    j = U.comparable(U.join(F.col("url"), F.col("canonical")))
+    return c.select("page_id", (U.comparable(F.col("url")) == j).alias("self_referencing"), F.when(F.col("canonical").isNull(), "missing").when(U.comparable(F.col("url")) == j, "match").otherwise("mismatch").alias("canonical_status"))
+
+
+@_query
+def host_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d).groupBy(U.host(F.col("url")).alias("url_host")).agg(F.count("*").alias("n_pages"), F.count_if(F.col("status") >= 400).alias("n_errors"), F.max("crawl_depth").alias("max_depth"))
+
+
+@_query
+def title_status(spark: SparkSession, d: str) -> DataFrame:
+    n = F.coalesce(F.length("title"), F.lit(0))
+    return _crawl(spark, d).groupBy(F.when(n == 0, "fail").when(n.between(30, 60), "pass").otherwise("warn").alias("title_status")).agg(F.count("*").alias("n_pages"))
+
+
+@_query
+def duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d).filter("title is not null").groupBy("host", "title").agg(F.count("*").alias("n_pages")).filter("n_pages > 1")
+
+
+@_query
+def raw_word_count(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the raw html without scripts, styles, tags and entities."""
+    t = F.regexp_replace("raw_html", r"(?s)<script.*?</script>|<style.*?</style>", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"&[a-zA-Z#0-9]+;", " ")
+    return _crawl(spark, d).filter("raw_html is not null").select("page_id", F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).cast("bigint").alias("n_words"))
+
+
+@_query
+def link_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of links in the raw html, read against the page, each once."""
+    c = _crawl(spark, d).select("page_id", "url", F.explode(F.regexp_extract_all("raw_html", F.lit(r'<a\s[^>]*href="([^"#]+)"'), F.lit(1))).alias("href"))
+    return c.select("page_id", "href").distinct()
+
+
+@_query
+def tag_frequency(spark: SparkSession, d: str) -> DataFrame:
+    c = _crawl(spark, d).select(F.explode(F.regexp_extract_all("raw_html", F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+    return c.groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@_query
+def html_size_ratio(spark: SparkSession, d: str) -> DataFrame:
+    t = F.regexp_replace("html", r"<[^>]*>", "")
+    return table(spark, d, "page_runs").filter("html is not null").select("run_id", F.octet_length("html").cast("bigint").alias("n_bytes"), F.length("html").cast("bigint").alias("n_chars"), F.length(t).cast("bigint").alias("n_text"))
+
+
+@_query
+def asset_inventory(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("bigint")
+    return table(spark, d, "page_runs").filter("html is not null").select("run_id", n(r"<img\b").alias("images"), n(r"<script\b").alias("scripts"), n(r"<link\b").alias("link_tags"), n(r'<img\b[^>]*alt=""').alias("empty_alt"), n(r"<a\b").alias("links"))
+
+
+_sql(
+    site_clusters=f"SELECT {_segment('url')} AS cluster, count(*)::BIGINT AS n_pages, count(DISTINCT host)::BIGINT AS n_hosts, round(avg(length(title)), 4) AS mean_title FROM crawl_pages GROUP BY 1 HAVING count(*) >= 2",
+    url_structure=f"""SELECT page_id, length(url)::BIGINT AS url_length, len(seg)::BIGINT AS n_segments, length(p) > 1 AND p LIKE '%/' AS trailing_slash, regexp_matches(p, '[A-Z]') AS has_uppercase,
+        regexp_matches(p, '[^a-zA-Z0-9/_.-]') AS has_special, contains(p, '//') AS double_slash, len(list_filter(seg, lambda x: regexp_matches(x, '^[a-z][a-z-]{{2,}}$')))::BIGINT AS keyword_segments,
+        (length(url) > 75)::BIGINT + regexp_matches(p, '[A-Z]')::BIGINT + regexp_matches(p, '[^a-zA-Z0-9/_.-]')::BIGINT + contains(p, '//')::BIGINT AS n_issues
+        FROM (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS seg FROM (SELECT page_id, url, {_path('url')} AS p FROM crawl_pages))""",
+    host_inventory=f"SELECT {_host('url')} AS url_host, count(*)::BIGINT AS n_pages, count(*) FILTER (status >= 400)::BIGINT AS n_errors, max(crawl_depth) AS max_depth FROM crawl_pages GROUP BY 1",
+    title_status="SELECT CASE WHEN coalesce(length(title), 0) = 0 THEN 'fail' WHEN length(title) BETWEEN 30 AND 60 THEN 'pass' ELSE 'warn' END AS title_status, count(*)::BIGINT AS n_pages FROM crawl_pages GROUP BY 1",
+    duplicate_titles="SELECT host, title, count(*)::BIGINT AS n_pages FROM crawl_pages WHERE title IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+    raw_word_count="""SELECT page_id, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(raw_html, '<script.*?</script>|<style.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), '\\s+'), lambda w: w <> ''))::BIGINT AS n_words FROM crawl_pages WHERE raw_html IS NOT NULL""",
+    link_extract="""SELECT DISTINCT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(raw_html, '<a\\s[^>]*href="([^"#]+)"', 1)) AS href FROM crawl_pages)""",
+    tag_frequency="SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(raw_html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM crawl_pages) GROUP BY 1",
+    html_size_ratio="SELECT run_id, strlen(html)::BIGINT AS n_bytes, length(html)::BIGINT AS n_chars, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS n_text FROM page_runs WHERE html IS NOT NULL",
+    asset_inventory="""SELECT run_id, len(regexp_extract_all(html, '<img\\b'))::BIGINT AS images, len(regexp_extract_all(html, '<script\\b'))::BIGINT AS scripts, len(regexp_extract_all(html, '<link\\b'))::BIGINT AS link_tags, len(regexp_extract_all(html, '<img\\b[^>]*alt=""'))::BIGINT AS empty_alt, len(regexp_extract_all(html, '<a\\b'))::BIGINT AS links FROM page_runs WHERE html IS NOT NULL""",
+)
+
+
+def _clean_sql(u: str) -> str:
+    names = ", ".join(f"'{x}'" for x in U.TRACKING)
+    keep = f"list_filter(string_split(substr({_part(u, 4)}, 2), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({names}))"
+    q = f"CASE WHEN len({keep}) > 0 THEN '?' || array_to_string({keep}, '&') ELSE '' END"
+    return f"(CASE WHEN {_part(u, 1)} = '' THEN '' ELSE {_part(u, 1)} || ':' END || CASE WHEN {_part(u, 2)} = '' THEN '' ELSE '//' || {_part(u, 2)} END || {_part(u, 3)} || {q} || {_part(u, 5)})"
+
+
+_sql(
+    url_normalize=f"""SELECT page_id, CASE WHEN regexp_matches(lower({_part('c', 3)}), '\\.(?:{'|'.join(U.BINARY)})$') THEN NULL ELSE lower({_part('c', 1)}) || '://' || lower({_part('c', 2)}) || ({_path('c')}) || {_part('c', 4)} END AS url_norm, k AS url_clean
+        FROM (SELECT page_id, {_clean_sql(_trim('url'))} AS c, {_clean_sql('url')} AS k FROM crawl_pages)""",
+)
+
+# ------------------------------------------------------------------------------------------- link graph
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.link_edges(_crawl(spark, d))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return G.nodes(_crawl(spark, d), _edges(spark, d))
+
+
+@_query
+def crawl_latest(spark: SparkSession, d: str) -> DataFrame:
+    return G.latest(_crawl(spark, d)).select("url", "page_id", "status")
+
+
+@_query
+def link_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.dedupe_edges(_edges(spark, d)).select("src", "dst", "follow", "internal", "n_links")
+
+
+@_query
+def degree_counts(spark: SparkSession, d: str) -> DataFrame:
+    return G.degrees(_edges(spark, d))
+
+
+@_query
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return G.pagerank(G.latest(_crawl(spark, d)), _edges(spark, d))
+
+
+@_query
+def pagerank_three_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return G.pagerank(G.latest(_crawl(spark, d)), _edges(spark, d), iterations=3)
+
+
+@_query
+def link_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Depth from the pages whose crawl depth is 0 or 1, four rounds at most."""
+    n = G.latest(_crawl(spark, d))
+    return G.link_depth(n, _edges(spark, d), n.filter("crawl_depth <= 1"), most=4)
+
+
+@_query
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).select("url", "type", "inlinks", "outlinks", "out_external", "flags", "cluster")
+
+
+@_query
+def issue_lists(spark: SparkSession, d: str) -> DataFrame:
+    return G.issues(_nodes(spark, d)).groupBy("section").agg(F.count("*").alias("n_pages"))
+
+
+@_query
+def depth_map(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).groupBy("crawl_depth").agg(F.count("*").alias("n_pages"))
+
+
+@_query
+def external_domains(spark: SparkSession, d: str) -> DataFrame:
+    return G.top_external(_edges(spark, d), 10)
+
+
+@_query
+def uncrawled_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Internal targets that weren't crawled, with their links."""
+    e = _edges(spark, d).filter("internal").groupBy(F.col("dst").alias("url")).agg(F.count("*").alias("n_links"))
+    return e.join(_crawl(spark, d).select("url"), "url", "left_anti")
+
+
+@_query
+def crawl_priority(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).filter("crawl_depth is not null").select("url", G.priority(F.col("crawl_depth"), F.col("inlinks"), F.lit(None).cast("double")).alias("priority"))
+
+
+@_query
+def compare_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The first delivery of each address against the last."""
+    c = _crawl(spark, d)
+    first = c.filter("url is not null").groupBy("url").agg(F.min_by(F.struct("status", "crawl_depth"), "page_id").alias("_r")).select("url", "_r.*")
+    return G.compare_runs(first, G.latest(c)).groupBy("change").agg(F.count("*").alias("n_pages"))
+
+
+@_query
+def redirect_hops(spark: SparkSession, d: str) -> DataFrame:
+    return G.redirect_hops(table(spark, d, "page_runs"))
+
+
+_E = f"(SELECT src, l.target AS dst, l.follow AS follow, {_host('src')} = {_host('l.target')} AS internal FROM (SELECT url AS src, unnest(links) AS l FROM crawl_pages) WHERE l.target IS NOT NULL)"
+_L = "(SELECT * FROM crawl_pages WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"
+_DEG = f"""(SELECT coalesce(o.url, i.url) AS url, coalesce(outlinks, 0) AS outlinks, coalesce(out_external, 0) AS out_external, coalesce(external_domains, 0) AS external_domains, coalesce(inlinks, 0) AS inlinks FROM
+    (SELECT src AS url, count(*) FILTER (internal)::BIGINT AS outlinks, count(*) FILTER (NOT internal)::BIGINT AS out_external, count(DISTINCT CASE WHEN NOT internal THEN {_host('dst')} END)::BIGINT AS external_domains FROM {_E} GROUP BY 1) o
+    FULL JOIN (SELECT dst AS url, count(*)::BIGINT AS inlinks FROM {_E} WHERE internal GROUP BY 1) i ON o.url = i.url)"""
+_NODES = f"""(SELECT url, status, crawl_depth, inlinks, outlinks, out_external, CASE WHEN regexp_replace({_path('url')}, '/+$', '') = '' THEN 'home' WHEN status >= 500 THEN 'error_5xx' WHEN status >= 400 THEN 'error_4xx' WHEN inlinks = 0 THEN 'orphan' ELSE 'normal' END AS type,
+    (CASE WHEN status < 400 AND outlinks = 0 THEN 1 ELSE 0 END + CASE WHEN crawl_depth > 3 THEN 2 ELSE 0 END + CASE WHEN out_external > 5 THEN 4 ELSE 0 END + CASE WHEN is_indexable THEN 16 ELSE 0 END + 8)::INT AS flags, {_segment('url')} AS cluster
+    FROM (SELECT n.url, n.status, n.crawl_depth, n.is_indexable, coalesce(inlinks, 0) AS inlinks, coalesce(outlinks, 0) AS outlinks, coalesce(out_external, 0) AS out_external FROM {_L} n LEFT JOIN {_DEG} g ON n.url = g.url))"""
+
+
+def _pagerank_sql(rounds: int) -> str:
+    n = f"n AS (SELECT url FROM {_L}), e AS (SELECT src, dst FROM {_E} WHERE internal), o AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), c AS (SELECT count(*)::DOUBLE AS k FROM n), r0 AS (SELECT url, 1.0 / k AS r FROM n, c)"
+    steps = [
+        f"r{i} AS (SELECT n.url, 0.15 / k + 0.85 * coalesce(g, 0) AS r FROM n CROSS JOIN c LEFT JOIN (SELECT e.dst, sum(p.r / o.deg) AS g FROM e JOIN r{i - 1} p ON e.src = p.url JOIN o ON o.src = e.src GROUP BY 1) x ON x.dst = n.url)"
+        for i in range(1, rounds + 1)
+    ]
+    return f"WITH {', '.join([n, *steps])} SELECT url, round(r / (SELECT greatest(max(r), 1e-9) FROM r{rounds}), 4) AS page_rank FROM r{rounds}"
+
+
+_sql(
+    crawl_latest=f"SELECT url, page_id, status FROM {_L}",
+    link_edges=f"SELECT src, dst, bool_or(follow) AS follow, bool_or(internal) AS internal, count(*)::BIGINT AS n_links FROM {_E} GROUP BY 1, 2",
+    degree_counts=f"SELECT url, outlinks, out_external, external_domains, inlinks FROM {_DEG}",
+    pagerank=_pagerank_sql(50),
+    pagerank_three_rounds=_pagerank_sql(3),
+    link_depth=f"""WITH RECURSIVE n AS (SELECT url, crawl_depth FROM {_L}), e AS (SELECT DISTINCT src, dst FROM {_E} WHERE internal AND src <> dst AND dst IN (SELECT url FROM n)), w(url, k) AS (SELECT url, 0 FROM n WHERE crawl_depth <= 1 UNION SELECT e.dst, k + 1 FROM w JOIN e ON w.url = e.src WHERE k < 4)
+        SELECT url, min(k)::INT AS link_depth FROM w GROUP BY 1""",
+    graph_nodes=f"SELECT url, type, inlinks, outlinks, out_external, flags, cluster FROM {_NODES}",
+    issue_lists=f"""SELECT section, count(*)::BIGINT AS n_pages FROM (SELECT unnest(list_filter([CASE WHEN type = 'orphan' THEN 'orphans' END, CASE WHEN flags & 1 <> 0 THEN 'dead_ends' END, CASE WHEN flags & 2 <> 0 THEN 'deep' END, CASE WHEN flags & 4 <> 0 THEN 'external_heavy' END,
+        CASE WHEN status BETWEEN 400 AND 499 THEN 'errors_4xx' END, CASE WHEN status BETWEEN 500 AND 599 THEN 'errors_5xx' END], lambda x: x IS NOT NULL)) AS section FROM {_NODES}) GROUP BY 1""",
+    depth_map=f"SELECT crawl_depth, count(*)::BIGINT AS n_pages FROM {_NODES} GROUP BY 1",
+    external_domains=f"SELECT {_host('dst')} AS domain, count(DISTINCT src)::BIGINT AS n_pages FROM {_E} WHERE NOT internal GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    uncrawled_targets=f"SELECT dst AS url, count(*)::BIGINT AS n_links FROM {_E} WHERE internal AND dst NOT IN (SELECT url FROM crawl_pages WHERE url IS NOT NULL) GROUP BY 1",
+    crawl_priority=f"SELECT url, round(0.4 / (1 + crawl_depth) + 0.3 * least(1.0, inlinks / 10.0) + 0.15, 4) AS priority FROM {_NODES} WHERE crawl_depth IS NOT NULL",
+    compare_runs=f"""SELECT change, count(*)::BIGINT AS n_pages FROM (SELECT unnest(list_filter([CASE WHEN a.status IS DISTINCT FROM b.status THEN 'status' END, CASE WHEN a.crawl_depth IS DISTINCT FROM b.crawl_depth THEN 'depth' END], lambda x: x IS NOT NULL)) AS change
+        FROM (SELECT * FROM crawl_pages WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) a JOIN {_L} b ON a.url = b.url) GROUP BY 1""",
+)
+
+# ------------------------------------------------------------------------------------------- texts
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+@_query
+def doc_volume(spark: SparkSession, d: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    w = F.size(X.words(t)).cast("bigint")
+    return _docs(spark, d).select("doc_id", w.alias("n_words"), F.length(t).cast("bigint").alias("n_chars"), F.size(X.sentences(t)).cast("bigint").alias("n_sentences"), F.size(X.paragraphs(t)).cast("bigint").alias("n_paragraphs"), X.depth_label(w).alias("depth"), F.bround(w / 200.0, 1).alias("reading_minutes"))
+
+
+@_query
+def lexical_diversity(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", X.diversity(F.coalesce("text", F.lit(""))).alias("diversity"))
+
+
+@_query
+def sentence_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest-rank percentiles of the sentences' lengths in words."""
+    n = F.transform(X.sentences(F.coalesce("text", F.lit(""))), lambda s: F.size(X.words(s)))
+    return _docs(spark, d).select("doc_id", n.alias("n")).select("doc_id", X.nearest_rank(F.col("n"), 0.5).alias("p50"), X.nearest_rank(F.col("n"), 0.9).alias("p90"), F.array_max("n").alias("longest"))
+
+
+@_query
+def language_guess(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", X.guess_language(F.coalesce("text", F.lit(""))).alias("guess"))
+
+
+@_query
+def passive_voice(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).filter("text is not null").select("doc_id", X.passive_count(F.col("text")).alias("n_passive"))
+
+
+@_query
+def readability(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).filter("lang = 'en' and text is not null").select("doc_id", X.flesch(F.col("text")).alias("flesch"))
+
+
+@_query
+def top_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent tokens of each document, ties by first occurrence."""
+    t = _docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
+    g = t.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return G.top_per_group(g, "doc_id", [F.desc("n"), F.col("first")], 10).select("doc_id", "word", "n", F.col("rn").cast("bigint").alias("rank"))
+
+
+@_query
+def top_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent pairs of neighbours over all documents of each language."""
+    w = X.tokens(F.col("text"))
+    b = _docs(spark, d).filter("text is not null and lang is not null").select("lang", w.alias("w")).filter("size(w) > 1").select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.col("w")[i], F.lit(" "), F.col("w")[i + 1]))).alias("bigram"))
+    return G.top_per_group(b.groupBy("lang", "bigram").agg(F.count("*").alias("n")), "lang", [F.desc("n"), F.col("bigram")], 10).select("lang", "bigram", "n")
+
+
+@_query
+def year_mentions(spark: SparkSession, d: str) -> DataFrame:
+    y = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1))))
+    return _docs(spark, d).filter("text is not null").select("doc_id", F.array_join(y, ",").alias("years"), F.regexp_count("text", F.lit(r"\d+(?:\.\d+)? ?%")).cast("bigint").alias("n_percent"))
+
+
+@_query
+def transition_ratio(spark: SparkSession, d: str) -> DataFrame:
+    t = F.lower(F.coalesce("text", F.lit("")))
+    n = sum((F.regexp_count(t, F.lit(rf"\b{x}\b")) for x in X.TRANSITIONS), F.lit(0))
+    return _docs(spark, d).select("doc_id", n.cast("bigint").alias("n_transitions"))
+
+
+@_query
+def duplicate_sentences(spark: SparkSession, d: str) -> DataFrame:
+    s = F.filter(F.transform(X.sentences(F.coalesce("text", F.lit(""))), lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) >= 15)
+    return _docs(spark, d).select("doc_id", s.alias("s")).select("doc_id", (F.size("s") - F.size(F.array_distinct("s"))).cast("bigint").alias("n_duplicates"))
+
+
+@_query
+def keyword_stuffing(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the most frequent token, and whether it is above 5 %."""
+    t = _docs(spark, d).filter("text is not null").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("word"))
+    g = t.groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.max("n") / F.sum("n")).alias("share"))
+    return g.select("doc_id", F.round("share", 6).alias("share"), (F.col("share") > 0.05).alias("stuffed"))
+
+
+@_query
+def markdown_inventory(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.regexp_count("markdown", F.lit(p)).cast("bigint")
+    return table(spark, d, "page_splits").filter("markdown is not null").select("run_id", n(r"(?m)^#{1,6} ").alias("headings"), n(r"!\[[^\]]*\]\(").alias("images"), n(r"\]\(").alias("targets"), n(r"(?m)^ *(?:[-*+]|\d+\.) ").alias("items"), n(r"(?m)^\|").alias("table_lines"), n(r"(?m)^> ").alias("quote_lines"))
+
+
+_T = "coalesce(text, '')"
+_X = "regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+')"
+_W = "list_transform(" + _X + ", lambda w: lower(w))"
+_WORDS = _W.format(t=_T)
+_SENT = f"list_filter(list_transform(regexp_split_to_array({_T}, '[.!?]+'), lambda s: {_trim('s')}), lambda s: s <> '')"
+_TOK = "list_transform(list_filter({w}, lambda w: regexp_matches(w, '^[a-zA-Z]{{2,}}$')), lambda w: lower(w))".format(w=_X.format(t="text"))
+_RANK = "list_sort(n)[round_even({p} * (len(n) - 1), 0)::INT + 1]"
+_GUESS = {k: f"len(list_intersect(list_distinct({_WORDS}), [{', '.join(repr(x) for x in v)}]))" for k, v in X.STOP.items()}
+_sql(
+    doc_volume=f"""SELECT doc_id, w::BIGINT AS n_words, length({_T})::BIGINT AS n_chars, len({_SENT})::BIGINT AS n_sentences, len(list_filter(regexp_split_to_array({_T}, '\\n{{2,}}'), lambda s: {_trim('s')} <> ''))::BIGINT AS n_paragraphs,
+        CASE WHEN w < 100 THEN 'thin' WHEN w < 300 THEN 'short' WHEN w < 800 THEN 'adequate' ELSE 'comprehensive' END AS depth, round_even(w / 200.0, 1) AS reading_minutes FROM (SELECT *, len({_WORDS}) AS w FROM documents)""",
+    lexical_diversity=f"SELECT doc_id, CASE WHEN len(w) > 0 THEN round_even(len(list_distinct(w)) / len(w)::DOUBLE, 3) ELSE 0.0 END AS diversity FROM (SELECT doc_id, {_WORDS} AS w FROM documents)",
+    sentence_percentiles=f"SELECT doc_id, {_RANK.format(p=0.5)}::INT AS p50, {_RANK.format(p=0.9)}::INT AS p90, list_max(n)::INT AS longest FROM (SELECT doc_id, list_transform({_SENT}, lambda s: len({_W.format(t='s')})) AS n FROM documents)",
+    language_guess=f"SELECT doc_id, CASE WHEN en >= de AND en >= es THEN 'en' WHEN de >= es THEN 'de' ELSE 'es' END AS guess FROM (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _GUESS.items())} FROM documents)",
+    passive_voice="SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(?:is|are|was|were|be|been|being) [a-z]+(?:ed|en)\\b'))::BIGINT AS n_passive FROM documents WHERE text IS NOT NULL",
+    top_keywords=f"""SELECT doc_id, word, n, rank FROM (SELECT doc_id, word, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM
+        (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {_TOK} AS t FROM documents WHERE text IS NOT NULL)) GROUP BY 1, 2) WHERE rank <= 10""",
+    top_bigrams=f"""SELECT lang, bigram, n FROM (SELECT lang, bigram, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, bigram) AS k FROM
+        (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM (SELECT lang, {_TOK} AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)) GROUP BY 1, 2) WHERE k <= 10""",
+    year_mentions="SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b((?:19|20)\\d\\d)\\b', 1))), ',') AS years, len(regexp_extract_all(text, '\\d+(?:\\.\\d+)? ?%'))::BIGINT AS n_percent FROM documents WHERE text IS NOT NULL",
+    transition_ratio=f"SELECT doc_id, ({' + '.join(f'''len(regexp_extract_all(lower({_T}), '{chr(92)}b{x}{chr(92)}b'))''' for x in X.TRANSITIONS)})::BIGINT AS n_transitions FROM documents",
+    duplicate_sentences=f"SELECT doc_id, (len(s) - len(list_distinct(s)))::BIGINT AS n_duplicates FROM (SELECT doc_id, list_filter(list_transform({_SENT}, lambda x: lower(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 15) AS s FROM documents)",
+    keyword_stuffing=f"SELECT doc_id, round(max(n) / sum(n)::DOUBLE, 6) AS share, max(n) / sum(n)::DOUBLE > 0.05 AS stuffed FROM (SELECT doc_id, word, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({_TOK}) AS word FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2) GROUP BY 1",
+    markdown_inventory="""SELECT run_id, len(regexp_extract_all(markdown, '(?m)^#{1,6} '))::BIGINT AS headings, len(regexp_extract_all(markdown, '!\\[[^\\]]*\\]\\('))::BIGINT AS images, len(regexp_extract_all(markdown, '\\]\\('))::BIGINT AS targets,
+        len(regexp_extract_all(markdown, '(?m)^ *(?:[-*+]|\\d+\\.) '))::BIGINT AS items, len(regexp_extract_all(markdown, '(?m)^\\|'))::BIGINT AS table_lines, len(regexp_extract_all(markdown, '(?m)^> '))::BIGINT AS quote_lines FROM page_splits WHERE markdown IS NOT NULL""",
+)
+
+# ------------------------------------------------------------------------------------------- headers, metrics, search, reports
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "page_runs")
+
+
+@_query
+def security_headers(spark: SparkSession, d: str) -> DataFrame:
+    return R.security_headers(_runs(spark, d))
+
+
+@_query
+def caching_policy(spark: SparkSession, d: str) -> DataFrame:
+    return R.caching(_runs(spark, d))
+
+
+@_query
+def cdn_compression(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d).groupBy("cdn", "compression").agg(F.count("*").alias("n_runs"), F.round(F.avg("ttfb_ms"), 3).alias("mean_ttfb"))
+
+
+@_query
+def metric_ratings(spark: SparkSession, d: str) -> DataFrame:
+    m = p1_cwv_metrics(spark, d).select(F.col("f_metric").alias("metric"), F.expr("try_cast(f_value as double)").alias("value"))
+    return m.groupBy("metric", M.rating(F.col("metric"), F.col("value")).alias("rating")).agg(F.count("*").alias("n"))
+
+
+@_query
+def metric_p75(spark: SparkSession, d: str) -> DataFrame:
+    """p75 of each metric row from its buckets."""
+    b = p1_cwv_buckets(spark, d).withColumn("key", F.concat_ws("|", F.col("report_id").cast("string"), "parent_path"))
+    return M.p75(b, "key", "min", "max", "proportion")
+
+
+def _search(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the search digests: query, clicks, impressions, position, with the day and the source of their document."""
+    t = _docs(spark, d).filter("doc_kind = 'search_digest' and text is not null")
+    x = t.select("source", F.to_date("captured_at").alias("date"), F.explode(F.split("text", r"\r\n|\n|\r")).alias("x")).select("source", "date", F.split("x", "\t").alias("c")).filter("size(c) = 4 and c[0] <> 'query'")
+    n = lambda e, k: F.expr(f"try_cast({e} as {k})")
+    return x.select("source", "date", F.col("c")[0].alias("query"), n("c[1]", "bigint").alias("clicks"), n("c[2]", "bigint").alias("impressions"), n("c[3]", "double").alias("position")).filter("impressions is not null")
+
+
+@_query
+def search_top_queries(spark: SparkSession, d: str) -> DataFrame:
+    return M.ranked(_search(spark, d), "query", 50)
+
+
+@_query
+def search_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return M.totals(_search(spark, d), ["source"])
+
+
+@_query
+def search_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d).rollup("source", "date").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+
+
+_S = r"""(SELECT source, date, c[1] AS query, try_cast(c[2] AS BIGINT) AS clicks, try_cast(c[3] AS BIGINT) AS impressions, try_cast(c[4] AS DOUBLE) AS position FROM (SELECT source, date, string_split(x, chr(9)) AS c FROM
+    (SELECT source, captured_at::DATE AS date, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS x FROM documents WHERE doc_kind = 'search_digest' AND text IS NOT NULL)) WHERE len(c) = 4 AND c[1] <> 'query' AND try_cast(c[3] AS BIGINT) IS NOT NULL)"""
+_TOT = "sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, CASE WHEN sum(impressions) <> 0 THEN round(sum(clicks) / sum(impressions)::DOUBLE, 4) END AS ctr, CASE WHEN sum(impressions) <> 0 THEN round(sum(position * impressions) / sum(impressions)::DOUBLE, 4) END AS position"
+_H = "list_transform(map_keys(headers), lambda k: lower(k))"
+_SEC = "[" + ", ".join(f"'{x}'" for x in R.SECURITY) + "]"
+_sql(
+    security_headers=f"SELECT run_id, n::BIGINT AS n_present, CASE WHEN n >= 5 THEN 'good' WHEN n >= 3 THEN 'moderate' ELSE 'poor' END AS grade, array_to_string(list_sort(list_filter({_SEC}, lambda x: NOT list_contains(h, x))), ',') AS missing FROM (SELECT run_id, {_H} AS h, len(list_intersect({_H}, {_SEC})) AS n FROM page_runs WHERE headers IS NOT NULL)",
+    caching_policy="SELECT run_id, cc IS NOT NULL AS has_cache_control, try_cast(nullif(regexp_extract(cc, 'max-age=(\\d+)', 1), '') AS BIGINT) AS max_age, coalesce(contains(cc, 'no-store'), false) AS no_store, coalesce(try_cast(nullif(regexp_extract(cc, 'max-age=(\\d+)', 1), '') AS BIGINT) < 300, false) AS short_ttl FROM (SELECT run_id, lower(headers['cache-control']) AS cc FROM page_runs WHERE headers IS NOT NULL)",
+    cdn_compression="SELECT cdn, compression, count(*)::BIGINT AS n_runs, round(avg(ttfb_ms), 3) AS mean_ttfb FROM page_runs GROUP BY 1, 2",
+    search_top_queries=f"SELECT query, {_TOT} FROM {_S} GROUP BY 1 ORDER BY clicks DESC, query LIMIT 50",
+    search_by_source=f"SELECT source, {_TOT} FROM {_S} GROUP BY 1",
+    search_rollup=f"SELECT source, date, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions FROM {_S} GROUP BY ROLLUP (source, date)",
+)
+
+
+# ------------------------------------------------------------------------------------------- DOM, JSON-LD, robots
+
+
+def _dom(spark: SparkSession, d: str) -> DataFrame:
+    return D.dom_nodes(_runs(spark, d), "run_id", "html")
+
+
+@_query
+def dom_summary(spark: SparkSession, d: str) -> DataFrame:
+    return D.summary(_dom(spark, d), "run_id")
+
+
+@_query
+def dom_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return D.metadata(_dom(spark, d), "run_id")
+
+
+@_query
+def dom_tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Elements by tag over all pages, from the relational DOM."""
+    return D.tag_counts(_dom(spark, d), "run_id").groupBy("tag").agg(F.sum("n").alias("n"))
+
+
+@_query
+def heading_outline(spark: SparkSession, d: str) -> DataFrame:
+    return D.headings(_dom(spark, d), "run_id")
+
+
+@_query
+def region_density(spark: SparkSession, d: str) -> DataFrame:
+    return D.region_words(_dom(spark, d), "run_id")
+
+
+@_query
+def unlabelled_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return D.unlabelled_inputs(_dom(spark, d), "run_id")
+
+
+@_query
+def issue_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of every run by rule: the merged report, one row for each rule that holds."""
+    dom = _dom(spark, d)
+    page = R.merged(_runs(spark, d), D.summary(dom, "run_id"), D.metadata(dom, "run_id"), table(spark, d, "content_analysis"))
+    return R.issues(page)
+
+
+@_query
+def jsonld_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Validation of the JSON-LD documents."""
+    t = _docs(spark, d).filter("doc_kind = 'jsonld' and text is not null").select("doc_id", F.col("text").alias("item"))
+    v = J.validate(t, "doc_id", context=False)
+    return v.select("doc_id", F.array_join("types", ",").alias("types"), F.array_join("missing_required", ",").alias("missing_required"), F.array_join("missing_recommended", ",").alias("missing_recommended"), F.array_join("format_errors", ",").alias("format_errors"), "score")
+
+
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    return B.parse(_docs(spark, d).filter("doc_kind = 'robots_txt'"), "doc_id", "text")
+
+
+@_query
+def robots_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d)
+
+
+@_query
+def robots_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Every path named in a file against all of that file's rules."""
+    r = _rules(spark, d).withColumnRenamed("doc_id", "host")
+    paths = r.filter("kind in ('allow','disallow') and value <> ''").select("host", F.concat("value", F.lit("page.html")).alias("path"))
+    return B.verdicts(paths, r)
+
+
+# ------------------------------------------------------------------------------------------- events
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events")
+
+
+@_query
+def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
+    return S.tumbling(_events(spark, d), "ts", "event_type")
+
+
+@_query
+def sliding_counts(spark: SparkSession, d: str) -> DataFrame:
+    return S.sliding(_events(spark, d), "ts", "event_type")
+
+
+@_query
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    return S.sessions(_events(spark, d), "ts", "user_id")
+
+
+@_query
+def rolling_latency(spark: SparkSession, d: str) -> DataFrame:
+    return S.rolling_latency(_events(spark, d), "user_id", ["ts", "event_id"], "value").select("event_id", F.round("rolling_mean", 6).alias("rolling_mean"))
+
+
+@_query
+def event_json(spark: SparkSession, d: str) -> DataFrame:
+    k = F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
+    return _events(spark, d).groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count("*").alias("n"))
+
+
+@_query
+def backpressure(spark: SparkSession, d: str) -> DataFrame:
+    """The delay factor of each host after its responses in the order of their delivery; a host's list is its own crawl."""
+    c = _crawl(spark, d).filter("status is not null")
+    g = c.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "status"))), lambda x: x["status"]).alias("s"))
+    return g.select("host", F.round(S.backpressure(F.col("s")), 6).alias("factor"))
+
+
+@_query
+def report_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The latest analysis of each run: complete rows (with a score) before partial ones."""
+    a = table(spark, d, "content_analysis").select("run_id", "score", "word_count", F.col("score").isNotNull().alias("complete")).distinct()
+    return S.upsert(a, "run_id", "complete").select("run_id", "score", "word_count")
+
+
+_sql(
+    tumbling_counts="SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2",
+    sliding_counts="SELECT start, event_type, count(*)::BIGINT AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1, 2",
+    session_windows="""SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*)::BIGINT AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, g""",
+    rolling_latency="SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM events",
+    event_json="SELECT event_type, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS sum_k, count(*)::BIGINT AS n FROM events GROUP BY 1",
+    report_upsert="SELECT run_id, score, word_count FROM (SELECT DISTINCT run_id, score, word_count FROM content_analysis) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY (score IS NOT NULL) DESC) = 1",
+)
