@@ -108,6 +108,12 @@ def spam_of(blocks: list[B.Block]) -> tuple[float, float, float, int, bool]:
     return clause, repeat, link, n, found
 
 
+def is_spam(blocks: list[B.Block]) -> bool:
+    """The same decision; the automaton is built only where the clauses leave it open."""
+    inside, total = C.clause_chars(blocks)
+    return total >= SPAM_CHARS and inside < SPAM_CLAUSES * total and spam_of(blocks)[4]
+
+
 def keyword_spam(splits: DataFrame, runs: DataFrame, id_col: str = "run_id") -> DataFrame:
     """(id, clause_share, repeat_share, link_share, n_chars, is_spam) of each page's body.
 
