@@ -17,14 +17,14 @@ def rating(metric: Column, value: Column) -> Column:
 
 
 def p75(buckets: DataFrame, key: str, low: str, high: str, share: str) -> DataFrame:
-    """(key, p75): the middle of the first bucket at which the running share reaches 0.75; an open bucket counts to twice its start.
+    """(key, p75): the middle of the first bucket at which the running share reaches 0.75; an open bucket ends at twice its start.
 
     A metric has a few buckets, so the running sum is a fold over its own small list.
     """
     g = buckets.filter(F.col(low).isNotNull() & F.col(share).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(low).alias("lo"), F.col(high).alias("hi"), F.col(share).alias("s")))).alias("b"))
     n = F.transform("b", lambda x, i: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), F.aggregate(F.slice("b", F.lit(1), i + 1), F.lit(0.0), lambda s, y: s + y["s"]).alias("run")))
     hit = F.get(F.filter(n, lambda x: x["run"] >= 0.75 - 1e-9), F.lit(0))
-    return g.withColumn("_h", hit).select(key, F.when(F.col("_h").isNotNull(), F.when(F.col("_h.hi").isNull() | (F.col("_h.hi") == float("inf")), F.col("_h.lo") * 2).otherwise((F.col("_h.lo") + F.col("_h.hi")) / 2)).alias("p75"))
+    return g.withColumn("_h", hit).select(key, F.when(F.col("_h").isNotNull(), F.when(F.col("_h.hi").isNull() | (F.col("_h.hi") == float("inf")), F.col("_h.lo") * 1.5).otherwise((F.col("_h.lo") + F.col("_h.hi")) / 2)).alias("p75"))
 
 
 def core_verdict(lcp: Column, cls: Column, inp: Column) -> Column:
