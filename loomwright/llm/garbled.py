@@ -45,6 +45,8 @@ CYRILLIC = re.compile(r"[Ѐ-ӿ]{3,}")
 LATIN_RUN = re.compile(r"[À-ÖØ-öø-ÿ]{3,}")
 LOST = re.compile(r"[�\x80-\x9f]|[｡-ﾟ]{2,}")
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}\d?|#\d{3,5});")
+# Words of one letter outside ASCII. Fixed values.
+ONE_LETTER = "àéèóôòùíîяыъøåö"
 # Words by which a line speaks about a sign. Fixed values.
 ABOUT = re.compile(r"\b(?:sign|symptom|character|symbol|zeichen|signo|símbolo|signe|caractère|sinal|caractere|знак|символ)\b|記号|文字|という印", re.I)
 QUOTES = "“”‘’„‚\"'`«»「」『』()[]<>‹›"
@@ -325,6 +327,13 @@ def pieces(line: str) -> list[str]:
     return [x for x in re.split(r"(?:[\x00-\x40\x5b-\x60\x7b-\x7f]*[A-Za-z]{3,}[\x00-\x40\x5b-\x60\x7b-\x7f]*)+", line) if x]
 
 
+def _alone(u: str, a: str, c: str) -> bool:
+    """Whether a single sign stands where nothing tells it from itself: a sign without a letter or digit beside it, a word of one letter."""
+    if u in SIGNS or not u.isalpha():
+        return a in " x" and c in " x"
+    return a == c == " " and u.lower() in ONE_LETTER
+
+
 def judge(text: str, counts: Counts, table: dict[str, str]) -> tuple[bool, str]:
     """(whether a part of the text is garbled, the text with what can be restored)."""
     found = False
@@ -342,7 +351,7 @@ def judge(text: str, counts: Counts, table: dict[str, str]) -> tuple[bool, str]:
             parts, last = [], 0
             for at, u, a, c in units_in(new):
                 letter = table.get(u)
-                if letter and letter != u and not (u in SIGNS and a == " " and c == " "):
+                if letter and letter != u and not (len(u) == 1 and _alone(u, a, c)):
                     own = counts.fits(a, u, c) if len(u) == 1 else 0.0
                     there = counts.fits(a, letter, c)
                     if (len(u) > 1 and (there > 0.02 or u in known_units()) or there > 8 * own + 0.5) and not mentioned(new, at, u):
