@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from .blocks import CJK, LINK, Block, _chars
 
@@ -25,9 +26,11 @@ PLACEHOLDER = re.compile(
     r"%[A-Za-z][\w.]{1,60}%|(?<![\w\]!])\[[A-Za-z][A-Za-z_.]{2,60}\](?!\()|(?<![\w$#{])\{[A-Za-z][\w.]{1,60}\}"
 )
 VERB_RU = re.compile(r"[а-яё]{3,}(?:ет|ит|ют|ут|ят|ат|ется|ится)\b")
+DIGIT = re.compile(r"\d")
 KANA_PARTICLE = re.compile(r"[をはがにで]")
 
 
+@lru_cache(maxsize=4096)  # one page asks for the same sentence several times
 def is_clause(s: str) -> bool:
     """A sentence with an end, enough words and function words; in Japanese, enough signs and particles."""
     s = s.strip().rstrip("\"'”»«“)]*_ ")
@@ -36,7 +39,7 @@ def is_clause(s: str) -> bool:
     if len(CJK.findall(s)) * 2 >= len(s):
         return len(s) >= 12 and len(KANA_PARTICLE.findall(s)) >= 2
     words = s.lower().replace("’", " ").replace("'", " ").replace("«", " ").replace("“", " ").split()
-    if len(words) < 5 or sum(any(c.isdigit() for c in w) for w in words) * 5 > len(words):
+    if len(words) < 5 or DIGIT.search(s) and sum(bool(DIGIT.search(w)) for w in words) * 5 > len(words):
         return False
     n = sum(w.strip(".,!?;:()") in FUNCTION for w in words)
     return n >= 2 or bool(VERB_RU.search(s.lower()))
