@@ -329,7 +329,7 @@ def pieces(line: str) -> list[str]:
 
 def _alone(u: str, a: str, c: str) -> bool:
     """Whether a single sign stands where nothing tells it from itself: a sign without a letter or digit beside it, a word of one letter."""
-    if u in SIGNS or not u.isalpha():
+    if u in SIGNS or not u.isalpha() or _russian(u):
         return a in " x" and c in " x"
     return a == c == " " and u.lower() in ONE_LETTER
 

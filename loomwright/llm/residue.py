@@ -103,7 +103,7 @@ def residue_counts(blocks: list[Block]) -> tuple[int, int, int]:
                     continue
                 elif is_clause(s):
                     own += n
-                elif low in MENU:
+                elif low in MENU or all(w in MENU for w in low.split()):
                     continue
                 else:
                     other += n
