@@ -90,7 +90,7 @@ def strip_markdown(t: Column) -> Column:
 def content_hash(t: Column) -> Column:
     """The 32-bit hash h = 31 h + c over the first 2,000 code points."""
     chars = F.filter(F.split(F.substring(t, 1, 2000), ""), lambda c: c != "")
-    return F.aggregate(F.transform(chars, lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(4294967295)))
+    return F.aggregate(F.transform(chars, lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(4294967295)))
 
 
 def trigrams(t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import texts as X, urls as U
-from ..operators import dom as D, graph as G, jsonld as J, metrics as M, nested, report as R, robots as B
+from ..operators import dom as D, graph as G, jsonld as J, markdown as K, metrics as M, nested, report as R, robots as B
 from ..streaming import flows as S
 from ..session import Query, table
 
@@ -632,3 +632,121 @@ _sql(
     event_json="SELECT event_type, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS sum_k, count(*)::BIGINT AS n FROM events GROUP BY 1",
     report_upsert="SELECT run_id, score, word_count FROM (SELECT DISTINCT run_id, score, word_count FROM content_analysis) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY (score IS NOT NULL) DESC) = 1",
 )
+
+
+# ------------------------------------------------------------------------------------------- markdown, page text, scores
+
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "page_splits")
+
+
+@_query
+def markdown_structure(spark: SparkSession, d: str) -> DataFrame:
+    return K.structure(_splits(spark, d), "run_id", "markdown")
+
+
+@_query
+def heading_skips(spark: SparkSession, d: str) -> DataFrame:
+    return K.heading_skips(_splits(spark, d), "run_id", "markdown")
+
+
+@_query
+def anchor_classes(spark: SparkSession, d: str) -> DataFrame:
+    return K.links(_splits(spark, d), "run_id", "markdown", "url").groupBy("run_id", "anchor_class", "internal").agg(F.count("*").alias("n"))
+
+
+@_query
+def link_density(spark: SparkSession, d: str) -> DataFrame:
+    """Link targets for 1,000 words of each markdown."""
+    n, w = F.regexp_count("markdown", F.lit(r"\]\(")), F.size(X.words(F.col("markdown")))
+    return _splits(spark, d).filter("markdown is not null").select("run_id", F.round(n * 1000 / F.greatest(w, F.lit(1)), 3).alias("links_per_1000"))
+
+
+@_query
+def page_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Title, first h1, canonical and robots by pattern from the raw html."""
+    x = lambda p: F.nullif(F.trim(F.regexp_extract("raw_html", p, 1)), F.lit(""))
+    c = _crawl(spark, d).filter("raw_html is not null")
+    return c.select("page_id", x(r"(?is)<title[^>]*>([^<]*)</title>").alias("title_seen"), x(r"(?is)<h1[^>]*>([^<]*)</h1>").alias("h1_seen"), x(r'(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"').alias("canonical_seen"), x(r'(?i)<meta[^>]*name="robots"[^>]*content="([^"]*)"').alias("robots_seen"))
+
+
+@_query
+def indexable(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a page may be indexed by its tag and status, against what the crawl says."""
+    rule = (F.col("status") > 0) & (F.col("status") < 400) & ~F.coalesce(F.lower("meta_robots").contains("noindex"), F.lit(False))
+    return _crawl(spark, d).groupBy("is_indexable", rule.alias("by_rule")).agg(F.count("*").alias("n_pages"))
+
+
+@_query
+def soft_404(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of status 200 whose title speaks of an error and whose text is short."""
+    t = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>", " "), r"<[^>]*>", " "))
+    title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)</title>", 1))
+    return _runs(spark, d).filter("status = 200 and html is not null").select("run_id", title.rlike("404|not found|error").alias("title_hit"), F.length(F.regexp_replace(t, r"\s+", " ")).cast("bigint").alias("n_text")).filter("title_hit and n_text < 1000")
+
+
+@_query
+def score_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by label (80, 60, 40)."""
+    s = F.col("score")
+    a = table(spark, d, "content_analysis").select("run_id", "score").distinct()
+    return a.groupBy(F.when(s >= 80, "excellent").when(s >= 60, "good").when(s >= 40, "fair").when(s.isNotNull(), "poor").alias("label")).agg(F.count("*").alias("n_runs"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+@_query
+def content_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues named in the analyses, with the runs that have them."""
+    return table(spark, d, "content_analysis").select("run_id", F.explode("issues").alias("issue")).distinct().groupBy("issue").agg(F.count("*").alias("n_runs"))
+
+
+@_query
+def thin_content(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of 20 characters and more that stand twice in a markdown, and the share of other text."""
+    p = F.filter(F.transform(X.paragraphs(F.coalesce("markdown", F.lit(""))), lambda x: F.lower(U.trim(x))), lambda x: F.length(x) >= 20)
+    return _splits(spark, d).select("run_id", p.alias("p")).select("run_id", F.size("p").cast("bigint").alias("n"), (F.size("p") - F.size(F.array_distinct("p"))).cast("bigint").alias("n_repeated"))
+
+
+@_query
+def ttfb_ratings(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("ttfb_ms")
+    return _runs(spark, d).groupBy(F.when(t < 300, "pass").when(t < 1000, "warn").otherwise("fail").alias("rating")).agg(F.count("*").alias("n_runs"))
+
+
+@_query
+def header_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Header names in lower case and how many runs have each."""
+    return _runs(spark, d).select(F.explode(F.map_keys("headers")).alias("k")).groupBy(F.lower("k").alias("header")).agg(F.count("*").alias("n_runs"))
+
+
+@_query
+def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """A star join of the order tables: the engine's joins on other data than pages."""
+    l, o, c, n = (table(spark, d, x) for x in ("lineitem", "orders", "customer", "nation"))
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n_items"))
+
+
+_ML = r"""(SELECT *, coalesce(last_value(CASE WHEN kind NOT IN ('text', 'code') THEN kind END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'blank') AS state FROM
+    (SELECT *, CASE WHEN fence THEN 'fence' WHEN code THEN 'code' WHEN trim(line, ' ') = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}\s') THEN 'heading' WHEN regexp_matches(line, '^>') THEN 'quote' WHEN regexp_matches(line, '^\s*[-*+]\s') THEN 'unordered'
+        WHEN regexp_matches(line, '^\s*\d+[.)]\s') THEN 'ordered' WHEN regexp_matches(line, '^\|') THEN 'table' ELSE 'text' END AS kind FROM
+    (SELECT *, regexp_matches(line, '^\s*```') AS fence, sum(regexp_matches(line, '^\s*```')::INT) OVER (PARTITION BY run_id ORDER BY pos) % 2 = 1 OR regexp_matches(line, '^\s*```') AS code FROM
+    (SELECT run_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT run_id, regexp_split_to_array(markdown, '\r\n|\n|\r') AS x FROM page_splits WHERE length(markdown) > 0)))))"""
+_sql(
+    markdown_structure=f"""SELECT run_id, count(*) FILTER (kind = 'heading')::BIGINT AS headings, (count(*) FILTER (kind = 'fence') // 2)::BIGINT AS code_blocks, count(*) FILTER (kind = 'quote' AND state <> 'quote')::BIGINT AS quote_blocks, count(*) FILTER (kind = 'unordered' AND state <> 'unordered')::BIGINT AS unordered_lists,
+        count(*) FILTER (kind = 'ordered' AND state <> 'ordered')::BIGINT AS ordered_lists, count(*) FILTER (kind IN ('unordered', 'ordered'))::BIGINT AS items, count(*) FILTER (kind = 'table' AND state <> 'table')::BIGINT AS tables, count(*) FILTER (kind = 'table' AND NOT regexp_matches(line, '^[|\\s:-]+$'))::BIGINT AS table_rows FROM {_ML} GROUP BY 1""",
+    heading_skips=f"SELECT run_id, pos::INT AS pos, from_level, to_level FROM (SELECT run_id, pos, length(regexp_extract(line, '^(#+)', 1))::INT AS to_level, lag(length(regexp_extract(line, '^(#+)', 1))::INT) OVER (PARTITION BY run_id ORDER BY pos) AS from_level FROM {_ML} WHERE kind = 'heading') WHERE to_level > from_level + 1",
+    link_density=f"SELECT run_id, round(len(regexp_extract_all(markdown, '\\]\\(')) * 1000 / greatest(len({_X.format(t='markdown')}), 1)::DOUBLE, 3) AS links_per_1000 FROM page_splits WHERE markdown IS NOT NULL",
+    page_extract="""SELECT page_id, nullif(trim(regexp_extract(raw_html, '(?is)<title[^>]*>([^<]*)</title>', 1), ' '), '') AS title_seen, nullif(trim(regexp_extract(raw_html, '(?is)<h1[^>]*>([^<]*)</h1>', 1), ' '), '') AS h1_seen,
+        nullif(trim(regexp_extract(raw_html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), ' '), '') AS canonical_seen, nullif(trim(regexp_extract(raw_html, '(?i)<meta[^>]*name="robots"[^>]*content="([^"]*)"', 1), ' '), '') AS robots_seen FROM crawl_pages WHERE raw_html IS NOT NULL""",
+    indexable="SELECT is_indexable, status > 0 AND status < 400 AND NOT coalesce(contains(lower(meta_robots), 'noindex'), false) AS by_rule, count(*)::BIGINT AS n_pages FROM crawl_pages GROUP BY 1, 2",
+    soft_404="""SELECT * FROM (SELECT run_id, regexp_matches(lower(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '404|not found|error') AS title_hit,
+        length(regexp_replace(trim(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), ' '), '\\s+', ' ', 'g'))::BIGINT AS n_text FROM page_runs WHERE status = 200 AND html IS NOT NULL) WHERE title_hit AND n_text < 1000""",
+    score_labels="SELECT CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' WHEN score IS NOT NULL THEN 'poor' END AS label, count(*)::BIGINT AS n_runs, round(avg(score), 4) AS mean_score FROM (SELECT DISTINCT run_id, score FROM content_analysis) GROUP BY 1",
+    content_issues="SELECT issue, count(*)::BIGINT AS n_runs FROM (SELECT DISTINCT run_id, issue FROM (SELECT run_id, unnest(issues) AS issue FROM content_analysis)) GROUP BY 1",
+    thin_content=f"SELECT run_id, len(p)::BIGINT AS n, (len(p) - len(list_distinct(p)))::BIGINT AS n_repeated FROM (SELECT run_id, list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(markdown, ''), '\\n{{2,}}'), lambda s: {_trim('s')} <> ''), lambda x: lower({_trim('x')})), lambda x: length(x) >= 20) AS p FROM page_splits)",
+    ttfb_ratings="SELECT CASE WHEN ttfb_ms < 300 THEN 'pass' WHEN ttfb_ms < 1000 THEN 'warn' ELSE 'fail' END AS rating, count(*)::BIGINT AS n_runs FROM page_runs GROUP BY 1",
+    header_inventory="SELECT lower(k) AS header, count(*)::BIGINT AS n_runs FROM (SELECT unnest(map_keys(headers)) AS k FROM page_runs) GROUP BY 1",
+    revenue_by_nation="SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*)::BIGINT AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    dom_tag_counts="SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(<script[^>]*>).*?</script>|(<style[^>]*>).*?</style>|<!--.*?-->', '\\1\\2', 'gs'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM page_runs) WHERE tag NOT IN ('meta', 'link', 'title', 'base', 'head') GROUP BY 1",
+)
