@@ -166,8 +166,9 @@ def mixture(docs: DataFrame, targets: DataFrame, path: str = E.DEFAULT, block: i
     mixed = mixed.withColumn("position", F.row_number().over(w) - 1).select("shard", "position", "source", "round", "block_no", "n_tokens", "ids", "doc_ids")
     taken = mixed.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("b"), (F.max("round") + 1).alias("most"))
     t = spark.createDataFrame([(a, w_, r, have.get(a, (0, 0))[0]) for a, w_, r in rows], "source string, target_share double, max_repeats int, tokens_available bigint")
-    whole = taken.agg(F.sum("t").alias("all"))
-    report = t.join(taken, "source", "left").crossJoin(F.broadcast(whole)).select(
+    # one row for each listed source is left here: the sum over all of them is a window of that many rows
+    taken = taken.withColumn("all", F.sum("t").over(Window.partitionBy()))
+    report = t.join(taken, "source", "left").select(
         "source", "target_share", F.coalesce(F.col("t") / F.col("all"), F.lit(0.0)).alias("actual_share"), "tokens_available",
         F.coalesce("t", F.lit(0)).alias("tokens_taken"), F.coalesce("b", F.lit(0)).alias("blocks_taken"), "max_repeats", F.coalesce("most", F.lit(0)).alias("most_repeats"),
     )

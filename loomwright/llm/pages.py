@@ -203,7 +203,7 @@ def near_pairs(reps: DataFrame, crowded: int = 200) -> DataFrame:
     return full.filter(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def residue_pages(splits: DataFrame, runs: DataFrame, id_col: str = "run_id") -> DataFrame:
+def residue_pages(splits: DataFrame, runs: DataFrame, id_col: str = "run_id", salts: int = 16) -> DataFrame:
     """(id, trusted): pages whose body is residue.
 
     Trusted are pages whose body is for the larger part of unmistakable residue. Texts are collapsed into classes of
@@ -219,4 +219,7 @@ def residue_pages(splits: DataFrame, runs: DataFrame, id_col: str = "run_id") ->
     label = classes.join(comp, classes["rep"] == comp["node"], "left").select("k1", "k2", "seed", F.coalesce("component", "rep").alias("component"))
     marked = label.groupBy("component").agg(F.max("seed").alias("label")).filter("label")
     found = label.join(marked, "component", "left_semi").select("k1", "k2")
-    return feats.join(found, ["k1", "k2"], "left_semi").filter(F.col("own") < OWN_TEXT).select(id_col, "trusted")
+    # one text may stand on a third of all pages: its rows spread over the salts
+    found = found.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pages = feats.filter(F.col("own") < OWN_TEXT).select(id_col, "trusted", "k1", "k2", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
+    return pages.join(found, ["k1", "k2", "salt"], "left_semi").select(id_col, "trusted")
