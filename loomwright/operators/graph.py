@@ -57,8 +57,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 50, damping:
         rank = ids.select("id").join(got, F.col("id") == F.col("d"), "left").select("id", (F.lit(base) + damping * F.coalesce("g", F.lit(0.0))).alias("r"))
         if i % cut_every == 0:
             rank = cut(rank)
-    top = rank.agg(F.greatest(F.max("r"), F.lit(1e-9)).alias("m"))
-    return ids.join(rank, "id").crossJoin(F.broadcast(top)).select("url", F.round(F.col("r") / F.col("m"), 4).alias("page_rank"))  # top: one row
+    if iterations % cut_every:
+        rank = cut(rank)
+    top = max(rank.agg(F.max("r")).first()[0], 1e-9)  # one number
+    return ids.join(rank, "id").select("url", F.round(F.col("r") / F.lit(top), 4).alias("page_rank"))
 
 
 def link_depth(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
