@@ -45,7 +45,7 @@ def line_letters(text: str) -> list[str]:
     lines = text.split("\n")
     if "&" in text:
         lines = [html.unescape(x) if "&" in x else x for x in lines]
-    return [NOT_LETTER.sub("", x).lower() if x else "" for x in lines]
+    return [NOT_LETTER.sub("", x.lower()) if x else "" for x in lines]
 
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], np.uint64)
