@@ -221,3 +221,60 @@ def jsonld_blocks(dom: DataFrame, id_col: str) -> DataFrame:
     s = dom.filter((F.col("tag") == "script") & (F.lower(attr("type")) == "application/ld+json")).select(id_col, F.col("node_id").alias("pos"), F.col("text").alias("raw"))
     items = F.expr("coalesce(from_json(raw, 'array<string>'), from_json(get_json_object(raw, '$.@graph'), 'array<string>'), array(raw))")
     return s.withColumn("parse_error", F.try_parse_json("raw").isNull()).select(id_col, "pos", "parse_error", F.explode(items).alias("item"))
+
+
+# Vendors by a part of their host, first match wins in this order. Fixed values.
+VENDORS = (
+    ("analytics", ("google-analytics", "googletagmanager", "hotjar", "segment.", "mixpanel", "matomo", "plausible")), ("ads", ("doubleclick", "googlesyndication", "adservice", "criteo", "taboola", "outbrain")),
+    ("cdn", ("cloudflare", "jsdelivr", "unpkg", "cdnjs", "akamai", "fastly", "cloudfront")), ("social", ("facebook", "twitter", "linkedin", "instagram", "pinterest", "tiktok")),
+)
+DROPPED = ("script", "style", "noscript", "svg")
+
+
+def third_party(dom: DataFrame, pages: DataFrame, id_col: str, url_col: str = "url") -> DataFrame:
+    """(id, domain, category, n) of scripts from other hosts; a sub-domain of the page's host is first party."""
+    s = dom.filter((F.col("tag") == "script") & F.lower(attr("src")).rlike("^(https?:)?//")).select(id_col, F.regexp_extract(F.lower(attr("src")), "^(?:https?:)?//([^/:?#]+)", 1).alias("domain"))
+    own = pages.select(id_col, F.regexp_extract(F.lower(F.col(url_col)), r"//(?:www\.)?([^/:?#]+)", 1).alias("_own"))
+    s = s.join(own, id_col).filter((F.col("domain") != F.col("_own")) & ~F.col("domain").endswith(F.concat(F.lit("."), F.col("_own"))))
+    cat = F.lit("other")
+    for name, parts in reversed(VENDORS):
+        cat = F.when(F.col("domain").rlike("|".join(p.replace(".", r"\.") for p in parts)), F.lit(name)).otherwise(cat)
+    return s.groupBy(id_col, "domain", cat.alias("category")).agg(F.count("*").alias("n"))
+
+
+def skeleton_counts(dom: DataFrame, id_col: str) -> DataFrame:
+    """(id, n) elements outside the subtrees of scripts, styles, noscript and svg: an interval anti join within the page."""
+    drop = dom.filter(F.col("tag").isin(*DROPPED)).select(F.col(id_col).alias("_p"), F.col("node_id").alias("_a"), F.col("end_id").alias("_z"))
+    left = dom.join(drop, (dom[id_col] == drop["_p"]) & (dom["node_id"] >= drop["_a"]) & (dom["node_id"] <= drop["_z"]), "left_anti")
+    return left.groupBy(id_col).agg(F.count("*").alias("n"))
+
+
+def image_classes(dom: DataFrame, id_col: str) -> DataFrame:
+    """(id, alt_class, n, lazy, modern, sized) of images: missing, empty, short, long, poor or good alternative texts."""
+    alt, src = attr("alt"), F.lower(F.coalesce(attr("src"), F.lit("")))
+    cls = (
+        F.when(~has("alt"), "missing").when(F.trim(alt) == "", "empty").when(F.length(alt) < 3, "short").when(F.length(alt) > 125, "long")
+        .when(F.lower(alt).rlike(r"^(image|img|photo|picture|icon|logo)\d*$|\.(jpe?g|png|gif|webp|svg)$"), "poor").otherwise("good")
+    )
+    return dom.filter("tag = 'img'").groupBy(id_col, cls.alias("alt_class")).agg(F.count("*").alias("n"), F.count_if(F.lower(attr("loading")) == "lazy").alias("lazy"), F.count_if(src.rlike(r"\.(webp|avif)(\?|$)")).alias("modern"), F.count_if(has("width") & has("height")).alias("sized"))
+
+
+def contents_tables(dom: DataFrame, id_col: str, least: int = 3) -> DataFrame:
+    """(id, n_links) of pages with `least` links or more to the ids of their second and third level headings."""
+    h = dom.filter("tag in ('h2','h3')").select(id_col, attr("id").alias("hid")).filter("hid is not null").distinct()
+    a = dom.filter((F.col("tag") == "a") & attr("href").startswith("#")).select(id_col, F.substring(attr("href"), 2, 10_000).alias("hid"))
+    return a.join(h, [id_col, "hid"]).groupBy(id_col).agg(F.count("*").alias("n_links")).filter(F.col("n_links") >= least)
+
+
+def duplicate_headings(dom: DataFrame, id_col: str, most: int = 5) -> DataFrame:
+    """(id, text, n): headings that occur twice in a page without regard to case, the most frequent ones."""
+    h = dom.filter(F.col("tag").rlike("^h[1-6]$") & (F.col("text") != "")).groupBy(id_col, F.lower("text").alias("_k")).agg(F.count("*").alias("n"), F.min_by("text", "node_id").alias("text"), F.min("node_id").alias("_f")).filter("n > 1")
+    w = Window.partitionBy(id_col).orderBy(F.desc("n"), "_f")
+    return h.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select(id_col, "text", "n")
+
+
+def deepest_path(dom: DataFrame, id_col: str) -> DataFrame:
+    """(id, depth, path) of each page's first deepest element: its ancestors by interval join, in order."""
+    top = dom.groupBy(id_col).agg(F.min_by("node_id", F.struct(-F.col("depth"), F.col("node_id"))).alias("_n"), F.max("depth").alias("depth"))
+    up = dom.select(id_col, "node_id", "end_id", "tag").join(top, id_col).filter("node_id <= _n and _n <= end_id").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("node_id", "tag"))).alias("_p"))
+    return up.join(top, id_col).select(id_col, "depth", F.array_join(F.transform("_p", lambda x: x["tag"]), ">").alias("path"))

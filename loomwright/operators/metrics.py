@@ -47,3 +47,20 @@ def compare_periods(search: DataFrame, dims: list[str], a: tuple[str, str], b: t
     inside = lambda p: F.col("date").between(F.lit(p[0]).cast("date"), F.lit(p[1]).cast("date"))
     s = search.filter(inside(a) | inside(b)).groupBy(*dims).agg(*(F.sum(F.when(inside(p), F.col(m)).otherwise(0)).alias(f"{m}_{n}") for n, p in (("now", a), ("before", b)) for m in ("clicks", "impressions")))
     return s.withColumns({f"{m}_change": F.col(f"{m}_now") - F.col(f"{m}_before") for m in ("clicks", "impressions")})
+
+
+def resolve_property(sites: DataFrame, properties: DataFrame) -> DataFrame:
+    """(url, property): the property of each address: its domain or a suffix of it first, else the longest address prefix.
+
+    sites: (url); properties: (property), either "domain:<name>" or an address prefix. Both meet by the registered
+    part of the host (its last two labels), so this is an equi join with a residual.
+    """
+    tail = lambda c: F.regexp_extract(F.lower(c), r"([^./:]+\.[^./:]+)(?:[:/]|$)", 1)
+    p = properties.select("property", F.when(F.col("property").startswith("domain:"), F.substring("property", 8, 1000)).alias("domain"))
+    p = p.withColumn("_t", tail(F.coalesce("domain", F.regexp_replace("property", "^https?://", ""))))
+    s = sites.select("url", F.regexp_replace(F.lower("url"), "^https?://", "").alias("_u"))
+    s = s.withColumn("_h", F.regexp_extract("_u", "^([^/:?#]*)", 1)).withColumn("_t", tail(F.col("_u")))
+    suffix = (F.col("_h") == F.col("domain")) | F.col("_h").endswith(F.concat(F.lit("."), F.col("domain")))
+    prefix = F.col("_u").startswith(F.regexp_replace(F.lower("property"), "^https?://", ""))
+    j = s.join(p, "_t").filter(F.when(F.col("domain").isNotNull(), suffix).otherwise(prefix))
+    return j.groupBy("url").agg(F.max_by("property", F.struct(F.col("domain").isNotNull().cast("int"), F.length("property"))).alias("property"))

@@ -69,3 +69,24 @@ def caching(runs: DataFrame) -> DataFrame:
 def detect_compression(runs: DataFrame) -> DataFrame:
     e = F.lower(F.try_element_at(F.transform_keys("headers", lambda k, v: F.lower(k)), F.lit("content-encoding")))
     return runs.select("run_id", F.when(e.contains("br"), "br").when(e.contains("gzip"), "gzip").when(e.contains("deflate"), "deflate").alias("compression_seen"))
+
+
+# Delivery networks by a part of a header's name or value, first match wins. Fixed values.
+CDN = (("cloudflare", ("cf-ray", "cloudflare")), ("fastly", ("x-fastly", "fastly")), ("akamai", ("akamai",)), ("cloudfront", ("cloudfront", "x-amz-cf")), ("vercel", ("x-vercel", "vercel")))
+
+
+def detect_cdn(runs: DataFrame) -> DataFrame:
+    """(run_id, cdn_seen) by the headers' names and values."""
+    text = F.lower(F.concat_ws(" ", F.map_keys("headers"), F.map_values("headers")))
+    out = F.lit(None).cast("string")
+    for name, parts in reversed(CDN):
+        hit = text.contains(parts[0])
+        for p in parts[1:]:
+            hit = hit | text.contains(p)
+        out = F.when(hit, F.lit(name)).otherwise(out)
+    return runs.filter("headers is not null").select("run_id", out.alias("cdn_seen"))
+
+
+def https_seen(runs: DataFrame) -> DataFrame:
+    """(run_id, https): the address or any hop is https."""
+    return runs.select("run_id", (F.lower("url").startswith("https://") | F.exists(F.coalesce("redirect_chain", F.array().cast("array<string>")), lambda x: F.lower(x).startswith("https://"))).alias("https"))

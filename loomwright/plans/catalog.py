@@ -750,3 +750,82 @@ _sql(
     revenue_by_nation="SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*)::BIGINT AS n_items FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     dom_tag_counts="SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '(<script[^>]*>).*?</script>|(<style[^>]*>).*?</style>|<!--.*?-->', '\\1\\2', 'gs'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM page_runs) WHERE tag NOT IN ('meta', 'link', 'title', 'base', 'head') GROUP BY 1",
 )
+
+
+# ------------------------------------------------------------------------------------------- more of the DOM and of headers
+
+
+@_query
+def third_party_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return D.third_party(_dom(spark, d), _runs(spark, d), "run_id")
+
+
+@_query
+def skeleton_counts(spark: SparkSession, d: str) -> DataFrame:
+    return D.skeleton_counts(_dom(spark, d), "run_id")
+
+
+@_query
+def image_alt_classes(spark: SparkSession, d: str) -> DataFrame:
+    return D.image_classes(_dom(spark, d), "run_id")
+
+
+@_query
+def contents_tables(spark: SparkSession, d: str) -> DataFrame:
+    return D.contents_tables(_dom(spark, d), "run_id")
+
+
+@_query
+def duplicate_headings(spark: SparkSession, d: str) -> DataFrame:
+    return D.duplicate_headings(_dom(spark, d), "run_id")
+
+
+@_query
+def deepest_path(spark: SparkSession, d: str) -> DataFrame:
+    return D.deepest_path(_dom(spark, d), "run_id")
+
+
+@_query
+def cdn_detect(spark: SparkSession, d: str) -> DataFrame:
+    return R.detect_cdn(_runs(spark, d)).groupBy("cdn_seen").agg(F.count("*").alias("n_runs"))
+
+
+@_query
+def compression_detect(spark: SparkSession, d: str) -> DataFrame:
+    return R.detect_compression(_runs(spark, d)).groupBy("compression_seen").agg(F.count("*").alias("n_runs"))
+
+
+@_query
+def https_seen(spark: SparkSession, d: str) -> DataFrame:
+    return R.https_seen(_runs(spark, d)).groupBy("https").agg(F.count("*").alias("n_runs"))
+
+
+@_query
+def cluster_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The ten pages with the most in-links of each cluster."""
+    return G.top_per_group(_nodes(spark, d), "cluster", [F.desc("inlinks"), F.col("url")], 10).select("cluster", "url", "inlinks")
+
+
+@_query
+def top_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The ten pages with the most in-links."""
+    return _nodes(spark, d).orderBy(F.desc("inlinks"), "url").limit(10).select("url", "inlinks", "type")
+
+
+@_query
+def soft404_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each title's trigrams its first heading shares."""
+    a, b = X.trigrams(F.coalesce("title", F.lit(""))), X.trigrams(F.coalesce("h1", F.lit("")))
+    return _crawl(spark, d).select("page_id", F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1)), 6).alias("overlap"))
+
+
+_CDN = " ".join("WHEN " + " OR ".join(f"contains(t, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in R.CDN)
+_TRI = lambda c: f"CASE WHEN length({c}) >= 3 THEN list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3))) ELSE [] END"
+_sql(
+    cdn_detect=f"SELECT CASE {_CDN} END AS cdn_seen, count(*)::BIGINT AS n_runs FROM (SELECT lower(array_to_string(list_concat(map_keys(headers), map_values(headers)), ' ')) AS t FROM page_runs WHERE headers IS NOT NULL) GROUP BY 1",
+    compression_detect="SELECT CASE WHEN contains(e, 'br') THEN 'br' WHEN contains(e, 'gzip') THEN 'gzip' WHEN contains(e, 'deflate') THEN 'deflate' END AS compression_seen, count(*)::BIGINT AS n_runs FROM (SELECT lower(headers['content-encoding']) AS e FROM page_runs) GROUP BY 1",
+    https_seen="SELECT lower(url) LIKE 'https://%' OR len(list_filter(coalesce(redirect_chain, []), lambda x: lower(x) LIKE 'https://%')) > 0 AS https, count(*)::BIGINT AS n_runs FROM page_runs GROUP BY 1",
+    cluster_pages=f"SELECT cluster, url, inlinks FROM {_NODES} QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY inlinks DESC, url) <= 10",
+    top_pages=f"SELECT url, inlinks, type FROM {_NODES} ORDER BY inlinks DESC, url LIMIT 10",
+    soft404_trigrams=f"SELECT page_id, round(len(list_intersect(a, b)) / greatest(len(a), len(b), 1)::DOUBLE, 6) AS overlap FROM (SELECT page_id, {_TRI('t')} AS a, {_TRI('h')} AS b FROM (SELECT page_id, lower(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS t, lower(regexp_replace(coalesce(h1, ''), '\\s+', ' ', 'g')) AS h FROM crawl_pages))",
+)

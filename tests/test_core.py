@@ -148,3 +148,33 @@ def test_backpressure_and_upsert(spark):
     assert one(spark, F.round(S.backpressure(F.array(*map(F.lit, (429, 429, 200)))), 4), x="") == 2.1375
     df = spark.createDataFrame([("u", False, 1), ("u", True, 2), ("v", False, 3)], "url string, complete boolean, x int")
     assert {(r.url, r.x) for r in S.upsert(df, "url", "complete").collect()} == {("u", 2), ("v", 3)}
+
+
+def test_third_parties_vendors_and_skeleton(spark):
+    html = "<body><script src='https://www.google-analytics.com/a.js'></script><script src='//cdn.e.com/x.js'></script><script src='https://x.other.net/y'></script><svg><g></g></svg><h2 id=a>A</h2><h2 id=b>a</h2><h3 id=c>C</h3><a href='#a'>1</a><a href='#b'>2</a><a href='#c'>3</a><img alt='image1' src=a.webp></body>"
+    pages = spark.createDataFrame([(1, "https://www.e.com/p", html)], "p bigint, url string, h string")
+    dom = D.dom_nodes(pages, "p", "h").cache()
+    assert {(r.domain, r.category) for r in D.third_party(dom, pages, "p").collect()} == {("www.google-analytics.com", "analytics"), ("x.other.net", "other")}
+    assert D.skeleton_counts(dom, "p").first().n == 8
+    assert D.contents_tables(dom, "p").first().n_links == 3
+    assert [(r.text, r.n) for r in D.duplicate_headings(dom, "p").collect()] == [("A", 2)]
+    assert (D.image_classes(dom, "p").first().alt_class, D.image_classes(dom, "p").first().modern) == ("poor", 1)
+    assert D.deepest_path(dom, "p").first().path == "body>svg>g"
+
+
+def test_property_resolution(spark):
+    props = spark.createDataFrame([("domain:e.com",), ("https://e.com/blog/",), ("http://f.org/",), ("https://f.org/a/",)], "property string")
+    sites = spark.createDataFrame([("https://shop.e.com/x",), ("https://e.com/blog/1",), ("https://f.org/a/b",), ("https://f.org/c",), ("https://g.net/",)], "url string")
+    assert {r.url: r.property for r in M.resolve_property(sites, props).collect()} == {"https://shop.e.com/x": "domain:e.com", "https://e.com/blog/1": "domain:e.com", "https://f.org/a/b": "https://f.org/a/", "https://f.org/c": "http://f.org/"}
+
+
+def test_markdown_blocks(spark):
+    from loomwright.operators import markdown as K
+
+    md = "# T\n\n> a\n> b\n\n> c\n\n- x\ntext\n- y\n\n1. z\n\n```\n# no\n- no\n```\n\n### Deep\n\n| a |\n| --- |\n| b |"
+    df = spark.createDataFrame([(1, md, "https://e.com/"), (2, None, None), (3, "", None)], "id bigint, m string, u string")
+    r = K.structure(df, "id", "m").collect()
+    assert len(r) == 1 and (r[0].headings, r[0].code_blocks, r[0].quote_blocks, r[0].unordered_lists, r[0].ordered_lists, r[0].items, r[0].tables, r[0].table_rows) == (2, 1, 2, 1, 1, 3, 1, 2)
+    assert [(x.from_level, x.to_level) for x in K.heading_skips(df, "id", "m").collect()] == [(1, 3)]
+    links = spark.createDataFrame([(1, "[read more](/a) ![i](/b) [two words](https://f.org/x) [](https://e.com/y) [https://g.net](https://g.net)", "https://e.com/")], "id bigint, m string, u string")
+    assert {(x.anchor_class, x.internal) for x in K.links(links, "id", "m", "u").collect()} == {("generic", True), ("descriptive", False), ("empty", True), ("naked", False)}
