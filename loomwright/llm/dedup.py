@@ -13,7 +13,8 @@ is repeated for each salt, and the records of a group spread over the salts. Gro
 shuffle (partial aggregation).
 
 Defined results: a null field equals only null; '' and a field of punctuation only equal each other; a record whose
-fields are all null has copies among such records; repeated rows with the same id count once; an empty table gives none.
+fields are all null has copies among such records; repeated rows with the same id count once; rows without
+an id are left out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def fingerprints(df: DataFrame, id_col: str, url_fields: Sequence[str] = (), tex
     """(_id, _pairs, _fp) of each record."""
     arrays = [url_pairs(F.col(f), f) for f in url_fields] + [plain_pairs(F.col(f), f) for f in text_fields]
     pairs = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    d = df.select(F.col(id_col).alias("_id"), pairs.alias("_pairs"))
+    d = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), pairs.alias("_pairs"))
     # the 160 bits of the fingerprint are hashed once more to 128, which is what is shuffled
     h = multiset_hash(F.col("_pairs"))
     return d.select("_id", "_pairs", h.alias("_h")).select("_id", "_pairs", F.xxhash64("_h").alias("_f1"), F.xxhash64(F.lit(7), "_h").alias("_f2"))

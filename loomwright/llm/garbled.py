@@ -15,7 +15,7 @@ which names a single letter of the kind as well.
 Stages: the counts of contexts (one row for each context, bounded by the alphabets); the documents with anything odd
 (a few per cent, written once); the units' contexts per source, again bounded by the alphabets, and a table for each
 source; the decision by document. Defined results: null, empty and blank texts are no cases; a null source is a source of
-its own; repeated rows of a doc_id give it once.
+its own; repeated rows of a doc_id give it once; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -417,7 +417,7 @@ def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         for b in batches:
             yield b.filter(pa.array([bool(t) and odd(t, counts.value) for t in b.column(2).to_pylist()], pa.bool_()))
 
-    some = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    some = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     some = cut(some.mapInArrow(keep, f"id {id_type}, source string, text string"))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

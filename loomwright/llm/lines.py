@@ -13,7 +13,7 @@ salted by document, so a line on a third of all documents spreads over the salts
 
 Defined results: a null source is a source of its own; a null or empty text has no lines; a line without letters
 doesn't count; several equal lines of one document are one document and each an occurrence; repeated rows of one
-document count once.
+document count once; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def line_chunks(df: DataFrame, id_col: str, source_col: str, text_col: str) -> D
                     ["id", "line_no", "k1", "k2", "chunk", "first", "head"],
                 )
 
-    return df.select(id_col, source_col, text_col).mapInArrow(run, f"id {id_type}, line_no int, k1 bigint, k2 bigint, chunk bigint, first boolean, head boolean")
+    return df.filter(F.col(id_col).isNotNull()).select(id_col, source_col, text_col).mapInArrow(run, f"id {id_type}, line_no int, k1 bigint, k2 bigint, chunk bigint, first boolean, head boolean")
 
 
 def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, least: int = 6, salts: int = 8) -> DataFrame:

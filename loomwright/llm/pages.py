@@ -5,7 +5,8 @@ where it isn't null, else the html. Markdown never moves: its features are compu
 markdown is null need their html, so the html side alone is joined (by run_id, against the ids that have a markdown).
 
 Defined results: pages whose both texts are null, empty or blank, or have no body, are no cases and have no body
-blocks; repeated rows of a run_id give the run once; an empty table gives none.
+blocks; repeated rows of a run_id give the run once (in page_blocks and body_blocks each row's blocks); rows without an id
+are left out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def _map(df: DataFrame, id_col: str, cols: Sequence[str], f: Callable[..., Itera
                 arrays = [pa.array(p, t) for p, (_, t, _) in zip(parts, out)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *arrays], [id_col, *names])
 
-    return df.select(id_col, *cols).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{n} {t}" for n, _, t in out))
+    return df.filter(F.col(id_col).isNotNull()).select(id_col, *cols).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{n} {t}" for n, _, t in out))
 
 
 def each_page(splits: DataFrame, runs: DataFrame, f: Callable[[str, str | None, bool], Iterator[tuple]], out: Sequence[tuple[str, pa.DataType, str]], id_col: str = "run_id") -> DataFrame:

@@ -18,8 +18,8 @@ ERROR = "# 404 Page not found\n\nSorry, the page you are looking for could not b
 LINKS = "# Links\n\n" + "\n".join(f"* [site-{i}](https://s{i}.test/?id={i})" for i in range(40))
 
 
-def frames(spark, texts, html=()):
-    s = spark.createDataFrame([(i, "https://www.zorro-shop.example/a", t, None, "c", 1, "l", 2) for i, t in enumerate(texts)], SPLITS)
+def frames(spark, texts, html=(), without_id=(SPAM, ERROR, PAGE)):
+    s = spark.createDataFrame([(i, "https://www.zorro-shop.example/a", t, None, "c", 1, "l", 2) for i, t in [*enumerate(texts), *((None, t) for t in without_id)]], SPLITS)
     return s, spark.createDataFrame([(i, "https://www.zorro-shop.example/a", h, 200, "b", 1) for i, h in html], RUNS)
 
 
