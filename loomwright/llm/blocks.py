@@ -1,6 +1,6 @@
 """Page blocks: cutting markdown or html into blocks and telling the body from the furniture.
 
-The body is found by composite text density (Sun, Song, Liao 2011): every node of the page's DOM has its
+Each block gets its composite text density (Sun, Song, Liao 2011): every node of the page's DOM has its
 characters ``C``, tags ``T``, link characters ``LC`` and link tags ``LT``; the link-adjusted density of a node is
 
     C/T * log_b( C/LC * T/LT ),   b = ln( C/nLC * LC + LCb/Cb * C + e )
@@ -8,8 +8,12 @@ characters ``C``, tags ``T``, link characters ``LC`` and link tags ``LT``; the l
 with ``nLC = C - LC`` and ``LCb, Cb`` the link characters and characters of the whole body. The densities of the
 children are summed, the node with the largest sum is the body's subtree, and the least density on the path from
 the root to it is the threshold for the rest. Markdown is read as the DOM it denotes: the page, its sections (a
-heading and what follows), blocks, lines or items, links. An exact check of single blocks follows (links into the
-site's own tree, standing cues of consent, sign-up, share, breadcrumb and imprint lines, the site's own name).
+heading and what follows), blocks, lines or items, links.
+
+The density does not select the body: notices are as dense as paragraphs, images and captions are not (measured in
+the README). Single blocks are decided by links into the site's own tree, standing cues of consent, sign-up, share,
+breadcrumb and imprint lines and the site's own name; what none of them names is body. Only bare short lines before the
+title are also held against the threshold.
 
 Plain Python over whole texts; nothing here knows Spark.
 """
