@@ -63,13 +63,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 50, damping:
     return ids.join(rank, "id").select("url", F.round(F.col("r") / F.lit(top), 4).alias("page_rank"))
 
 
-def link_depth(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
-    """(url, link_depth) of the pages reached from the start pages over internal links."""
-    e = cut(edges.filter("internal and src <> dst").select("src", "dst").distinct())
+def link_depth(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(url, link_depth) of the pages reached from the start pages over internal links.
+
+    Runs until the front is empty; each round reaches at least one new page, so it ends on cycles too. Only where `most`
+    is given are pages beyond so many rounds left out.
+    """
+    # targets that are no nodes are dropped once, not in each round
+    e = cut(edges.filter("internal and src <> dst").select("src", "dst").distinct().join(nodes.select(F.col("url").alias("dst")), "dst", "left_semi"))
     seen = cut(nodes.join(starts.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("link_depth")).distinct())
-    front = seen
-    for depth in range(1, most + 1):
-        step = front.join(e, front["url"] == e["src"]).select(F.col("dst").alias("url")).distinct().join(nodes.select("url"), "url", "left_semi").join(seen, "url", "left_anti")
+    front, depth = seen, 0
+    while most is None or depth < most:
+        depth += 1
+        step = front.join(e, front["url"] == e["src"]).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         front = cut(step.select("url", F.lit(depth).alias("link_depth")))
         if front.isEmpty():
             break
@@ -77,6 +83,12 @@ def link_depth(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int
     return seen
 
 
+def depths(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(url, link_depth, reached) of all pages; of those that no start page reaches, the crawl depth, which may be null."""
+    d = link_depth(nodes, edges, starts)
+    return nodes.select("url", "crawl_depth").join(d, "url", "left").select("url", F.coalesce("link_depth", "crawl_depth").cast("int").alias("link_depth"), F.col("link_depth").isNotNull().alias("reached"))
+
+
 def node_type(status: Column, url: Column, inlinks: Column) -> Column:
     """home, then 5xx, 4xx, orphan, normal."""
     home = F.regexp_replace(U.path(url), "/+$", "") == ""

@@ -232,6 +232,13 @@ def link_depth(spark: SparkSession, d: str) -> DataFrame:
     return G.link_depth(n, _edges(spark, d), n.filter("crawl_depth <= 1"), most=4)
 
 
+@_query
+def link_depth_all(spark: SparkSession, d: str) -> DataFrame:
+    """Depth of every page, without a bound; the crawl depth where no link leads from those start pages."""
+    n = G.latest(_crawl(spark, d).select("url", "page_id", "crawl_depth"))
+    return G.depths(n, _edges(spark, d), n.filter("crawl_depth <= 1"))
+
+
 @_query
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).select("url", "type", "inlinks", "outlinks", "out_external", "flags", "cluster")

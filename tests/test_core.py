@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import texts as X, urls as U
 from loomwright.operators import dom as D, graph as G, jsonld as J, metrics as M, report as R, robots as B
+from loomwright.plans import catalog
 from loomwright.sources import readers, writers
 from loomwright.streaming import flows as S
 
@@ -81,6 +82,28 @@ def test_link_depth_with_a_cycle(spark):
     assert {r.url: r.link_depth for r in G.link_depth(n, e, n.filter("url = 'a'")).collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_link_depth_has_no_bound(spark):
+    n, e = graph(spark, [(f"p{i}", f"p{i + 1}") for i in range(53)])
+    assert {r.url: r.link_depth for r in G.link_depth(n, e, n.filter("url = 'p0'")).collect()} == {f"p{i}": i for i in range(54)}
+
+
+def test_all_depths_equal_a_plain_search(spark, data):
+    pages, links = {}, {}
+    for r in spark.read.parquet(f"{data}/crawl_pages.parquet").select("url", "page_id", "crawl_depth").filter("url is not null").orderBy("page_id").collect():
+        pages[r.url] = r.crawl_depth
+    for r in catalog.QUERIES["link_edges"](spark, data).filter("internal").collect():
+        links.setdefault(r.src, []).append(r.dst)
+    want = {u: 0 for u, c in pages.items() if c is not None and c <= 1}
+    todo = list(want)
+    for u in todo:
+        for v in links.get(u, []):
+            if v in pages and v not in want:
+                want[v] = want[u] + 1
+                todo.append(v)
+    got = {r.url: (r.link_depth, r.reached) for r in catalog.QUERIES["link_depth_all"](spark, data).collect()}
+    assert got == {u: (want.get(u, c), u in want) for u, c in pages.items()}
+
+
 def test_dom_rules(spark):
     html = "<html lang=en><head><meta charset=utf-8><title>T</title></head><body><div><p>a<p>b<b>c</div><img src=x><img src=y alt=''><script>var p='</p>';</script><label>n <input></label><input id=q><label for=q>q</label><input></body></html>"
     dom = D.dom_nodes(spark.createDataFrame([(1, html), (2, None), (3, "")], "page bigint, html string"), "page", "html").cache()
