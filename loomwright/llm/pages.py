@@ -183,8 +183,8 @@ def near_pairs(reps: DataFrame, crowded: int = 200) -> DataFrame:
     """(a, b): pairs of different texts within HAMMING bits of SimHash whose shingles are SIMILAR or more.
 
     Four tables of 16 bits hold every pair within three bits at least once. The texts of a crowded bucket are keyed
-    again by four parts of their other 48 bits, of which one must agree as well, so no pair is lost and no bucket
-    is paired as a whole.
+    again by four parts of their other 48 bits, of which one must agree as well, so no pair within three bits is lost and
+    no bucket is paired as a whole. Short texts that are SIMILAR are mostly further apart; similar_pairs has those.
     """
     h = F.col("simhash")
     tables = F.array(*(F.struct(F.lit(k).alias("t"), _band(h, k, 16, BANDS).alias("v")) for k in range(BANDS)))
@@ -198,24 +198,49 @@ def near_pairs(reps: DataFrame, crowded: int = 200) -> DataFrame:
     a = k.select(F.col("rep").alias("a"), F.col("simhash").alias("ha"), "t", "v", "j", "w")
     b = k.select(F.col("rep").alias("b"), F.col("simhash").alias("hb"), "t", "v", "j", "w")
     near = a.join(b, ["t", "v", "j", "w"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= HAMMING)).select("a", "b").distinct()
+    return _similar(near, reps)
+
+
+def _similar(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs whose shingles are SIMILAR or more."""
     s = reps.select("rep", "shingles")
-    full = near.join(s.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    full = pairs.join(s.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return full.filter(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def similar_pairs(reps: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different texts whose shingles are SIMILAR or more, by an exact prefix join.
+
+    The shingles of each text are ordered by the number of texts that have them, rare ones first. Of two texts of n
+    and m shingles that are SIMILAR, the first n - ceil(SIMILAR * n) + 1 and m - ceil(SIMILAR * m) + 1 have at least one
+    in common, so only those are joined; texts of too different lengths are dropped, the rest is compared in full.
+    """
+    one = reps.select("rep", F.explode("shingles").alias("g"))
+    often = one.groupBy("g").agg(F.count("*").alias("n_texts"))
+    ordered = one.join(often, "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n_texts", "g"))).alias("o"))
+    n = F.size("o")
+    # the small number only lengthens the prefix where the product is a whole number
+    first = (n - F.ceil(F.lit(SIMILAR) * n - F.lit(1e-9)) + 1).cast("int")
+    keyed = ordered.select("rep", n.alias("n"), F.explode(F.slice("o", F.lit(1), first)).alias("x")).filter("x.n_texts > 1").select("rep", "n", "x.g")
+    a, b = (keyed.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), "g") for k in ("a", "b"))
+    pairs = a.join(b, "g").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(SIMILAR) * F.greatest("na", "nb") - F.lit(1e-9)))
+    return _similar(pairs.select("a", "b").distinct(), reps)
+
+
 def residue_pages(splits: DataFrame, runs: DataFrame, id_col: str = "run_id", salts: int = 16) -> DataFrame:
     """(id, trusted): pages whose body is residue.
 
     Trusted are pages whose body is for the larger part of unmistakable residue. Texts are collapsed into classes of
-    equal words (numbers and ids left out), the classes' representatives are linked where their SimHashes and their
-    shingles are near, and the label is carried through the components of the links. A page with a full text of its
+    equal words (numbers and ids left out), the classes' representatives are linked where their shingles are near (found
+    by SimHash, and by the exact prefix join what that misses), and the label is carried through the components of the links. A page with a full text of its
     own isn't reached, whatever it is linked with.
     """
     feats = cut(residue_features(splits, runs, id_col).dropDuplicates([id_col]))
     classes = feats.groupBy("k1", "k2").agg(F.min(id_col).alias("rep"), F.max("trusted").alias("seed"), F.first("simhash").alias("simhash"), F.first("shingles").alias("shingles"))
     classes = cut(classes)
-    links = near_pairs(classes.filter(F.size("shingles") > 0))
+    reps = classes.filter(F.size("shingles") > 0)
+    links = near_pairs(reps).unionByName(similar_pairs(reps))  # repeated links are dropped in components
     comp = components(links, "a", "b")
     label = classes.join(comp, classes["rep"] == comp["node"], "left").select("k1", "k2", "seed", F.coalesce("component", "rep").alias("component"))
     marked = label.groupBy("component").agg(F.max("seed").alias("label")).filter("label")

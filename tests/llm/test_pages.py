@@ -82,6 +82,24 @@ def test_crowded_buckets_lose_no_pair(spark):
         assert {(r.a, r.b) for r in P.near_pairs(df, crowded).collect()} == want
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for n in [30, 45, 60, 90, 120, 150] * 6:
+        words = [rnd.choice(vocabulary) for _ in range(n)]
+        at, k = rnd.randrange(n - 4), rnd.randrange(1, 5)
+        texts += [words, words[:at] + [rnd.choice(vocabulary) for _ in range(k)] + words[at + k :], words[: n - 2]]
+    sets = [P.shingle_hashes(w) for w in texts]
+    rows = [(i, P._signed(P.simhash(list(x))), sorted(map(P._signed, x))) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "rep bigint, simhash bigint, shingles array<bigint>")
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert {(r.a, r.b) for r in P.similar_pairs(df).collect()} == want
+    near = {(r.a, r.b) for r in P.near_pairs(df).collect()}
+    assert near < want  # SimHash alone loses some
+    assert P.similar_pairs(df.limit(0)).count() == 0
+
+
 def test_repeats_equal_brute_force():
     rnd = random.Random(1)
     for _ in range(60):
