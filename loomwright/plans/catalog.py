@@ -49,6 +49,25 @@ def p1_technical_checks(spark: SparkSession, d: str) -> DataFrame:
     return nested.pivot_group(_report_triples(spark, d), "report_id", "scores.seo.technical.checks", ["check", "status"])
 
 
+# the other groups' tables: query -> (group, fields); parent_path is the row_path of the parent group's table
+REPORT_GROUPS = {
+    "p1_cwv_by_country": ("scores.performance.cwv.by_country", ["country", "value"]),
+    "p1_cwv_by_country_buckets": ("scores.performance.cwv.by_country.buckets", ["min", "max", "proportion"]),
+    "p1_technical": ("scores.seo.technical", ["group", "check", "status"]),
+    "p1_technical_evidence": ("scores.seo.technical.evidence", ["selector", "found"]),
+    "p1_technical_evidence_hints": ("scores.seo.technical.evidence.hints", ["text", "weight"]),
+    "p1_technical_checks_evidence": ("scores.seo.technical.checks.evidence", ["selector", "found"]),
+    "p1_technical_checks_evidence_hints": ("scores.seo.technical.checks.evidence.hints", ["text", "weight"]),
+}
+
+
+def _report_group(group: str, fields: list[str]) -> Query:
+    return lambda spark, d: nested.pivot_group(_report_triples(spark, d), "report_id", group, fields)
+
+
+QUERIES |= {name: _report_group(*x) for name, x in REPORT_GROUPS.items()}
+
+
 # ------------------------------------------------------------------------------------------- shared SQL
 
 _RE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"

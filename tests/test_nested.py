@@ -3,6 +3,7 @@ import json
 import pytest
 from hypothesis import given, settings, strategies as st
 from loomwright.operators import nested as N
+from loomwright.plans import catalog
 
 ROOT = ["a.b"]
 SCHEMA = "report_id bigint, body string, field string, object_path string"
@@ -70,3 +71,21 @@ def test_objects_equal_a_plain_recursion(v):
     got = [(t[1], t[0]) for t in N.triples(json.loads(json.dumps(v), parse_int=N._Number), "r") if t[6] == "object"]
     assert sorted(got) == sorted(want)
     assert N._deep(json.dumps(v)) == json.loads(json.dumps(v), parse_int=str)
+
+
+def test_every_object_has_a_row_in_one_flat_table(spark, data):
+    tables = {k: f(spark, data) for k, f in catalog.QUERIES.items() if k.startswith("p1_") and k != "p1_found"}
+    rows = [(r.report_id, r.row_path, r.parent_path) for t in tables.values() for r in t.select("report_id", "row_path", "parent_path").collect()]
+    assert sorted(rows) == sorted((r.report_id, r.child_path, r.parent_path) for r in catalog.QUERIES["p1_found"](spark, data).collect())
+    assert len(tables) == 10
+
+
+def test_flat_table_keeps_values_and_parents(spark, tmp_path):
+    body = json.dumps({"scores": {"seo": {"technical": [{"group": "g", "checks": [{"check": "c", "status": "ok", "evidence": [{"selector": "s", "found": 3, "hints": [{"text": "t", "weight": 2}]}]}]}]}}})
+    spark.createDataFrame([(7, body)], "report_id bigint, body string").write.parquet(f"{tmp_path}/report_records.parquet")
+    r = catalog.QUERIES["p1_technical"](spark, str(tmp_path)).first()
+    assert (r.report_id, r.row_path, r.f_group, r.f_check) == (7, "scores.seo.technical[0]", "g", None)
+    e = catalog.QUERIES["p1_technical_checks_evidence"](spark, str(tmp_path)).first()
+    assert (e.parent_path, e.f_selector, e.f_found) == ("scores.seo.technical[0].checks[0]", "s", "3")
+    h = catalog.QUERIES["p1_technical_checks_evidence_hints"](spark, str(tmp_path)).first()
+    assert (h.parent_path, h.f_text, h.f_weight) == (e.row_path, "t", "2")
