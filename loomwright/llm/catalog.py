@@ -29,6 +29,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return language.wrong_languages(table(spark, d, "page_splits"), table(spark, d, "content_analysis"))
 
 
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every page that p5_found judges, whatever its label: (run_id, lang, confidence, ambiguous, mixed)."""
+    return language.document_languages(language.page_segments(table(spark, d, "page_splits"), table(spark, d, "content_analysis")), "run_id")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every block of running text of those pages, with its confidence."""
+    return language.page_segments(table(spark, d, "page_splits"), table(spark, d, "content_analysis"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.body_blocks(table(spark, d, "page_splits"))
 
@@ -66,7 +76,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restored(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "restored_text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p5_found, p5_languages, p5_segments, p6_found, p7_found, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 _NORM = "regexp_replace(lower(url_decode(regexp_replace({x}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)', '\\1', 'g'))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import blocks as B, clauses as C, language as L, pages as P, residue as R
+from loomwright.llm import blocks as B, catalog, clauses as C, language as L, pages as P, residue as R
 from loomwright.llm.components import components
 
 SPLITS = "run_id bigint, url string, markdown string, skeleton string, chunk string, id bigint, label string, component bigint"
@@ -187,3 +187,23 @@ def test_wrong_labels_and_other_blocks(labelled):
     assert got == {(0, 3, "es"), (1, -1, "es"), (5, -1, "en")}
     assert {(r.run_id, r.block_no, r.lang) for r in L.wrong_languages(s.unionByName(s), a).collect()} == got
     assert L.wrong_languages(s.limit(0), a.limit(0)).count() == 0
+
+
+def test_each_page_and_block_has_a_language(labelled):
+    s, a = labelled
+    seg = L.page_segments(s, a)
+    blocks = {(r.run_id, r.block_no): r for r in seg.collect()}
+    assert all(0 < r.confidence <= 1 for r in blocks.values())
+    assert (blocks[0, 1].lang, blocks[0, 3].lang) == ("en", "es")
+    pages = {r.run_id: r for r in L.document_languages(seg, "run_id").collect()}
+    # pages with a right label too; none of spam, residue or without a text
+    assert {k: r.lang for k, r in pages.items()} == {0: "en", 1: "es", 5: "en", **{6 + i: "es" if i % 2 else "en" for i in range(8)}}
+    assert pages[0].mixed and not pages[1].mixed and pages[0].confidence < pages[1].confidence <= 1
+
+
+def test_language_queries(spark, data):
+    pages = {r.run_id: r.lang for r in catalog.QUERIES["p5_languages"](spark, data).collect()}
+    seg = {(r.run_id, r.block_no): r.lang for r in catalog.QUERIES["p5_segments"](spark, data).collect()}
+    assert pages and {k for k, _ in seg} == set(pages)
+    for r in catalog.QUERIES["p5_found"](spark, data).collect():
+        assert r.lang == pages[r.run_id] if r.block_no < 0 else r.lang == seg[r.run_id, r.block_no] != pages[r.run_id]
