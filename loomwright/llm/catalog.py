@@ -25,6 +25,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.residue_pages(table(spark, d, "page_splits"), table(spark, d, "page_runs")).select("run_id")
 
 
+def p4_remaining(spark: SparkSession, d: str) -> DataFrame:
+    """The runs that remain without those of p4_found."""
+    return table(spark, d, "page_runs").select("run_id").filter("run_id is not null").distinct().join(p4_found(spark, d), "run_id", "left_anti")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return language.wrong_languages(table(spark, d, "page_splits"), table(spark, d, "content_analysis"))
 
@@ -43,11 +48,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.body_blocks(table(spark, d, "page_splits"))
 
 
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every page's body, of its html where it has no markdown."""
+    return pages.main_text(table(spark, d, "page_splits"), table(spark, d, "page_runs"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = lines.repeated_lines(table(spark, d, "crawl_pages"), "page_id", "host", "raw_html")
     return found.select(F.col("id").alias("page_id"), "line_no")
 
 
+def p7_without(spark: SparkSession, d: str) -> DataFrame:
+    """Every raw_html without the lines of p7_found; null stays null."""
+    crawl = table(spark, d, "crawl_pages")
+    found = lines.repeated_lines(crawl, "page_id", "host", "raw_html")
+    return lines.without_lines(crawl, found, "page_id", "raw_html", "raw_html").withColumnRenamed("id", "page_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -76,7 +93,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restored(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "restored_text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p5_found, p5_languages, p5_segments, p6_found, p7_found, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_remaining, p5_found, p5_languages, p5_segments, p6_found, p6_main_text, p7_found, p7_without, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 _NORM = "regexp_replace(lower(url_decode(regexp_replace({x}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)', '\\1', 'g'))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 

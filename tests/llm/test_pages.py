@@ -207,3 +207,19 @@ def test_language_queries(spark, data):
     assert pages and {k for k, _ in seg} == set(pages)
     for r in catalog.QUERIES["p5_found"](spark, data).collect():
         assert r.lang == pages[r.run_id] if r.block_no < 0 else r.lang == seg[r.run_id, r.block_no] != pages[r.run_id]
+
+
+def test_each_page_has_its_main_text_and_remains_or_not(spark, data, tmp_path):
+    runs, splits = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("page_runs", "page_splits"))
+    splits = splits.withColumn("markdown", F.expr("CASE WHEN run_id % 5 <> 0 THEN markdown END"))  # some pages with html only
+    runs.write.parquet(f"{tmp_path}/page_runs.parquet")
+    splits.write.parquet(f"{tmp_path}/page_splits.parquet")
+    data = str(tmp_path)
+    texts = {r.run_id: r.body_text for r in catalog.QUERIES["p6_main_text"](spark, data).collect()}
+    md = {r.run_id: r for r in splits.filter("markdown is not null").collect()}
+    only = {r.run_id for r in runs.filter("html is not null").collect()} - set(md)
+    assert only and set(texts) == set(md) | only and all(texts[k] for k in only)
+    for k, r in md.items():
+        assert texts[k] == "\n\n".join(b.text for b in B.body_blocks(r.markdown, r.url))
+    found, rest = ({r.run_id for r in catalog.QUERIES[q](spark, data).collect()} for q in ("p4_found", "p4_remaining"))
+    assert not found & rest and found | rest == {r.run_id for r in runs.collect()}

@@ -117,6 +117,15 @@ def test_cut_lines(spark):
     assert {(r.id, r.text_without) for r in lines.without_lines(df, cut, "page_id", "raw_html").collect()} == {(1, "a\nc"), (2, None)}
 
 
+def test_each_html_is_left_without_its_repeated_lines(spark, data):
+    cuts = {}
+    for r in catalog.QUERIES["p7_found"](spark, data).collect():
+        cuts.setdefault(r.page_id, set()).add(r.line_no)
+    pages = {r.page_id: r.raw_html for r in spark.read.parquet(f"{data}/crawl_pages.parquet").collect()}
+    got = {r.page_id: r.raw_html for r in catalog.QUERIES["p7_without"](spark, data).collect()}
+    assert cuts and got == {k: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cuts.get(k, ())) for k, t in pages.items()}
+
+
 # ------------------------------------------------------------------------------------------- token ids
 
 
