@@ -4,8 +4,9 @@ A wrong code page is a substitution cipher over the letters outside ASCII: each
 signs. Per source the table from units to letters is learned by expectation-maximization: the hidden letter of a unit
 between the letters p and n has the probability theta(letter | unit) * T(p, letter, n), with T from the corpus' own
 counts of letters in their contexts, all documents counted; theta starts at the units that known code pages
-would give and a little on every other letter, and is re-estimated until it settles. A unit counts as garbled where
-its letter is far likelier in its context than the unit itself; it is replaced by the source's table (translate).
+would give and a little on every other letter, and is re-estimated until it settles. A unit of one sign counts as garbled
+where its letter is far likelier in its context than the unit itself, one of several signs also wherever the table of
+known code pages has it; it is replaced by the source's table (translate). Only listed code pages (READ_AS, WRITTEN_AS) are found.
 Texts whose every letter is enciphered (Cyrillic, Japanese) are read back page by page, and the reading whose
 bigrams the corpus knows best wins. What was lost (U+FFFD) is found though it can't be restored.
 
