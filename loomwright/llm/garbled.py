@@ -3,7 +3,7 @@
 A wrong code page is a substitution cipher over the letters outside ASCII: each letter became a unit of one or more
 signs. Per source the table from units to letters is learned by expectation-maximization: the hidden letter of a unit
 between the letters p and n has the probability theta(letter | unit) * T(p, letter, n), with T from the corpus' own
-counts of letters in their contexts, all documents counted; theta starts at the units that known code pages
+counts of letters in their contexts, all documents counted, contexts seen once left out; theta starts at the units that known code pages
 would give and a little on every other letter, and is re-estimated until it settles. A unit of one sign counts as garbled
 where its letter is far likelier in its context than the unit itself, one of several signs also wherever the table of
 known code pages has it; it is replaced by the source's table (translate). Only listed code pages (READ_AS, WRITTEN_AS) are found.
@@ -13,6 +13,9 @@ bigrams the corpus knows best wins. What was lost (U+FFFD) is found though it ca
 Signs that are only spoken about are no case: a unit that stands alone in quotes, and one that stands alone in a line
 which names a single letter of the kind as well.
 
+The constants of the decision (0.02, 0.5 and others) are absolute, so that for rare contexts it depends on the size of the corpus: a
+context seen once in a small corpus counts as never seen, in a larger one it may be seen twice and count.
+
 Stages: the counts of contexts (one row for each context, bounded by the alphabets); the documents with anything odd
 (a few per cent, written once); the units' contexts per source, again bounded by the alphabets, and a table for each
 source; the decision by document. Defined results: null, empty and blank texts are no cases; a null source is a source of
