@@ -1,19 +1,11 @@
 """Page blocks: cutting markdown or html into blocks and telling the body from the furniture.
 
-Each block gets its composite text density (Sun, Song, Liao 2011): every node of the page's DOM has its
-characters ``C``, tags ``T``, link characters ``LC`` and link tags ``LT``; the link-adjusted density of a node is
-
-    C/T * log_b( C/LC * T/LT ),   b = ln( C/nLC * LC + LCb/Cb * C + e )
-
-with ``nLC = C - LC`` and ``LCb, Cb`` the link characters and characters of the whole body. The densities of the
-children are summed, the node with the largest sum is the body's subtree, and the least density on the path from
-the root to it is the threshold for the rest. Markdown is read as the DOM it denotes: the page, its sections (a
-heading and what follows), blocks, lines or items, links.
-
-The density does not select the body: notices are as dense as paragraphs, images and captions are not (measured in
-the README). Single blocks are decided by links into the site's own tree, standing cues of consent, sign-up, share,
-breadcrumb and imprint lines and the site's own name; what none of them names is body. Only bare short lines before the
-title are also held against the threshold.
+The body is selected by composite text density over the page's node tree (see `density`): a block whose text stands inside the
+subtree of the largest density sum is body, one in a container below the path's threshold or before the title that stands
+in the subtree is not, whatever either says. Links
+into the site's own tree are the only thing looked at inside the subtree. Where neither holds, a check of the single block
+follows: for dense containers outside the subtree, blocks that aren't in the html, and pages without an html. It goes by
+links into the site's own tree, the site's own name and standing cues of consent, sign-up, share, breadcrumb and imprint lines.
 
 Plain Python over whole texts; nothing here knows Spark.
 """
@@ -21,10 +13,12 @@ Plain Python over whole texts; nothing here knows Spark.
 from __future__ import annotations
 
 import html as _html
-import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
+from .density import DENSE, INSIDE, THIN, TOKEN, composite, html_marks, mark_of, read_marks
+
 LINE_END = re.compile(r"\r\n|\n|\r")
 LINK = re.compile(r"(!?)\[([^\[\]]*)\]\(([^()\s]*)[^()]*\)")
 ITEM = re.compile(r"[ \t]*(?:[*+-]|\d{1,4}[.)])[ \t]+")
@@ -175,28 +169,18 @@ def parse(text: str | None, url: str | None = None) -> list[Block]:
     return out
 
 
-def composite(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> float:
-    """The link-adjusted density of one node."""
-    if c <= 0:
-        return 0.0
-    lc_, lt_, t_ = max(lc, 1), max(lt, 1), max(t, 1)
-    base = math.log(c / max(c - lc, 1) * lc + body_lc / max(body_c, 1) * c + math.e)
-    return c / t_ * max(0.0, math.log(max(c / lc_ * t_ / lt_, 1.0)) / max(base, 1.0))
-
-
-def densities(blocks: list[Block]) -> tuple[list[tuple[int, int]], int, float]:
-    """Fills in each block's density; (sections as block ranges, the section of the largest density sum, the threshold)."""
+def densities(blocks: list[Block]) -> float:
+    """Fills in each block's density; the threshold of the path to the section of the largest density sum, over the markdown's own tree."""
     starts = sorted({0, *(i for i, b in enumerate(blocks) if b.kind == "h")})
     spans = [(a, z) for a, z in zip(starts, [*starts[1:], len(blocks)]) if z > a]
     c, t, lc, lt = (sum(getattr(b, k) for b in blocks) for k in ("c", "t", "lc", "lt"))
     for b in blocks:
         b.density = composite(b.c, b.t, b.lc, b.lt, c, lc)
     if not spans:
-        return [], -1, 0.0
+        return 0.0
     best = max(range(len(spans)), key=lambda i: (sum(b.density for b in blocks[spans[i][0] : spans[i][1]]), -i))
     own = blocks[spans[best][0] : spans[best][1]]
-    path = [composite(c, t + len(spans) + 1, lc, lt, c, lc), composite(*(sum(getattr(b, k) for b in own) for k in ("c", "t", "lc", "lt")), c, lc)]
-    return spans, best, min(path)
+    return min(composite(c, t + len(spans) + 1, lc, lt, c, lc), composite(*(sum(getattr(b, k) for b in own) for k in ("c", "t", "lc", "lt")), c, lc))
 
 
 MARKED = re.compile(r"[.!?。！？:;,、|{}\[\]<>%$@_=]\s*$|[{}<>=@$]|__|%\w+%")
@@ -212,9 +196,63 @@ def is_teaser(b: Block) -> bool:
     return b.kind == "p" and b.own > 0 and all((m := LINK.match(x.strip())) and not m[1] and m[3][:1] == "/" for x in b.lines)
 
 
-def mark_body(blocks: list[Block], url: str | None = None) -> list[Block]:
-    """Sets ``body`` of each block."""
-    spans, best, threshold = densities(blocks)
+def block_mark(b: Block, marks: dict[int, int]) -> int | None:
+    """The mark of a block's text in the html: of the whole, or of the most of its lines and cells; None where most of it isn't there."""
+    if b.kind == "image":
+        m = LINK.search(b.text)
+        return mark_of("img " + m[3], marks) if m else None
+    whole = mark_of(b.plain, marks)
+    if whole is not None:
+        return whole
+    got: Counter[int] = Counter()
+    missed = 0
+    for line in b.plain.split("\n"):
+        for part in [line] if (m := mark_of(line, marks)) is not None else line.split("|"):
+            m = mark_of(part, marks)
+            if m is not None:
+                got[m] += len(part)
+            else:
+                missed += len(part.strip(" -:"))
+    return max(got, key=lambda k: (got[k], k)) if got and missed <= 2 * got.total() else None
+
+
+def _between(blocks: list[Block], found: list[int | None]) -> list[int]:
+    """Blocks that aren't in the html stand where their neighbours do; DENSE where those differ, and for links into the site."""
+    after: list[int | None] = [None] * len(found)
+    for i in range(len(found) - 2, -1, -1):
+        after[i] = found[i + 1] if found[i + 1] is not None else after[i + 1]
+    before, out = None, []
+    for i, m in enumerate(found):
+        if m is not None:
+            before = m
+        out.append(m if m is not None else before if before is not None and before == after[i] and not blocks[i].own else DENSE)
+    return out
+
+
+def mark_body(blocks: list[Block], url: str | None = None, data: bytes | None = None) -> list[Block]:
+    """Sets ``body`` of each block; data are the marks of the page's html (see `density.html_marks`), empty without one."""
+    checked(blocks, url)
+    marks = read_marks(data)
+    if not marks:
+        return blocks
+    found = _between(blocks, [block_mark(b, marks) for b in blocks])
+    title = next((i for i, b in enumerate(blocks) if b.kind == "h" and b.level == 1 and found[i] == INSIDE), 0)
+    for i, (b, m) in enumerate(zip(blocks, found)):
+        if m == INSIDE:
+            b.body = not own_links(b)
+        elif m == THIN or i < title:
+            b.body = False
+    return blocks
+
+
+def own_links(b: Block) -> bool:
+    """Links into the site's own tree make up most of the block, or it is a teaser behind such a link."""
+    return bool(b.lc) and b.own * 2 >= b.lc and (b.own * 2 >= b.c or is_teaser(b))
+
+
+def checked(blocks: list[Block], url: str | None = None) -> list[Block]:
+    """Sets ``body`` of each block by the check alone."""
+    threshold = densities(blocks)
     site = site_label(url)
     title = next((i for i, b in enumerate(blocks) if b.kind == "h" and b.level == 1), -1)
     related = False
@@ -229,8 +267,8 @@ def mark_body(blocks: list[Block], url: str | None = None) -> list[Block]:
             continue
         lines = b.plain.split("\n")
         low = b.plain.lower()
-        if b.lc and b.own * 2 >= b.lc and (b.own * 2 >= b.c or is_teaser(b)):
-            b.body = False  # links into the site's own tree, or a teaser behind such a link
+        if own_links(b):
+            b.body = False
             related = related and is_teaser(b)
         elif b.own and low.startswith(RELATED):
             b.body = False
@@ -263,13 +301,12 @@ def _cued(low: str) -> bool:
     return hit * 2 >= total
 
 
-def body_blocks(text: str | None, url: str | None = None) -> list[Block]:
-    return [b for b in mark_body(parse(text, url), url) if b.body]
+def body_blocks(text: str | None, url: str | None = None, data: bytes | None = None) -> list[Block]:
+    return [b for b in mark_body(parse(text, url), url, data) if b.body]
 
 
 # ---------------------------------------------------------------------------------------------- html
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>", re.S | re.I)
 BLOCK_TAG = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HREF = re.compile(r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 ALT = re.compile(r"""\balt\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)

@@ -31,21 +31,21 @@ def p4_remaining(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.wrong_languages(table(spark, d, "page_splits"), table(spark, d, "content_analysis"))
+    return language.wrong_languages(table(spark, d, "page_splits"), table(spark, d, "page_runs"), table(spark, d, "content_analysis"))
 
 
 def p5_languages(spark: SparkSession, d: str) -> DataFrame:
     """The language of every page that p5_found judges, whatever its label: (run_id, lang, confidence, ambiguous, mixed)."""
-    return language.document_languages(language.page_segments(table(spark, d, "page_splits"), table(spark, d, "content_analysis")), "run_id")
+    return language.document_languages(language.page_segments(table(spark, d, "page_splits"), table(spark, d, "page_runs"), table(spark, d, "content_analysis")), "run_id")
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     """The language of every block of running text of those pages, with its confidence."""
-    return language.page_segments(table(spark, d, "page_splits"), table(spark, d, "content_analysis"))
+    return language.page_segments(table(spark, d, "page_splits"), table(spark, d, "page_runs"), table(spark, d, "content_analysis"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return pages.body_blocks(table(spark, d, "page_splits"))
+    return pages.body_blocks(table(spark, d, "page_splits"), table(spark, d, "page_runs"))
 
 
 def p6_main_text(spark: SparkSession, d: str) -> DataFrame:

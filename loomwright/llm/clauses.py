@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import accumulate, count
 
 from .blocks import CJK, LINK, Block, _chars
 
@@ -27,6 +28,8 @@ PLACEHOLDER = re.compile(
 )
 VERB_RU = re.compile(r"[а-яё]{3,}(?:ет|ит|ют|ут|ят|ат|ется|ится)\b")
 DIGIT = re.compile(r"\d")
+TAG = re.compile(r"(?<![\w&])#[^\W\d_][\w-]*")
+LONG = 8  # characters from which a repeated substring counts
 KANA_PARTICLE = re.compile(r"[をはがにで]")
 
 
@@ -45,6 +48,17 @@ def is_clause(s: str) -> bool:
     return n >= 2 or bool(VERB_RU.search(s.lower()))
 
 
+def is_sentence(s: str) -> bool:
+    """A sentence by its form alone, in any language: an end, five words (in Japanese twelve signs), few of them with digits."""
+    s = s.strip().rstrip("\"'”»«“)]*_ ")
+    if len(s) < 12 or s[-1] not in ".!?。！？":
+        return False
+    if len(CJK.findall(s)) * 2 >= len(s):
+        return True
+    words = s.split()
+    return len(words) >= 5 and sum(bool(DIGIT.search(w)) for w in words) * 5 <= len(words)
+
+
 def sentences(b: Block) -> list[str]:
     return SENT.findall(b.plain)
 
@@ -62,8 +76,8 @@ def clause_chars(blocks: list[Block]) -> tuple[int, int]:
     return inside, total
 
 
-def repeated_chars(text: str, least: int = 3) -> tuple[int, int]:
-    """(characters covered by substrings that occur `least` times or more, characters of all tokens).
+def repeated_chars(text: str, least: int = 3, shortest: int = 1) -> tuple[int, int]:
+    """(characters covered by substrings of `shortest` characters or more that occur `least` times or more, characters of all tokens).
 
     The text's suffix automaton over its words (signs, in Japanese) is built; for each end position the longest
     repeated substring is the first suffix link ancestor whose end positions are `least` or more, so what is covered
@@ -74,7 +88,7 @@ def repeated_chars(text: str, least: int = 3) -> tuple[int, int]:
     if not n:
         return 0, 0
     nxt: list[dict[str, int]] = [{}]
-    link, length, count = [-1], [0], [0]
+    link, length, often = [-1], [0], [0]
     last = 0
     ends = []
     for tok in tokens:
@@ -82,7 +96,7 @@ def repeated_chars(text: str, least: int = 3) -> tuple[int, int]:
         nxt.append({})
         length.append(length[last] + 1)
         link.append(0)
-        count.append(1)
+        often.append(1)
         p = last
         while p >= 0 and tok not in nxt[p]:
             nxt[p][tok] = cur
@@ -96,7 +110,7 @@ def repeated_chars(text: str, least: int = 3) -> tuple[int, int]:
                 nxt.append(dict(nxt[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                count.append(0)
+                often.append(0)
                 while p >= 0 and nxt[p].get(tok) == q:
                     nxt[p][tok] = clone
                     p = link[p]
@@ -104,20 +118,21 @@ def repeated_chars(text: str, least: int = 3) -> tuple[int, int]:
         last = cur
         ends.append(cur)
     for v in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
-        count[link[v]] += count[v]
+        often[link[v]] += often[v]
     best = [0] * len(nxt)  # the longest suffix of a state with enough end positions
     for v in sorted(range(1, len(nxt)), key=length.__getitem__):
-        best[v] = length[v] if count[v] >= least else best[link[v]]
+        best[v] = length[v] if often[v] >= least else best[link[v]]
     covered = 0
+    upto = [0, *accumulate(3 * len(x) if "぀" <= x <= "鿿" else len(x) for x in tokens)]  # a Japanese sign weighs as three letters
     reach = n  # positions from reach on are covered already, seen from the right
     for i in range(n - 1, -1, -1):
         a = i - best[ends[i]] + 1
-        if a <= i:
+        if a <= i and upto[i + 1] - upto[a] >= shortest:
             lo, hi = a, min(i + 1, reach)
             if lo < hi:
-                covered += sum(map(len, tokens[lo:hi]))
+                covered += upto[hi] - upto[lo]
                 reach = lo
-    return covered, sum(map(len, tokens))
+    return covered, upto[n]
 
 
 def outside_links(blocks: list[Block]) -> int:
@@ -131,9 +146,20 @@ def outside_links(blocks: list[Block]) -> int:
     return out
 
 
+def tag_chars(text: str) -> int:
+    """Characters of product tags: words behind a # sign."""
+    return sum(len(m[0]) for m in TAG.finditer(text))
+
+
 def spam_features(blocks: list[Block]) -> tuple[float, float, float, int]:
-    """(share of clauses, share covered by repeats, share of bare links, characters) of the running text of a body."""
+    """(share of clauses, share covered by repeats, share of bare links and tags, characters) of the running text of a body.
+
+    Only substrings of LONG characters or more that occur three times count as repeated; every placeholder counts as another word.
+    """
     inside, total = clause_chars(blocks)
-    text = "\n".join(b.text for b in blocks if b.kind in ("p", "list", "quote"))
-    covered, all_ = repeated_chars(text)
-    return inside / total if total else 0.0, covered / all_ if all_ else 0.0, outside_links(blocks) / total if total else 0.0, total
+    some = [b for b in blocks if b.kind in ("p", "list", "quote")]
+    each = count()
+    text = PLACEHOLDER.sub(lambda m: f" {next(each)}{''.join(TOKEN.findall(m[0]))} ", "\n".join(b.text for b in some))
+    covered, all_ = repeated_chars(text, shortest=LONG)
+    bare = outside_links(blocks) + tag_chars("\n".join(b.plain for b in some))
+    return inside / total if total else 0.0, covered / all_ if all_ else 0.0, bare / total if total else 0.0, total

@@ -1,44 +1,30 @@
-"""What stands in a page instead of content: placeholders, filler, error messages, notices that scripts are required."""
+"""Residue that shows by its form: placeholders, filler Latin, traces, error codes and reason phrases, request numbers and working marks.
+
+No wording of the texts is listed here but the reason phrases of HTTP. Residue in words (error messages, notices, filler sentences) is found by its
+links to pages that show such forms, see `pages.residue_pages`.
+"""
 
 from __future__ import annotations
 
 import re
 
-from .blocks import MENU, Block, _chars
+from .blocks import Block, _chars
 from .clauses import PLACEHOLDER, clause_chars, is_clause
 
-# Words of the common filler text. Fixed values.
+# Words of the common filler text and its generators. Fixed values.
 LOREM = frozenset(
     """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam
     quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum eu
-    fugiat nulla nullum pariatur excepteur sint occaecat cupidatat non nonum proident sunt culpa qui officia deserunt mollit anim id est laborum donec
-    tempus justo cursus porta massa massus felis erat pretium ornat ornare vell vel vitae magnis lectus pellentesque vestibulum mauris nunc nec at ac
-    eget libero risus""".split()
+    fugiat nulla nullam pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum donec
+    tempus justo cursus porta massa felis erat pretium ornare vel vitae magnis lectus pellentesque vestibulum mauris nunc nec at ac eget libero risus viverra
+    ligula""".split()
 )
-# Cues of filler, errors and script notices in lower case. Fixed values.
-FILLER = (
-    "your text goes here", "your text here", "text goes here", "replace this paragraph", "sample description", "type a short introduction",
-    "hier steht ihr text", "ersetzen sie diesen absatz", "beschreibung folgt in kürze", "geben sie hier", "votre texte ici", "remplacez ce paragraphe",
-    "description à compléter", "saisissez une courte", "aquí va su texto", "sustituya este párrafo", "descripción de ejemplo", "escriba aquí", "o seu texto aqui",
-    "substitua este parágrafo", "descrição de exemplo", "escreva aqui", "здесь будет ваш текст", "замените этот абзац", "описание появится позже", "введите краткое",
-    "ここに文章", "ここにテキスト", "この段落を", "説明は後日", "説明は準備中", "準備中です", "asdf", "xxx xxx", "lorem ipsum", "placeholder text", "test test",
-)
-ERROR = (
-    "could not be found", "page not found", "something went wrong", "access denied", "service unavailable", "temporarily unavailable", "session has expired",
-    "please sign in again", "please try again later", "permission to view", "internal server", "seite nicht gefunden", "zugriff verweigert",
-    "schiefgegangen", "nicht gefunden", "vorübergehend nicht verfügbar", "keine berechtigung", "sitzung ist abgelaufen", "interner fehler", "nicht verfügbar",
-    "page introuvable", "accès refusé", "une erreur est survenue", "erreur interne", "momentanément indisponible", "pas le droit d", "est introuvable", "session a expiré",
-    "página no encontrada", "acceso denegado", "algo ha salido mal", "error interno", "no está disponible", "no tiene permiso", "no se ha encontrado", "sesión ha caducado",
-    "página não encontrada", "acesso negado", "algo correu mal", "erro interno", "não está disponível", "não tem permissão", "não foi encontrada", "sessão expirou",
-    "страница не найдена", "доступ запрещён", "что-то пошло не так", "внутренняя ошибка", "временно недоступ", "нет прав для", "не найдена", "сессия истекла", "сервис недоступен", "сеанс",
-    "ページが見つかりません", "見つかりませんでした", "アクセスが拒否", "エラーが発生", "サービスは", "利用できません", "権限がありません", "セッション", "時間をおいて再度",
+# Reason phrases of HTTP (RFC 9110) of the statuses from 400 on that pages show, and the language of scripts by its name. Fixed values.
+NAMED = re.compile(
+    r"\b(?:bad request|unauthorized|forbidden|not found|method not allowed|not acceptable|request timeout|gone|too many requests|internal server error|"
+    r"not implemented|bad gateway|service unavailable|gateway timeout)\b|javascript", re.I
 )
-SCRIPTS = (
-    "enable javascript", "needs scripts", "run scripts", "javascript zu nutzen", "aktivieren sie javascript", "führt keine skripte", "activer javascript", "exécute pas les scripts",
-    "active javascript", "no ejecuta scripts", "ative o javascript", "não executa scripts", "включите javascript", "не выполняет скрипты", "javascriptを有効", "スクリプトが動かない", "turn them on and reload",
-    "requires javascript", "without scripts", "schalten sie sie ein", "activez-les", "actívelos", "ative-os", "включите их", "有効にして",
-)
-CUES = FILLER + ERROR + SCRIPTS
+LATIN = 0.3  # share of such words from which a sentence is filler
 TRACE = re.compile(r"^\s*at [\w$.<>]+ ?\((?:line )?[\w./:]*\d+\)|(?:error|exception|warning|notice)\b[^\n]{0,80}\(?[\w./-]+\.(?:php|py|js|rb|java|ts|jsp|aspx?)[:)]|traceback \(most recent|stack trace", re.I)
 CODE = re.compile(r"^\W*(?:error\s*)?[45]\d\d\b", re.I)
 REQUEST = re.compile(r"^\W*(?:request|ref(?:erence)?|err(?:or)?|trace|incident)[ _-]?(?:id|no|code)?[ _:#-]*[\w-]*\d[\w-]*\W*$|^\W*ERR_\w+\W*$", re.I)
@@ -54,10 +40,7 @@ def lorem_share(text: str) -> float:
 
 def _hint(text: str) -> bool:
     """False only where no part of the text can count as residue."""
-    low = " ".join(text.lower().replace("*", " ").replace("_", " ").split())
-    return bool(
-        any(x in low for x in CUES) or PLACEHOLDER.search(text) or TRACE.search(text) or HEAD.search(text) or lorem_share(text) >= 0.2
-    )
+    return bool(PLACEHOLDER.search(text) or TRACE.search(text) or NAMED.search(text) or HEAD.search(text) or lorem_share(text) >= 0.2)
 
 
 def residue_counts(blocks: list[Block]) -> tuple[int, int, int]:
@@ -97,20 +80,18 @@ def residue_counts(blocks: list[Block]) -> tuple[int, int, int]:
                 if not n or low in seen:
                     continue
                 seen.add(low)
-                if any(x in low for x in CUES) or BARE.match(s) or REQUEST.match(s) or n >= 12 and lorem_share(low) >= 0.6:
+                if BARE.match(s) or REQUEST.match(s) or NAMED.search(s) or n >= 12 and lorem_share(low) >= LATIN:
                     residue += n
                 elif b.kind == "h":
                     continue
                 elif is_clause(s):
                     own += n
-                elif low in MENU or all(w in MENU for w in low.split()):
-                    continue
                 else:
                     other += n
     return residue, own, other
 
 
 def is_residue(blocks: list[Block], own_most: int = 250) -> bool:
-    """Residue makes up the larger part, and there is no full text of the page's own (`own_most` characters of clauses)."""
+    """Residue by its form makes up a third or more, or a heading opens with an error's code, and there is no full text of the page's own (`own_most` characters of clauses)."""
     residue, own, other = residue_counts(blocks)
-    return residue > 0 and own < own_most and residue * 2 > residue + own + other
+    return residue > 0 and own < own_most and (residue * 3 >= residue + own + other or any(b.kind == "h" and CODE.match(b.plain) for b in blocks))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import blocks as B, catalog, clauses as C, language as L, pages as P, residue as R
+from loomwright.llm import blocks as B, catalog, clauses as C, density as D, language as L, pages as P, residue as R
 from loomwright.llm.components import components
 
 SPLITS = "run_id bigint, url string, markdown string, skeleton string, chunk string, id bigint, label string, component bigint"
@@ -29,20 +29,51 @@ def test_blocks_are_runs_of_lines_that_are_not_blank():
 
 
 def test_body_of_a_page(spark):
-    s, _ = frames(spark, [PAGE, None, "", "  \n"])
-    assert sorted((r.run_id, r.block_no) for r in P.body_blocks(s).collect()) == [(0, i) for i in (2, 3, 4, 5)]
-    assert P.page_blocks(s).filter("not body").count() == 6
-    assert P.body_blocks(s.limit(0)).count() == 0
+    s, r = frames(spark, [PAGE, None, "", "  \n"])
+    assert sorted((x.run_id, x.block_no) for x in P.body_blocks(s, r).collect()) == [(0, i) for i in (2, 3, 4, 5)]
+    assert P.page_blocks(s, r).filter("not body").count() == 6
+    assert P.body_blocks(s.limit(0), r).count() == 0
+
+
+# a page whose furniture is written in words that no list has; the containers tell
+ODD = "Visitors of the harbour may send a postcard to the office, and the office answers every postcard in spring."
+HTML = "<html><body><div class='x'><p>{odd}</p><ul>{menu}</ul></div><div class='y'><h1>A title</h1><p>{one}</p><h2>Next</h2><p>{two}</p><img src='/p.png'></div><div class='x'><p>Tell a neighbour</p></div><div class='y'><p>{three}</p></div><div class='z'><ul>{menu}</ul></div></body></html>"
+
+
+def odd_page():
+    one, two, three = (" ".join([EN.replace("museum", x)] * 2) for x in ("toy", "book", "tea"))
+    menu = "".join(f"<li><a href='https://e.example/{i}'>Room {i} of the house</a></li>" for i in range(9))
+    md = "\n\n".join([ODD, "\n".join(f"- [Room {i} of the house](https://e.example/{i})" for i in range(9)), "# A title", one, "## Next", two, "![a picture](/p.png)", "![](/elsewhere.png)", "Tell a neighbour", three, "\n".join(f"- [Room {i} of the house](https://e.example/{i})" for i in range(9))])
+    return md, HTML.format(odd=ODD, menu=menu, one=one, two=two, three=three)
+
+
+def test_density_selects_the_body_where_no_cue_helps(spark):
+    md, html = odd_page()
+    s, r = frames(spark, [md], [(0, html), (0, html)])
+    got = {x.block_no for x in P.body_blocks(s, r).collect()}
+    assert {2, 3, 4, 5, 6, 9} <= got and not got & {0, 1, 10}
+    # without the html's tree the cues know none of them
+    assert {x.block_no for x in P.body_blocks(s, r.limit(0)).collect()} >= {0, 1, 10}
+    only, _ = frames(spark, [None], [(0, html)])
+    text = P.main_text(only, r).first().body_text
+    assert "# A title" in text and "toy shop" in text and "Room 3" not in text and ODD not in text
+
+
+def test_marks_of_odd_html():
+    assert D.html_marks(None) == D.html_marks("") == D.html_marks(" \n") == b""
+    assert list(D.read_marks(D.html_marks("just words")).values()) == [D.DENSE]
+    assert D.html_marks("<div>" * 50_000 + "deep" + "</p></div>" * 9)
+    assert D.html_marks("<p>x" * 3000 + "<a href=>&amp;<b") and D.read_marks(None) == {}
 
 
 def test_very_long_page_is_processed_whole(spark):
     s, r = frames(spark, ["# T\n\n" + "\n\n".join(f"{EN} {i}." for i in range(4000))], [(0, None)])
-    assert P.body_blocks(s).count() == 4001
+    assert P.body_blocks(s, r).count() == 4001
     assert P.keyword_spam(s, r).filter("is_spam").count() == 0
 
 
 def test_spam_and_residue(spark):
-    filler = "# Demo\n\nYour text goes here. Replace this paragraph with your own words."
+    filler = "# Demo\n\nTBD TODO\n\nYour text goes here."
     mention = f"# How to\n\n{EN} {EN}\n\nThe text “404 Page not found” means {EN}\n\n{EN}\n\nThe gallery explains every ticket because of {{{{ date }}}} and the museum shop."
     texts = [SPAM, LINKS, ERROR, filler, PAGE, mention, None, None, "", "{{company}} Home [[product.name]]\n\n* %ORDER_ID%\n* {DESCRIPTION}"]
     body = "".join(f"<p>{x}</p>" for x in SPAM.split("\n\n"))
@@ -56,6 +87,26 @@ def test_spam_and_residue(spark):
     assert P.keyword_spam(s.limit(0), r.limit(0)).count() == 0
 
 
+def test_residue_is_reached_over_shared_sentences(spark):
+    """Words that no list has are known by the pages they share with residue that shows by its form; without links they aren't."""
+    gone, lost = "Diese Adresse führt nirgendwo hin", "The address you came by leads nowhere any more, and the keeper of this place has been told about it by a pigeon that flew before noon over the hills of the old town"
+    texts = [f"# Error 404\n\n{gone}!", f"{gone}.", f"{gone}.\n\n{lost}.", f"{lost} today.", "The pigeon came home.", f"{EN} {EN} {EN}\n\n{gone}."]
+    s, r = frames(spark, texts)
+    got = {x.run_id: x.trusted for x in P.residue_pages(s, r).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False}
+
+
+def test_without_clauses_only_repeats_make_spam(spark):
+    """The automaton decides: as few clauses, but other words each time, is none."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(4))
+    varied = "# Names\n\n" + ", ".join(word() for _ in range(120))
+    s, r = frames(spark, [SPAM, varied])
+    got = {x.run_id: x for x in P.keyword_spam(s, r).collect()}
+    assert got[0].is_spam and not got[1].is_spam
+    assert got[0].clause_share == got[1].clause_share == 0 and got[0].repeat_share > 0.8 and got[1].repeat_share < 0.1
+
+
 def test_residue_spreads_to_near_texts(spark):
     base = "The requested resource vanished from this machine and the operators of this place were told about the loss of it so that they look into it soon while you wait for them"
     near = base.replace("soon", "later")
@@ -67,19 +118,17 @@ def test_residue_spreads_to_near_texts(spark):
         rows.append((i, P._signed(P.simhash([P.xxhash.xxh3_64_intdigest(x.encode()) for x in w] + list(sh))), sorted(map(P._signed, sh))))
     df = spark.createDataFrame(rows, "rep bigint, simhash bigint, shingles array<bigint>")
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and bin((a[1] ^ b[1]) & (1 << 64) - 1).count("1") <= P.HAMMING and len(set(a[2]) & set(b[2])) >= P.SIMILAR * len(set(a[2]) | set(b[2]))}
-    for crowded in (200, 0):  # with and without the second keys
-        assert {(r.a, r.b) for r in P.near_pairs(df, crowded).collect()} == want
+    assert {(r.a, r.b) for r in P.near_pairs(df).collect()} == want
 
 
-def test_crowded_buckets_lose_no_pair(spark):
+def test_tables_lose_no_pair_within_three_bits(spark):
     rnd = random.Random(4)
     base = [rnd.getrandbits(64) for _ in range(20)]
     hashes = [h for b in base for h in (b, b ^ 1, b ^ (1 << 20 | 1 << 40), b ^ (1 << 3 | 1 << 33 | 1 << 63), b ^ 15)]
     rows = [(i, P._signed(h), [1]) for i, h in enumerate(hashes)]
     df = spark.createDataFrame(rows, "rep bigint, simhash bigint, shingles array<bigint>")
     want = {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if bin(hashes[i] ^ hashes[j]).count("1") <= 3}
-    for crowded in (200, 2):
-        assert {(r.a, r.b) for r in P.near_pairs(df, crowded).collect()} == want
+    assert {(r.a, r.b) for r in P.near_pairs(df).collect()} == want
 
 
 def test_similar_pairs_equal_brute_force(spark):
@@ -176,22 +225,22 @@ def test_outputs_do_not_depend_on_the_batch():
 def labelled(spark):
     es = "El taller apoya una garantía más larga para toda la familia cerca del pueblo. Con mucho cuidado, nuestro equipo describe las verduras de temporada según lo que sabemos."
     page = f"# T\n\n{EN}\n\n{EN}\n\n{es}"
-    s, _ = frames(spark, [page, f"# T\n\n{es}\n\n{es}", SPAM, None, ERROR, f"# T\n\n{EN}\n\n{EN}", *[f"# T\n\n{x} {i}.\n\n{x}" for i in range(4) for x in (EN, es)]])
+    s, h = frames(spark, [page, f"# T\n\n{es}\n\n{es}", SPAM, None, ERROR, f"# T\n\n{EN}\n\n{EN}", *[f"# T\n\n{x} {i}.\n\n{x}" for i in range(4) for x in (EN, es)]])
     a = spark.createDataFrame([(0, "eng", 1, 1), (0, "eng", 1, 1), (1, "EN", 1, 1), (2, None, 1, 1), (5, None, 1, 1), *[(6 + i, "es-ES" if i % 2 else "English", 1, 1) for i in range(8)]], "run_id bigint, detected_language string, analysed_at bigint, loaded_at bigint")
-    return s, a
+    return s, h, a
 
 
 def test_wrong_labels_and_other_blocks(labelled):
-    s, a = labelled
-    got = {(r.run_id, r.block_no, r.lang) for r in L.wrong_languages(s, a).collect()}
+    s, h, a = labelled
+    got = {(r.run_id, r.block_no, r.lang) for r in L.wrong_languages(s, h, a).collect()}
     assert got == {(0, 3, "es"), (1, -1, "es"), (5, -1, "en")}
-    assert {(r.run_id, r.block_no, r.lang) for r in L.wrong_languages(s.unionByName(s), a).collect()} == got
-    assert L.wrong_languages(s.limit(0), a.limit(0)).count() == 0
+    assert {(r.run_id, r.block_no, r.lang) for r in L.wrong_languages(s.unionByName(s), h, a).collect()} == got
+    assert L.wrong_languages(s.limit(0), h, a.limit(0)).count() == 0
 
 
 def test_each_page_and_block_has_a_language(labelled):
-    s, a = labelled
-    seg = L.page_segments(s, a)
+    s, h, a = labelled
+    seg = L.page_segments(s, h, a)
     blocks = {(r.run_id, r.block_no): r for r in seg.collect()}
     assert all(0 < r.confidence <= 1 for r in blocks.values())
     assert (blocks[0, 1].lang, blocks[0, 3].lang) == ("en", "es")
@@ -216,10 +265,11 @@ def test_each_page_has_its_main_text_and_remains_or_not(spark, data, tmp_path):
     splits.write.parquet(f"{tmp_path}/page_splits.parquet")
     data = str(tmp_path)
     texts = {r.run_id: r.body_text for r in catalog.QUERIES["p6_main_text"](spark, data).collect()}
+    marks = {r.run_id: D.html_marks(r.html) for r in runs.collect()}
     md = {r.run_id: r for r in splits.filter("markdown is not null").collect()}
     only = {r.run_id for r in runs.filter("html is not null").collect()} - set(md)
     assert only and set(texts) == set(md) | only and all(texts[k] for k in only)
     for k, r in md.items():
-        assert texts[k] == "\n\n".join(b.text for b in B.body_blocks(r.markdown, r.url))
+        assert texts[k] == "\n\n".join(b.text for b in B.body_blocks(r.markdown, r.url, marks[k]))
     found, rest = ({r.run_id for r in catalog.QUERIES[q](spark, data).collect()} for q in ("p4_found", "p4_remaining"))
     assert not found & rest and found | rest == {r.run_id for r in runs.collect()}
