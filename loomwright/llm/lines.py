@@ -4,12 +4,12 @@ The letters of each document (outside tags, scripts and styles, entities read, c
 content: a rolling hash over a window of letters ends a chunk where its low bits are zero, so a cut depends only on
 the letters around it. A line's end ends a chunk as well and the hash starts anew there, because the cases are
 defined on lines; thus the same line always gives the same chunks, whatever stands around it. Per source and chunk
-the documents are counted; chunks on too few documents rule out their lines, and for what is left the different
-documents of each whole line are counted exactly.
+the different documents are counted, and the lines whose every chunk stands on too many are cut out; of lines of several chunks
+the documents of the whole line are counted too.
 
-Scale: one pass in Python (Arrow batches) gives 64-bit keys of (source, chunk), seeded with the source, so a hot
-source spreads over its chunks. Counts are aggregated before the shuffle. The join of lines with the frequent keys is
-salted by document, so a line on a third of all documents spreads over the salts.
+Scale: one pass in Python (Arrow batches) gives 128-bit keys of (source, chunk), seeded with the source, so a hot
+source spreads over its chunks. Counts are aggregated before the shuffle. Chunks on a large part of all documents are
+joined by broadcast, of which there can be few, all others by a shuffle (see `hot`).
 
 Defined results: a null source is a source of its own; a null or empty text has no lines; a line without letters
 doesn't count; several equal lines of one document are one document and each an occurrence; repeated rows of one
@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .hot import HOT, join_groups
 from ..session import written
 
 OUTSIDE = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<[a-zA-Z/!?][^<>]*>", re.S | re.I)
@@ -74,12 +75,15 @@ def _signed(x: int) -> int:
 
 
 def line_chunks(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, k1, k2, chunk, first, head) for each chunk of each line.
+    """(id, line_no, pos, n, c1, c2, k1, k2, first) for each chunk of each line.
 
-    k1, k2: the 128-bit key of (source, line). chunk: the 64-bit key of (source, chunk). first: whether the chunk is
-    the document's first of its kind, so that counting those counts documents. head: whether it opens its line.
+    pos, n: the chunk's place in its line and the number of the line's chunks. c1, c2: the 128-bit key of (source, chunk).
+    k1, k2: that of (source, line) where n > 1, else null. first: whether the chunk is the document's first of its kind, so that
+    counting those counts documents.
     """
     id_type = df.schema[id_col].dataType.simpleString()
+    kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.bool_()]
+    names = ["line_no", "pos", "n", "c1", "c2", "k1", "k2", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h128, h64 = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
@@ -88,56 +92,62 @@ def line_chunks(df: DataFrame, id_col: str, source_col: str, text_col: str) -> D
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 take: list[int] = []
-                no: list[int] = []
-                k1: list[int] = []
-                k2: list[int] = []
-                chunk: list[int] = []
-                first: list[bool] = []
-                head: list[bool] = []
+                rows: list[tuple] = []
                 for i, (source, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                     if not text:
                         continue
                     seed = h64(b"\0" if source is None else b"\1" + source.encode("utf-8", "surrogatepass"))
                     seen: set[int] = set()
-                    for n, letters in enumerate(line_letters(text)):
+                    for line, letters in enumerate(line_letters(text)):
                         if not letters:
                             continue
-                        key = h128(letters.encode("utf-8", "surrogatepass"), seed)
+                        ends = chunk_ends(letters)
+                        k1 = k2 = None
+                        if len(ends) > 1:
+                            key = h128(letters.encode("utf-8", "surrogatepass"), seed)
+                            k1, k2 = _signed(key >> 64), _signed(key & low)
                         start = 0
-                        for end in chunk_ends(letters):
-                            c = _signed(h64(letters[start:end].encode("utf-8", "surrogatepass"), seed))
+                        for pos, end in enumerate(ends):
+                            c = h128(letters[start:end].encode("utf-8", "surrogatepass"), seed)
                             take.append(i)
-                            no.append(n)
-                            k1.append(_signed(key >> 64))
-                            k2.append(_signed(key & low))
-                            chunk.append(c)
-                            first.append(c not in seen)
-                            head.append(start == 0)
+                            rows.append((line, pos, len(ends), _signed(c >> 64), _signed(c & low), k1, k2, c not in seen))
                             seen.add(c)
                             start = end
+                cols = list(zip(*rows)) if rows else [[] for _ in names]
                 ids = batch.column(0).take(pa.array(take, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(no, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(chunk, pa.int64()), pa.array(first, pa.bool_()), pa.array(head, pa.bool_())],
-                    ["id", "line_no", "k1", "k2", "chunk", "first", "head"],
-                )
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds))], ["id", *names])
 
-    return df.filter(F.col(id_col).isNotNull()).select(id_col, source_col, text_col).mapInArrow(run, f"id {id_type}, line_no int, k1 bigint, k2 bigint, chunk bigint, first boolean, head boolean")
+    out = f"id {id_type}, line_no int, pos int, n int, c1 bigint, c2 bigint, k1 bigint, k2 bigint, first boolean"
+    return df.filter(F.col(id_col).isNotNull()).select(id_col, source_col, text_col).mapInArrow(run, out)
 
 
-def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, least: int = 6, salts: int = 8) -> DataFrame:
-    """(id, line_no) of every occurrence of a line on `least` different documents or more of its source."""
-    # written once: the counts and the candidates read it, and the letters are cut no second time
+def _documents(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, docs): those on `least` different documents or more, exactly; repeated rows of a document count once."""
+    return rows.select(*keys, "id").distinct().groupBy(*keys).agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
+
+
+def repeated_chunks(chunks: DataFrame, least: int, hot: int = HOT) -> DataFrame:
+    """The rows of chunks that stand on `least` different documents of their source or more."""
+    keys = ["c1", "c2"]
+    # counted where they are read: of a frequent chunk one row for each task moves. Rows of one document may be repeated, so
+    # this is an upper bound
+    often = chunks.filter("first").groupBy(*keys).agg(F.count("*").alias("m")).filter(F.col("m") >= least)
+    some = written(join_groups(chunks, often, keys, "m", hot), "frequent")
+    return join_groups(some, _documents(some.filter("first"), keys, least), keys, "docs", hot)
+
+
+def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, least: int = 6, hot: int = HOT) -> DataFrame:
+    """(id, line_no) of every occurrence of a line on `least` different documents or more of its source.
+
+    The chunks decide: a line is cut if each of its chunks stands on so many documents. Of a line of one chunk that is
+    the count of the line itself; lines of several chunks, which may have come together otherwise elsewhere, are counted once more as a whole.
+    """
+    # written once: the counts and the cuts read it, and the letters are cut no second time
     chunks = written(line_chunks(df, id_col, source_col, text_col), "chunks")
-    # rows of one document may be repeated, so this count of documents is an upper bound: it rules out, no more
-    often = chunks.filter("first").groupBy("chunk").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("chunk")
-    often = often.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = chunks.filter("head").select("id", "line_no", "k1", "k2", "chunk", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    # a line stands on no more documents than its first chunk, so that one rules it out; the exact count below decides the rest
-    hit = salted.join(often, ["chunk", "salt"], "left_semi").select("id", "line_no", "k1", "k2")
-    pages = hit.select("k1", "k2", "id").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("k1", "k2")
-    pages = pages.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    hit = hit.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    return hit.join(pages, ["k1", "k2", "salt"], "left_semi").select("id", "line_no").distinct()
+    cut = written(repeated_chunks(chunks, least, hot).select("id", "line_no", "pos", "n", "k1", "k2"), "cut")
+    whole = cut.filter("n > 1").distinct().groupBy("id", "line_no", "k1", "k2", "n").agg(F.count("*").alias("m")).filter("m = n").select("id", "line_no", "k1", "k2")
+    long = join_groups(whole, _documents(whole, ["k1", "k2"], least), ["k1", "k2"], "docs", hot)
+    return cut.filter("n = 1").select("id", "line_no").unionByName(long.select("id", "line_no")).distinct()
 
 
 def without_lines(df: DataFrame, lines: DataFrame, id_col: str, text_col: str, out_col: str = "text_without") -> DataFrame:

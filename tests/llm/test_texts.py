@@ -94,6 +94,8 @@ def test_lines_equal_brute_force(spark):
     df = spark.createDataFrame(rows, DOCS)
     want = brute([r for r in rows if r[0] is not None], 6)
     assert want and {(r.id, r.line_no) for r in lines.repeated_lines(df, "page_id", "host", "raw_html").collect()} == want
+    # with hot lines split off, long lines that share chunks, and rows given twice
+    assert {(r.id, r.line_no) for r in lines.repeated_lines(df, "page_id", "host", "raw_html", hot=10).collect()} == want
     assert {(r.id, r.line_no) for r in lines.repeated_lines(df.unionByName(df), "page_id", "host", "raw_html").collect()} == want
     assert lines.repeated_lines(df.limit(0), "page_id", "host", "raw_html").count() == 0
 
@@ -103,6 +105,23 @@ def test_five_pages_and_one_twice_are_too_few(spark):
     assert lines.repeated_lines(df, "page_id", "host", "raw_html").count() == 0
 
 
+def test_long_lines_of_repeated_chunks_are_counted_as_a_whole(spark):
+    rnd = random.Random(8)
+    a, b, c = ("".join(rnd.choice("abcdefghij") for _ in range(400)) for _ in range(3))
+    rows = [(i, "h", [a + b, a + b + c, c + a][i % 3] + ("\n" + a + b if i < 3 else ""), 0, 0, 0, 0) for i in range(15)]
+    want = brute(rows, 6)
+    assert want and {(r.id, r.line_no) for r in lines.repeated_lines(spark.createDataFrame(rows, DOCS), "page_id", "host", "raw_html").collect()} == want
+
+
+def test_chunks_decide(spark):
+    """A line of one chunk comes out by the count of its chunk alone."""
+    df = spark.createDataFrame([(i, "h", "Share this page\n" + f"own words of page {'abcdefghij'[i]}", 0, 0, 0, 0) for i in range(9)], DOCS)
+    chunks = lines.line_chunks(df, "page_id", "host", "raw_html")
+    got = lines.repeated_chunks(chunks, 6)
+    assert {(r.id, r.line_no) for r in got.collect()} == {(i, 0) for i in range(9)}
+    assert lines.repeated_chunks(chunks, 10).count() == 0
+
+
 def test_chunks_depend_on_content_only():
     rnd = random.Random(5)
     body = "".join(rnd.choice("abcdefghij") for _ in range(3000))
