@@ -8,9 +8,8 @@ cancel. Records are grouped by the fingerprint; then the pairs of each record ar
 representative as multisets, without sorting, and what differs (a collision) is grouped again by its pairs.
 
 Everything is JVM expressions. The pairs' arrays never leave the scan's stage except in the group's representative
-and for the comparison. A hot group is salted: the groups' side is small (one row for each group of two or more), it
-is repeated for each salt, and the records of a group spread over the salts. Group sizes are counted before the
-shuffle (partial aggregation).
+and for the comparison. Group sizes are counted before the shuffle (partial aggregation); the representatives of hot groups, of
+which there can be few, are broadcast and their records don't move (see `hot`).
 
 Defined results: a null field equals only null; '' and a field of punctuation only equal each other; a record whose
 fields are all null has copies among such records; repeated rows with the same id count once; rows without
@@ -23,6 +22,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .hot import HOT, join_groups
+from ..session import written
+
 NOT_LETTERS = r"[^\p{L}\p{N}\p{M}]+"
 BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 
@@ -58,12 +60,12 @@ def plain_pairs(value: Column, field: str) -> Column:
     return F.array(F.when(value.isNull(), F.struct(F.lit(f"{field}!null").alias("n"), F.lit("").alias("v"))).otherwise(F.struct(F.lit(field).alias("n"), normalized(value).alias("v"))))
 
 
-def multiset_hash(pairs: Column) -> Column:
+def multiset_hash(pairs: Column, seed: int = 0) -> Column:
     """A commutative fingerprint of the pairs: their number and the sums of four 32-bit lanes of two 64-bit hashes."""
     mask = F.lit(0xFFFFFFFF)
 
     def lanes(p: Column) -> Column:
-        a, b = F.xxhash64(p["n"], p["v"]), F.xxhash64(F.lit(0x9E3779B9), p["v"], p["n"])
+        a, b = F.xxhash64(F.lit(seed), p["n"], p["v"]), F.xxhash64(F.lit(0x9E3779B9 + seed), p["v"], p["n"])
         return F.struct(
             F.lit(1).cast("bigint").alias("k"),
             a.bitwiseAND(mask).alias("a"),
@@ -83,37 +85,46 @@ def same_multiset(a: Column, b: Column) -> Column:
     return (a == b) | ((F.size(a) == F.size(b)) & F.forall(a, lambda x: count(a, x) == count(b, x)))
 
 
-def fingerprints(df: DataFrame, id_col: str, url_fields: Sequence[str] = (), text_fields: Sequence[str] = ()) -> DataFrame:
-    """(_id, _pairs, _fp) of each record."""
+def with_pairs(df: DataFrame, id_col: str, url_fields: Sequence[str] = (), text_fields: Sequence[str] = ()) -> DataFrame:
+    """(_id, _pairs) of each record."""
     arrays = [url_pairs(F.col(f), f) for f in url_fields] + [plain_pairs(F.col(f), f) for f in text_fields]
     pairs = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    d = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), pairs.alias("_pairs"))
+    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), pairs.alias("_pairs"))
+
+
+def fingerprints(records: DataFrame, seed: int = 0) -> DataFrame:
+    """(_id, _pairs, _f1, _f2) of each record."""
     # the 160 bits of the fingerprint are hashed once more to 128, which is what is shuffled
-    h = multiset_hash(F.col("_pairs"))
-    return d.select("_id", "_pairs", h.alias("_h")).select("_id", "_pairs", F.xxhash64("_h").alias("_f1"), F.xxhash64(F.lit(7), "_h").alias("_f2"))
+    h = multiset_hash(F.col("_pairs"), seed)
+    return records.select("_id", "_pairs", h.alias("_h")).select("_id", "_pairs", F.xxhash64("_h").alias("_f1"), F.xxhash64(F.lit(7), "_h").alias("_f2"))
 
 
-def copies(df: DataFrame, id_col: str, url_fields: Sequence[str] = (), text_fields: Sequence[str] = (), salts: int = 16) -> DataFrame:
-    """(rep, id): each record in a group of two or more with the smallest id of its group, the representative too."""
-    d = fingerprints(df, id_col, url_fields, text_fields)
+def _verified(records: DataFrame, seed: int, hot: int) -> DataFrame:
+    """(rep, id) of the records in groups of two or more, each compared with its group's representative field by field."""
+    d = fingerprints(records, seed)
     keys = ["_f1", "_f2"]
-    groups = d.groupBy(*keys).agg(F.min(F.struct("_id", "_pairs")).alias("_r"), F.max("_id").alias("_last"))
-    groups = groups.filter(F.col("_last") > F.col("_r._id"))
-    groups = groups.select(*keys, F.col("_r._id").alias("rep"), F.col("_r._pairs").alias("_rp"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    joined = d.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).join(groups, [*keys, "_salt"])
-    same = same_multiset(F.col("_pairs"), F.col("_rp"))
-    right = joined.filter(same).select("rep", F.col("_id").alias("id"))
-    # collisions of the fingerprint: none in practice, grouped by the pairs themselves
-    rest = joined.filter(~same).select(F.col("_id").alias("id"), F.to_json(F.array_sort("_pairs")).alias("_key"))
-    again = rest.groupBy("_key").agg(F.min("id").alias("rep"))
-    return right.unionByName(rest.join(again, "_key").select("rep", "id")).distinct()
-
-
-def copy_counts(df: DataFrame, id_col: str, url_fields: Sequence[str] = (), text_fields: Sequence[str] = ()) -> DataFrame:
+    groups = d.groupBy(*keys).agg(F.min(F.struct("_id", "_pairs")).alias("_r"), F.max("_id").alias("_last"), F.count("*").alias("_n"))
+    groups = groups.filter(F.col("_last") > F.col("_r._id")).select(*keys, "_n", F.col("_r._id").alias("rep"), F.col("_r._pairs").alias("_rp"))
+    # written: the groups are read for the hot ones and for the others
+    joined = join_groups(d, written(groups, "groups"), keys, "_n", hot).select("_id", "_pairs", "rep", same_multiset(F.col("_pairs"), F.col("_rp")).alias("_same"))
+    joined = written(joined, "members")
+    right = joined.filter("_same").select("rep", F.col("_id").alias("id"))
+    # other records under one fingerprint: none in practice; they are grouped again among themselves by another hash
+    rest = joined.filter("not _same")
+    return right if rest.isEmpty() else right.unionByName(_verified(rest.select("_id", "_pairs"), seed + 1, hot))
+
+
+def copies(df: DataFrame, id_col: str, url_fields: Sequence[str] = (), text_fields: Sequence[str] = (), hot: int = HOT) -> DataFrame:
+    """(rep, id): each record in a group of two or more with the smallest id of its group, the representative too."""
+    return _verified(with_pairs(df, id_col, url_fields, text_fields), 0, hot).distinct()
+
+
+def copy_counts(df: DataFrame, id_col: str, url_fields: Sequence[str] = (), text_fields: Sequence[str] = (), hot: int = HOT) -> DataFrame:
     """(rep, n_copies): one row for each different record with the number of its copies, itself among them.
 
-    Records are grouped by fingerprint alone, which needs no join: 128 bits make a collision less likely than a
-    fault of the memory. `copies` verifies and names the members.
+    The copies are those of `copies`, verified field by field; every record that is none of theirs counts as one.
     """
-    d = fingerprints(df, id_col, url_fields, text_fields)
-    return d.groupBy("_f1", "_f2").agg(F.min("_id").alias("rep"), F.count("*").alias("n_copies")).select("rep", "n_copies")
+    found = written(copies(df, id_col, url_fields, text_fields, hot), "copies")
+    groups = found.groupBy("rep").agg(F.count("*").alias("n_copies"))
+    alone = df.select(F.col(id_col).alias("rep")).filter("rep is not null").distinct().join(found.select(F.col("id").alias("rep")), "rep", "left_anti")
+    return groups.unionByName(alone.withColumn("n_copies", F.lit(1).cast("bigint")))

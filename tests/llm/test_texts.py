@@ -43,6 +43,19 @@ def test_hot_group_of_copies(spark):
     assert len(got) == 599 and {a for a, _ in got} == {1}
     counts = {r.rep: r.n_copies for r in dedup.copy_counts(df, "page_id", ["url", "canonical"]).collect()}
     assert counts[1] == 600 and sum(counts.values()) == 900
+    split = {(r.rep, r.id) for r in dedup.copies(df, "page_id", ["url", "canonical"], hot=50).filter("rep <> id").collect()}
+    assert split == got
+    twice = {r.rep: r.n_copies for r in dedup.copy_counts(df.unionByName(df), "page_id", ["url", "canonical"]).collect()}
+    assert twice == counts  # repeated ids count once
+
+
+def test_collisions_are_told_apart(spark, monkeypatch):
+    """Records under one fingerprint whose fields differ are other records."""
+    real = dedup.multiset_hash
+    monkeypatch.setattr(dedup, "multiset_hash", lambda pairs, seed=0: real(F.slice(pairs, 1, 0), 0) if seed == 0 else real(pairs, seed))
+    df = crawl(spark, [(1, "https://e.example/a", None), (2, "https://e.example/b", None), (3, "https://e.example/A", None), (4, "https://e.example/B", None), (5, "https://e.example/c", None)])
+    assert found(df) == {(1, 3), (2, 4)}
+    assert {r.rep: r.n_copies for r in dedup.copy_counts(df, "page_id", ["url", "canonical"]).collect()} == {1: 2, 2: 2, 5: 1}
 
 
 def test_equal_pairs_do_not_cancel(spark):
