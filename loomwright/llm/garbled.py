@@ -3,7 +3,7 @@
 A wrong code page is a substitution cipher over the letters outside ASCII: each letter became a unit of one or more
 signs. Per source the table from units to letters is learned by expectation-maximization: the hidden letter of a unit
 between the letters p and n has the probability theta(letter | unit) * T(p, letter, n), with T from the corpus' own
-counts of letters in their contexts, all documents counted, contexts seen once left out; theta starts at the units that known code pages
+counts of letters in their contexts, all documents counted; theta starts at the units that known code pages
 would give and a little on every other letter, and is re-estimated until it settles. A unit of one sign counts as garbled
 where its letter is far likelier in its context than the unit itself, one of several signs also wherever the table of
 known code pages has it; it is replaced by the source's table (translate). Only listed code pages (READ_AS, WRITTEN_AS) are found.
@@ -13,8 +13,7 @@ bigrams the corpus knows best wins. What was lost (U+FFFD) is found though it ca
 Signs that are only spoken about are no case: a unit that stands alone in quotes, and one that stands alone in a line
 which names a single letter of the kind as well.
 
-The constants of the decision (0.02, 0.5 and others) are absolute, so that for rare contexts it depends on the size of the corpus: a
-context seen once in a small corpus counts as never seen, in a larger one it may be seen twice and count.
+The constants of the decision (0.02, 0.5 and others) are absolute, so that for rare contexts it depends on the size of the corpus.
 
 Stages: the counts of contexts (one row for each context, bounded by the alphabets); the documents with anything odd
 (a few per cent, written once); the units' contexts per source, again bounded by the alphabets, and a table for each
@@ -31,11 +30,11 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, written
 
 # Code pages by which texts are read, wrongly or rightly. Fixed values.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5", "cp932")
@@ -375,39 +374,32 @@ def judge(text: str, counts: Counts, table: dict[str, str]) -> tuple[bool, str]:
 # ------------------------------------------------------------------------------------------- per source
 
 
-def learn(contexts: pd.DataFrame, counts: Counts, rounds: int = 12) -> dict[str, str]:
-    """unit -> letter of one source by expectation-maximization over the units' contexts (unit, a, c, n)."""
-    known = known_units()
+def learn(unit: str, contexts: list[tuple[str, str, int]], counts: Counts, rounds: int = 12) -> str | None:
+    """The letter that a unit of one source stands for, by expectation-maximization over its contexts (a, c, n); None if it stands for itself."""
+    cand = known_units().get(unit, Counter())
     alphabet = [x for x in LETTERS + SIGNS if counts.any.get(x, 0) > 0] or list(LETTERS)
-    out = {}
-    for unit, g in contexts.groupby("unit"):
-        cand = known.get(unit, Counter())
-        letters = sorted({*alphabet, *cand})
-        theta = {x: 0.002 + (1.0 if x in cand else 0.0) + (0.5 if x == unit else 0.0) for x in letters}
-        z = sum(theta.values())
-        theta = {k: v / z for k, v in theta.items()}
-        rows = list(zip(g["a"], g["c"], g["n"]))
-        for _ in range(rounds):
-            new = dict.fromkeys(letters, 1e-6)
-            for a, c, n in rows:
-                q = {x: theta[x] * (counts.fits(a, x, c) + 1e-3) for x in letters}
-                s = sum(q.values())
-                for x, v in q.items():
-                    new[x] += n * v / s
-            s = sum(new.values())
-            moved = sum(abs(new[x] / s - theta[x]) for x in letters)
-            theta = {x: v / s for x, v in new.items()}
-            if moved < 1e-3:
-                break
-        best = max(theta, key=lambda x: (theta[x], x))
-        if best != unit and theta[best] > 0.4 and (best in cand or len(rows) >= 5):
-            out[unit] = best
-        elif cand and unit not in proper():
-            out[unit] = max(cand, key=lambda x: (theta.get(x, 0), cand[x], x))
-        elif cand:
-            # a proper letter that is a unit too: the likeliest other letter; each context decides
-            out[unit] = max(cand, key=lambda x: (theta.get(x, 0), cand[x], x))
-    return out
+    letters = sorted({*alphabet, *cand})
+    theta = np.array([0.002 + (1.0 if x in cand else 0.0) + (0.5 if x == unit else 0.0) for x in letters])
+    theta /= theta.sum()
+    fit = np.array([[counts.fits(a, x, c) + 1e-3 for x in letters] for a, c, _ in contexts])
+    n = np.array([k for _, _, k in contexts], np.float64)
+    for _ in range(rounds):
+        q = fit * theta
+        new = 1e-6 + (n / q.sum(1)) @ q
+        new /= new.sum()
+        moved = np.abs(new - theta).sum()
+        theta = new
+        if moved < 1e-3:
+            break
+    by = dict(zip(letters, theta.tolist()))
+    best = max(by, key=lambda x: (by[x], x))
+    if best != unit and by[best] > 0.4 and (best in cand or len(contexts) >= 5):
+        return best
+    # a proper letter that is a unit too: the likeliest other letter; each context decides
+    return max(cand, key=lambda x: (by.get(x, 0), cand[x], x)) if cand else None
+
+
+MOST_TABLES = 1000  # sources up to which their tables, some 20 KB each, are broadcast
 
 
 def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -415,7 +407,7 @@ def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     # bounded by the alphabets, whatever the number of documents
-    counts = spark.sparkContext.broadcast(Counts(context_counts(docs, text_col).filter("n > 1").collect()))
+    counts = spark.sparkContext.broadcast(Counts(context_counts(docs, text_col).collect()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -438,12 +430,21 @@ def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     ctx = some.mapInArrow(units, "source string, unit string, a string, c string, n bigint").groupBy("source", "unit", "a", "c").agg(F.sum("n").alias("n"))
 
-    def em(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = learn(pdf, counts.value)
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "units": [list(t)], "letters": [list(t.values())]})
-
-    tables = ctx.groupBy("source").applyInPandas(em, "source string, units array<string>, letters array<string>")
-    both = some.join(tables, some["source"].eqNullSafe(tables["source"]), "left").select("id", "text", "units", "letters")
+    def em(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple, list] = {}
+        for b in batches:
+            for s, u, a, c, n in zip(*(b.column(k).to_pylist() for k in range(5))):
+                rows.setdefault((s, u), []).append((a, c, n))
+        found = [(s, u, x) for (s, u), v in rows.items() if (x := learn(u, sorted(v), counts.value))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], ["source", "unit", "letter"])
+
+    # each unit is learned by itself, so the units of a source spread over the tasks; a source's units are bounded by the alphabets
+    parts = max(8, spark.sparkContext.defaultParallelism)
+    learned = ctx.repartition(parts, "source", "unit").mapInArrow(em, "source string, unit string, letter string")
+    tables = written(learned.groupBy("source").agg(F.collect_list("unit").alias("units"), F.collect_list("letter").alias("letters")), "tables")
+    tables = tables.withColumnRenamed("source", "_s")
+    few = tables.count() <= MOST_TABLES
+    both = some.join(F.broadcast(tables) if few else tables, some["source"].eqNullSafe(tables["_s"]), "left").select("id", "text", "units", "letters")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -197,15 +197,32 @@ def test_feistel_is_a_permutation():
     assert (mix.feistel(np.arange(1000), np.full(1000, 1000), np.full(1000, 1, np.uint64)) != mix.feistel(np.arange(1000), np.full(1000, 1000), np.full(1000, 2, np.uint64))).any()
 
 
-def test_plan_meets_shares_and_caps():
+def test_feistel_can_be_inverted():
+    for n in (1, 2, 3, 10, 1000, 4097):
+        x, size, key = np.arange(n), np.full(n, n), np.full(n, 99, np.uint64)
+        assert (mix.feistel(mix.feistel(x, size, key), size, key, inverse=True) == x).all()
+
+
+def test_slots_meet_shares_and_caps():
     tokens, blocks = {"a": 100_000, "b": 50_000, "c": 600}, {"a": 391, "b": 196, "c": 3}
     targets = [("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.1, 4), ("none", 0.1, 3)]
-    plan, slots = mix.draw_plan(tokens, blocks, targets, 256, None, 50, 1)
-    assert Counter({s: n for s, n in slots.items()}) == Counter({s: sum(p[3] for p in plan if p[1] == s) for s in slots})
+    slots = mix.draw_slots(tokens, blocks, targets, None)
     assert slots["c"] <= 12 and slots["a"] / sum(slots.values()) == pytest.approx(0.5 / 0.9, abs=0.03)
-    plan, slots = mix.draw_plan(tokens, blocks, targets, 256, 10**9, 50, 1)
-    assert slots == {"a": 782, "b": 196, "c": 12}
-    assert mix.draw_plan({}, {}, targets, 256, None, 50, 1) == ([], {})
+    assert mix.draw_slots(tokens, blocks, targets, 10**9) == {"a": 782, "b": 196, "c": 12}
+    assert mix.draw_slots({}, {}, targets, None) == {}
+
+
+def test_shards_are_mixed_and_full(spark):
+    """Every cell is taken once, every shard is full, and its counts are near the shares, as a multinomial draw has them."""
+    docs = spark.createDataFrame([(i, f"word{i} and more words " * 60, "a" if i % 4 else "b") for i in range(400)], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 3)], "source string, target_share double, max_repeats int")
+    rows = mix.mixture(docs, t, block=32, shard_blocks=200, bucket_chars=20_000)[0].select("shard", "position", "source", "round", "block_no").collect()
+    assert {(r.shard * 200 + r.position) for r in rows} == set(range(len(rows)))
+    n = Counter(r.source for r in rows)
+    assert all(v == 1 for v in Counter((r.source, r["round"], r.block_no) for r in rows).values())
+    for s in range(len(rows) // 200):
+        assert sum(r.source == "b" for r in rows if r.shard == s) == pytest.approx(200 * n["b"] / len(rows), abs=35)
+    assert len({sum(r.source == "b" for r in rows if r.shard == s) for s in range(len(rows) // 200)}) > 1
 
 
 def test_mixture(spark):
@@ -223,7 +240,7 @@ def test_mixture(spark):
     for s, w in (("a", 0.6), ("b", 0.3), ("tiny", 0.1)):
         assert rep[s].actual_share == pytest.approx(w, abs=0.03)
     ids = {r.doc_id: r.ids for r in encode.encode(df, "doc_id", "text").collect()}
-    packed = [x for r in sorted({(r.block_no, tuple(r.ids)) for r in mix.token_blocks(df, t, block=64).filter("source = 'tiny'").collect()}) for x in r[1]]
+    packed = [x for r in sorted({(r.block_no, tuple(r.ids)) for r in mix.token_blocks(df, ["a", "b", "tiny", "closed"], block=64).filter("source = 'tiny'").collect()}) for x in r[1]]
     assert len(packed) == len(ids[45]) + len(ids[46])
     a, b = mix.mixture(df.limit(0), t)
     assert a.count() == 0 and b.count() == 4
