@@ -231,11 +231,12 @@ def _between(blocks: list[Block], found: list[int | None]) -> list[int]:
 
 def mark_body(blocks: list[Block], url: str | None = None, data: bytes | None = None) -> list[Block]:
     """Sets ``body`` of each block; data are the marks of the page's html (see `density.html_marks`), empty without one."""
-    checked(blocks, url)
     marks = read_marks(data)
+    found = _between(blocks, [block_mark(b, marks) for b in blocks]) if marks else [DENSE] * len(blocks)
+    if DENSE in found:
+        checked(blocks, url)
     if not marks:
         return blocks
-    found = _between(blocks, [block_mark(b, marks) for b in blocks])
     title = next((i for i, b in enumerate(blocks) if b.kind == "h" and b.level == 1 and found[i] == INSIDE), 0)
     for i, (b, m) in enumerate(zip(blocks, found)):
         if m == INSIDE:

@@ -40,7 +40,7 @@ def composite(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> fl
     """The link-adjusted density of one node."""
     if c <= 0:
         return 0.0
-    lc_, lt_, t_ = max(lc, 1), max(lt, 1), max(t, 1)
+    lc_, lt_, t_ = lc or 1, lt or 1, t or 1
     base = math.log(c / max(c - lc, 1) * lc + body_lc / max(body_c, 1) * c + math.e)
     return c / t_ * max(0.0, math.log(max(c / lc_ * t_ / lt_, 1.0)) / max(base, 1.0))
 
@@ -62,18 +62,19 @@ class Tree:
 
     def __init__(self) -> None:
         self.parent, self.tag = [-1], ["body"]
-        self.sign = [""]  # the tag as it is written, with its attributes
+        self.sign = [""]  # the attributes as they are written
         self.c, self.t, self.lc, self.lt = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int]] = []  # (node, key)
         self.title = -1  # the first heading of the first level
 
     def add(self, parent: int, tag: str, attributes: str = "") -> int:
         self.parent.append(parent)
-        self.sign.append(f"{tag} {attributes}".rstrip())
+        self.sign.append(attributes)
         self.tag.append(tag)
-        for x in (self.c, self.t, self.lc, self.lt):
-            x.append(0)
-        self.t[-1] = 1
+        self.c.append(0)
+        self.t.append(1)
+        self.lc.append(0)
+        self.lt.append(0)
         return len(self.parent) - 1
 
 
@@ -91,6 +92,9 @@ def html_tree(text: str) -> Tree:
                 tree.pieces.append((stack[-1] if tree.tag[stack[-1]] not in INLINE else next((i for i in reversed(stack) if tree.tag[i] not in INLINE), 0), key))
 
     def put(s: str) -> None:
+        if s.isspace():
+            words.append(" ")
+            return
         if "&" in s:
             s = _html.unescape(s)
         words.append(s)
@@ -124,7 +128,7 @@ def html_tree(text: str) -> Tree:
             continue
         if tag not in INLINE:
             flush()
-        node = tree.add(stack[-1], tag, "" if tag in INLINE else " ".join((m[4] or "").split()))
+        node = tree.add(stack[-1], tag, m[4])
         if tag == "img":
             s = SRC.search(m[4] or "")
             if s and (key := text_key("img " + _html.unescape(s[1].strip("\"'")))):
@@ -143,10 +147,13 @@ def html_tree(text: str) -> Tree:
 
 
 def _summed(tree: Tree) -> Tree:
-    for i in range(len(tree.parent) - 1, 0, -1):  # children come after their parents
-        p = tree.parent[i]
-        for x in (tree.c, tree.t, tree.lc, tree.lt):
-            x[p] += x[i]
+    parent, c, t, lc, lt = tree.parent, tree.c, tree.t, tree.lc, tree.lt
+    for i in range(len(parent) - 1, 0, -1):  # children come after their parents
+        p = parent[i]
+        c[p] += c[i]
+        t[p] += t[i]
+        lc[p] += lc[i]
+        lt[p] += lt[i]
     return tree
 
 
@@ -191,11 +198,12 @@ def select(tree: Tree) -> tuple[list[float], int, float, list[int]]:
             beside.append(i)
         else:
             continue
-    thin = {tree.sign[i] for i in beside if marks[i] == THIN and tree.c[i]}
-    root = tree.sign[best]
+    sign = lambda i: (tree.tag[i], " ".join(tree.sign[i].split()))
+    thin = {sign(i) for i in beside if marks[i] == THIN and tree.c[i]}
+    root = sign(best)
     if root not in thin:  # dense containers written as the subtree's root continue it, unless thin ones are written so too
         for i in beside:
-            if marks[i] == DENSE and tree.sign[i] == root:
+            if marks[i] == DENSE and sign(i) == root:
                 marks[i] = INSIDE
     for i in range(1, n):
         p = tree.parent[i]

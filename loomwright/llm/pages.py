@@ -147,9 +147,9 @@ def spam_of(blocks: list[B.Block]) -> tuple[float, float, float, int, bool]:
     return clause, repeat, link, n, found
 
 
-def is_spam(blocks: list[B.Block]) -> bool:
-    """The same decision; the automaton is built only where the clauses leave it open."""
-    inside, total = C.clause_chars(blocks)
+def is_spam(blocks: list[B.Block], clauses: tuple[int, int] | None = None) -> bool:
+    """The same decision; the automaton is built only where the clauses (their characters and all, if they are counted already) leave it open."""
+    inside, total = clauses or C.clause_chars(blocks)
     return total >= SPAM_CHARS and inside < SPAM_CLAUSES * total and spam_of(blocks)[4]
 
 
@@ -217,7 +217,7 @@ def residue_features(splits: DataFrame, runs: DataFrame, id_col: str = "run_id")
         return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
 
     def f(body: list[B.Block]) -> Iterator[tuple]:
-        if not body or C.clause_chars(body)[0] >= OWN_TEXT or is_spam(body):
+        if not body or (clauses := C.clause_chars(body))[0] >= OWN_TEXT or is_spam(body, clauses):
             return
         segs = []
         for text, words in sorted(segments_of(body).items()):
