@@ -8,13 +8,50 @@ from .urls import trim
 
 WORDS = r"[\p{L}\p{N}_]+"
 ASCII_WORDS = r"[a-zA-Z]{2,}"
-# Frequent words by which a language is guessed. Fixed values.
+# Stop words, transition words and the forms of readability by language. Fixed values.
 STOP = {
-    "en": ("the", "and", "is", "in", "to", "of", "a", "for", "with", "on", "that", "this"),
-    "de": ("der", "die", "das", "und", "ist", "ein", "eine", "mit", "für", "auf", "nicht", "den"),
-    "es": ("el", "la", "los", "las", "un", "una", "es", "en", "por", "con", "para", "que"),
-}
-TRANSITIONS = ("however", "therefore", "moreover", "furthermore", "meanwhile", "in addition", "for example", "as a result", "in practice", "of course")
+    "en": (
+        "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of",
+        "with", "by", "from", "as", "is", "was", "are", "were", "be", "been",
+        "being", "have", "has", "had", "do", "does", "did", "will", "would",
+        "could", "should", "may", "might", "can", "this", "that", "these",
+        "those", "it", "its", "they", "them", "their", "we", "our", "you",
+        "your", "i", "my", "he", "she", "his", "her", "not", "no", "so", "if",
+        "about", "which", "who", "what", "when", "where", "how", "all", "any",
+        "both", "also", "just", "more", "than", "then", "up", "out", "into",
+    ),
+    "de": (
+        "der", "die", "das", "und", "oder", "ist", "sind", "war", "waren",
+        "ein", "eine", "einem", "einer", "eines", "den", "dem", "des",
+        "von", "mit", "auf", "in", "an", "bei", "zu", "als", "auch",
+        "noch", "aber", "wenn", "dann", "nicht", "sich", "es", "sie",
+        "er", "wir", "ihr", "ich", "du", "mein", "meine", "sein",
+        "seine", "unser", "unsere", "dieser", "diese", "dieses", "jede",
+        "jeder", "alle", "mehr", "so", "wie", "was", "wo", "wann", "wer",
+    ),
+    "es": (
+        "el", "la", "los", "las", "un", "una", "unos", "unas", "y", "o", "es",
+        "son", "era", "eran", "ser", "estar", "de", "en", "con", "por", "para",
+        "que", "como", "pero", "si", "no", "se", "su", "sus", "mi", "tu",
+        "yo", "nosotros", "ellos", "ellas", "este", "esta", "estos", "estas",
+        "al", "del", "le", "les", "lo", "también", "ya", "cuando", "donde",
+    ),
+}
+TRANSITIONS = {
+    "en": (
+        "however", "therefore", "furthermore", "additionally", "moreover",
+        "consequently", "nevertheless", "although", "meanwhile", "subsequently",
+        "accordingly", "thus", "hence", "otherwise", "nonetheless",
+    ),
+    "de": (
+        "jedoch", "daher", "außerdem", "zusätzlich", "darüber hinaus",
+        "folglich", "dennoch", "obwohl", "inzwischen", "anschließend",
+    ),
+    "es": (
+        "sin embargo", "por lo tanto", "además", "asimismo", "no obstante",
+        "en consecuencia", "aunque", "mientras tanto", "posteriormente",
+    ),
+}
 
 
 def words(t: Column) -> Column:
@@ -42,7 +79,7 @@ def nearest_rank(xs: Column, p: float) -> Column:
 
 def guess_language(t: Column) -> Column:
     """The language with the most different frequent words; of equals the first listed."""
-    w = F.array_distinct(words(t))
+    w = F.array_distinct(tokens(t))
     n = {k: F.size(F.array_intersect(w, F.array(*map(F.lit, v)))) for k, v in STOP.items()}
     most = F.greatest(*n.values())
     out = F.lit("en")
@@ -60,35 +97,18 @@ def depth_label(n: Column) -> Column:
     return F.when(n < 100, "thin").when(n < 300, "short").when(n < 800, "adequate").otherwise("comprehensive")
 
 
-def syllables(w: Column) -> Column:
-    """Vowel clusters less a silent e, one at least."""
-    n = F.regexp_count(w, F.lit("[aeiouy]+")) - F.when(w.rlike("[^aeiouy]e$"), 1).otherwise(0)
-    return F.greatest(F.lit(1), n)
-
-
-def flesch(t: Column) -> Column:
-    w, s = tokens(t), sentences(t)
-    nw, ns = F.size(w), F.size(s)
-    syl = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
-    return F.when((nw > 0) & (ns > 0), F.round(F.lit(206.835) - F.lit(1.015) * (nw / ns) - F.lit(84.6) * (syl / nw), 1))
-
-
-def passive_count(t: Column) -> Column:
-    return F.regexp_count(F.lower(t), F.lit(r"\b(?:is|are|was|were|be|been|being) [a-z]+(?:ed|en)\b")).cast("bigint")
-
-
 def strip_markdown(t: Column) -> Column:
-    """The text without markup of code, images, links, headings, emphasis, quotes, lists and rules."""
+    """The text without code, images, the targets of links, marks of headings, emphasis, quotes and rules; blank lines and blanks collapsed."""
     for pattern, put in (
-        (r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""),
-        (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"(?m)^>\s?", ""), (r"(?m)^\s*(?:[-*+]|\d+\.)\s+", ""), (r"(?m)^-{3,}$", ""),
+        (r"(?s)```.*?```", ""), (r"`[^`]*`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""),
+        (r"\*{1,3}([^*]*)\*{1,3}", "$1"), (r"_{1,3}([^_]*)_{1,3}", "$1"), (r"(?m)^>\s+", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "),
     ):
         t = F.regexp_replace(t, pattern, put)
-    return F.trim(t)
+    return trim(t)
 
 
 def content_hash(t: Column) -> Column:
-    """The 32-bit hash h = 31 h + c over the first 2,000 code points."""
+    """The 32-bit hash h = 31 h + c over the first 2,000 code points, which is how the hash is defined."""
     chars = F.filter(F.split(F.substring(t, 1, 2000), ""), lambda c: c != "")
     return F.aggregate(F.transform(chars, lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(4294967295)))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Query parameters that only track, and endings of files that aren't pages. Fixed values.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "_ga", "yclid")
-BINARY = ("pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "css", "js", "zip", "gz", "mp3", "mp4", "avi", "mov", "woff", "woff2", "ttf", "eot", "xml", "json")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "ref", "mc_cid", "mc_eid", "_ga", "_gl")
+BINARY = (
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "pdf", "css", "js", "mjs", "woff", "woff2", "ttf", "eot", "otf", "mp4", "mp3", "avi", "zip", "gz", "tar", "dmg", "exe", "apk",
+)
 
 
 EDGES = r"^[\s\x{a0}]+|[\s\x{a0}]+$"  # white space at either end, the no-break space too
@@ -32,7 +34,7 @@ def path(url: Column) -> Column:
 
 def strip_tracking(url: Column, params: tuple[str, ...] = TRACKING) -> Column:
     """The address without tracking parameters and without an empty query."""
-    keep = F.filter(F.split(F.substring(part(url, 4), 2, 100000), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*params))
+    keep = F.filter(F.split(F.regexp_replace(part(url, 4), r"^\?", ""), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*params))
     q = F.when(F.size(keep) > 0, F.concat(F.lit("?"), F.array_join(keep, "&"))).otherwise(F.lit(""))
     scheme = part(url, 1)
     return F.concat(F.when(scheme == "", F.lit("")).otherwise(F.concat(scheme, F.lit(":"))), F.when(part(url, 2) == "", F.lit("")).otherwise(F.concat(F.lit("//"), part(url, 2))), part(url, 3), q, part(url, 5))
@@ -51,13 +53,22 @@ def comparable(url: Column) -> Column:
     return F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), F.when(p == "", F.lit("/")).otherwise(p), part(url, 4))
 
 
+def without_dots(p: Column) -> Column:
+    """A path's segments . and .. read: a fold over its segments, so that any number of .. is followed."""
+    q = F.regexp_extract(p, r"^([^?#]*)(.*)$", 1)
+    rest = F.regexp_extract(p, r"^([^?#]*)(.*)$", 2)
+    seg = F.split(q, "/")
+    done = F.aggregate(seg, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.array_join(done, "/"), F.when(F.element_at(seg, -1).isin(".", "..") & (F.size(done) > 0), "/").otherwise(""), rest)
+
+
 def join(base: Column, ref: Column) -> Column:
     """A reference read against its page, for absolute, scheme-relative, root-relative, query, fragment and plain relative references."""
     r = trim(ref)
     origin = F.concat(part(base, 1), F.lit("://"), part(base, 2))
     folder = F.regexp_extract(path(base), "^(.*/)", 1)
     joined = F.concat(folder, r)
-    clean = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"/[^/]+/\.\./", "/")
+    clean = without_dots(joined)
     return (
         F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
         .when(r.startswith("//"), F.concat(part(base, 1), F.lit(":"), r))

@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TEXT_OF = frozenset("h1 h2 h3 h4 h5 h6 a button title p li label script".split())
-DOM = "node_id int, parent_id int, end_id int, depth int, tag string, attrs map<string,string>, text string, n_children int, own_chars int, in_head boolean"
+DOM = "node_id int, parent_id int, end_id int, depth int, tag string, attrs map<string,string>, text string, n_children int, own_chars int, own_words int, in_head boolean"
 SEMANTIC = ("header", "nav", "main", "article", "section", "aside", "footer")
-DEPRECATED = ("font", "center", "marquee", "blink", "big", "strike", "tt", "frame")
-HANDLERS = ("onclick", "onload", "onmouseover", "onmouseout", "onchange", "onsubmit", "onkeydown")
+DEPRECATED = ("font", "center", "marquee", "applet", "frameset", "frame", "strike", "u")
+HANDLERS = ("onclick", "onload", "onmouseover", "onmouseout", "onchange", "onfocus", "onblur")
 
 
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []  # parent, end, depth, tag, attrs, text parts, children, own chars, in head
+        self.nodes: list[list] = []  # parent, end, depth, tag, attrs, text parts, children, own chars, in head, own words
         self.open: list[int] = []
         self.head = 0
 
@@ -33,7 +33,7 @@ class _Tree(HTMLParser):
         parent = self.open[-1] if self.open else -1
         if parent >= 0:
             self.nodes[parent][6] += 1
-        self.nodes.append([parent, i, len(self.open), tag, {k: v or "" for k, v in attrs}, [], 0, 0, self.head > 0])
+        self.nodes.append([parent, i, len(self.open), tag, {k: v or "" for k, v in attrs}, [], 0, 0, self.head > 0, 0])
         if tag not in VOID:
             self.open.append(i)
             self.head += tag == "head"
@@ -58,6 +58,7 @@ class _Tree(HTMLParser):
             return
         top = self.nodes[self.open[-1]]
         top[7] += len(data.strip())
+        top[9] += len(data.split())
         if top[3] in ("script", "style"):
             top[5].append(data)
             return
@@ -77,7 +78,7 @@ def parse(html: str) -> list[list]:
 
 
 def dom_nodes(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, node_id, parent_id, end_id, depth, tag, attrs, text, n_children, own_chars, in_head); map-only."""
+    """(id, node_id, parent_id, end_id, depth, tag, attrs, text, n_children, own_chars, own_words, in_head); map-only."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +89,10 @@ def dom_nodes(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
                 for i, html in enumerate(batch.column(1).to_pylist()):
                     for n, x in enumerate(parse(html) if html else ()):
                         take.append(i)
-                        rows.append((n, x[0], x[1], x[2], x[3], list(x[4].items()), " ".join("".join(x[5]).split()) if x[3] in TEXT_OF else None, x[6], x[7], x[8]))
-                cols = list(zip(*rows)) if rows else [[] for _ in range(10)]
-                kinds = [pa.int32()] * 4 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
-                names = ["node_id", "parent_id", "end_id", "depth", "tag", "attrs", "text", "n_children", "own_chars", "in_head"]
+                        rows.append((n, x[0], x[1], x[2], x[3], list(x[4].items()), " ".join("".join(x[5]).split()) if x[3] in TEXT_OF else None, x[6], x[7], x[9], x[8]))
+                cols = list(zip(*rows)) if rows else [[] for _ in range(11)]
+                kinds = [pa.int32()] * 4 + [pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+                names = ["node_id", "parent_id", "end_id", "depth", "tag", "attrs", "text", "n_children", "own_chars", "own_words", "in_head"]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], [id_col, *names])
 
     return df.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {id_type}, {DOM}")
@@ -109,6 +110,12 @@ def _n(cond: Column) -> Column:
     return F.count_if(cond)
 
 
+def repeated(xs: Column) -> Column:
+    """The different elements of an array that occur more than once: neighbours in its sorted form."""
+    s = F.array_sort(xs)
+    return F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False))))
+
+
 def summary(dom: DataFrame, id_col: str) -> DataFrame:
     """One row for each page with its markup, accessibility, form, script and image counts: one shuffle of partial sums."""
     tag = F.col("tag")
@@ -125,8 +132,8 @@ def summary(dom: DataFrame, id_col: str) -> DataFrame:
         F.count_distinct(F.when(tag.isin(*SEMANTIC), tag)).alias("semantic_score"),
         *(_n(tag == f"h{i}").alias(f"h{i}_count") for i in range(1, 7)),
         F.max_by(F.when(level.isNotNull(), F.col("text")), F.when(tag == "h1", -F.col("node_id"))).alias("first_h1"),
-        _n((F.col("n_children") == 0) & (F.col("own_chars") == 0) & ~tag.isin(*VOID)).alias("empty_elements"),
-        (F.count(attr("id")) - F.count_distinct(attr("id"))).alias("repeated_ids"),
+        _n((F.col("n_children") == 0) & (F.col("own_chars") == 0)).alias("empty_elements"),
+        F.size(repeated(F.collect_list(attr("id")))).cast("bigint").alias("repeated_ids"),
         F.array_join(F.array_sort(F.collect_set(F.when(tag.isin(*DEPRECATED), tag))), ",").alias("deprecated_tags"),
         F.sum(sum((F.coalesce((F.length(attr(h)) > 0).cast("bigint"), F.lit(0)) for h in HANDLERS), F.lit(0))).alias("inline_handlers"),
         _n(tag == "iframe").alias("iframes"),
@@ -184,28 +191,35 @@ def metadata(dom: DataFrame, id_col: str) -> DataFrame:
 def headings(dom: DataFrame, id_col: str) -> DataFrame:
     """(id, node_id, level, text, previous_level, skipped, parent_id): the outline; the parent is the nearest earlier heading of a smaller level.
 
-    Windows are over one page's headings. The parent comes from a fold over the page's outline so far.
+    Windows are over one page's headings: the last heading of each level so far, of which the latest of a smaller level is the parent.
     """
     h = dom.filter(F.col("tag").rlike("^h[1-6]$")).select(id_col, "node_id", F.substring("tag", 2, 1).cast("int").alias("level"), "text")
     w = Window.partitionBy(id_col).orderBy("node_id")
-    before = F.collect_list(F.struct("node_id", "level")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return h.withColumn("previous_level", F.lag("level").over(w)).withColumn("_b", before).select(
-        id_col, "node_id", "level", "text", "previous_level", F.coalesce(F.col("level") > F.col("previous_level") + 1, F.lit(False)).alias("skipped"),
-        F.array_max(F.transform(F.filter("_b", lambda x: x["level"] < F.col("level")), lambda x: x["node_id"])).alias("parent_id"),
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == k, F.col("node_id")), ignorenulls=True).over(before).alias(f"_{k}") for k in range(1, 6)]
+    parent = F.greatest(F.lit(None).cast("int"), *(F.when(F.col("level") > k, F.col(f"_{k}")) for k in range(1, 6)))
+    return h.select("*", F.lag("level").over(w).alias("previous_level"), *last).select(
+        id_col, "node_id", "level", "text", "previous_level", F.coalesce(F.col("level") > F.col("previous_level") + 1, F.lit(False)).alias("skipped"), parent.alias("parent_id"),
     )
 
 
 def region_words(dom: DataFrame, id_col: str) -> DataFrame:
-    """(id, region, n_words) in main, aside, footer and header, first of each; an interval join within the page."""
-    r = dom.filter(F.col("tag").isin("main", "aside", "footer", "header")).groupBy(id_col, F.col("tag").alias("region")).agg(F.min(F.struct("node_id", "end_id")).alias("r"))
-    t = dom.filter("own_chars > 0 and text is not null and tag not in ('script','style')").select(id_col, "node_id", F.size(F.split("text", " ")).alias("k"))
-    return t.join(r, id_col).filter("node_id >= r.node_id and node_id <= r.end_id").groupBy(id_col, "region").agg(F.sum("k").cast("bigint").alias("n_words"))
+    """(id, region, n_words) in main, aside, footer and header, first of each: the own words of all elements inside, scripts and styles left out.
+
+    A page has four regions at most, so they are an array beside its elements, and the intervals are compared without a join.
+    """
+    t = F.col("tag")
+    names = ("main", "aside", "footer", "header")
+    page = dom.groupBy(id_col).agg(*(F.min(F.when(t == r, F.struct("node_id", "end_id"))).alias(r) for r in names), F.collect_list(F.when((F.col("own_words") > 0) & ~t.isin("script", "style"), F.struct("node_id", "own_words"))).alias("_w"))
+    inside = lambda r: F.aggregate(F.filter("_w", lambda x: (x["node_id"] >= F.col(f"{r}.node_id")) & (x["node_id"] <= F.col(f"{r}.end_id"))), F.lit(0), lambda a, x: a + x["own_words"])
+    rows = F.array(*(F.when(F.col(r).isNotNull(), F.struct(F.lit(r).alias("region"), inside(r).cast("bigint").alias("n_words"))) for r in names))
+    return page.select(id_col, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select(id_col, "x.*")
 
 
 def unlabelled_inputs(dom: DataFrame, id_col: str) -> DataFrame:
     """(id, node_id) of inputs that aren't hidden, have no label for their id and none around them: two anti joins within the page."""
     labels = dom.filter("tag = 'label'")
-    inputs = dom.filter((F.col("tag") == "input") & ~F.lower(F.coalesce(attr("type"), F.lit(""))).isin("hidden", "submit", "button")).select(id_col, "node_id", attr("id").alias("iid"))
+    inputs = dom.filter((F.col("tag") == "input") & ~F.lower(F.coalesce(attr("type"), F.lit(""))).isin("hidden")).select(id_col, "node_id", attr("id").alias("iid"))
     named = labels.select(F.col(id_col).alias("p"), attr("for").alias("f"))
     around = labels.select(F.col(id_col).alias("p"), F.col("node_id").alias("a"), F.col("end_id").alias("z"))
     left = inputs.join(named, (inputs[id_col] == named["p"]) & (inputs["iid"] == named["f"]), "left_anti")
@@ -223,23 +237,39 @@ def jsonld_blocks(dom: DataFrame, id_col: str) -> DataFrame:
     return s.withColumn("parse_error", F.try_parse_json("raw").isNull()).select(id_col, "pos", "parse_error", F.explode(items).alias("item"))
 
 
-# Vendors by a part of their host, first match wins in this order. Fixed values.
-VENDORS = (
-    ("analytics", ("google-analytics", "googletagmanager", "hotjar", "segment.", "mixpanel", "matomo", "plausible")), ("ads", ("doubleclick", "googlesyndication", "adservice", "criteo", "taboola", "outbrain")),
-    ("cdn", ("cloudflare", "jsdelivr", "unpkg", "cdnjs", "akamai", "fastly", "cloudfront")), ("social", ("facebook", "twitter", "linkedin", "instagram", "pinterest", "tiktok")),
-)
+# Vendors by their hosts, the first category that has the host counts; and the hosts of tag managers. Fixed values.
+VENDORS = {
+    "analytics": (
+        "www.google-analytics.com", "google-analytics.com", "www.googletagmanager.com", "googletagmanager.com", "analytics.google.com", "snap.licdn.com",
+        "static.hotjar.com", "js.hs-analytics.net", "cdn.segment.com", "plausible.io", "cdn.mxpnl.com", "js.hs-scripts.com",
+    ),
+    "ads": (
+        "pagead2.googlesyndication.com", "adservice.google.com", "securepubads.g.doubleclick.net", "ads.twitter.com", "www.googleadservices.com",
+        "connect.facebook.net", "static.ads-twitter.com", "platform.twitter.com",
+    ),
+    "cdn": (
+        "cdn.jsdelivr.net", "cdnjs.cloudflare.com", "unpkg.com", "ajax.googleapis.com", "cdn.shopify.com", "assets.squarespace.com",
+        "stackpath.bootstrapcdn.com", "code.jquery.com",
+    ),
+    "social": ("platform.twitter.com", "connect.facebook.net", "platform.linkedin.com", "widgets.pinterest.com", "platform.instagram.com", "apis.google.com"),
+}
+TAG_MANAGERS = ("www.googletagmanager.com", "googletagmanager.com", "tags.tiqcdn.com", "assets.adobedtm.com", "cdn.cookielaw.org")
 DROPPED = ("script", "style", "noscript", "svg")
 
 
 def third_party(dom: DataFrame, pages: DataFrame, id_col: str, url_col: str = "url") -> DataFrame:
-    """(id, domain, category, n) of scripts from other hosts; a sub-domain of the page's host is first party."""
-    s = dom.filter((F.col("tag") == "script") & F.lower(attr("src")).rlike("^(https?:)?//")).select(id_col, F.regexp_extract(F.lower(attr("src")), "^(?:https?:)?//([^/:?#]+)", 1).alias("domain"))
-    own = pages.select(id_col, F.regexp_extract(F.lower(F.col(url_col)), r"//(?:www\.)?([^/:?#]+)", 1).alias("_own"))
-    s = s.join(own, id_col).filter((F.col("domain") != F.col("_own")) & ~F.col("domain").endswith(F.concat(F.lit("."), F.col("_own"))))
+    """(id, domain, category, n, first_seen, tag_manager) of scripts from other hosts; a sub-domain of the page's host is first party.
+
+    A page without an address has no host of its own. first_seen is the element's number, by which the page's order is kept.
+    """
+    s = dom.filter((F.col("tag") == "script") & F.lower(attr("src")).rlike("^([a-z][a-z0-9+.-]*:)?//")).select(id_col, "node_id", F.regexp_extract(F.lower(attr("src")), "^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)", 1).alias("domain"))
+    own = pages.select(id_col, F.regexp_extract(F.lower(F.col(url_col)), r"//([^/?#]+)", 1).alias("_own"))
+    first = (F.col("_own") != "") & ((F.col("domain") == F.col("_own")) | F.col("domain").endswith(F.concat(F.lit("."), F.col("_own"))))
+    s = s.filter("domain <> ''").join(own, id_col).filter(~F.coalesce(first, F.lit(False)))
     cat = F.lit("other")
-    for name, parts in reversed(VENDORS):
-        cat = F.when(F.col("domain").rlike("|".join(p.replace(".", r"\.") for p in parts)), F.lit(name)).otherwise(cat)
-    return s.groupBy(id_col, "domain", cat.alias("category")).agg(F.count("*").alias("n"))
+    for name, hosts in reversed(VENDORS.items()):
+        cat = F.when(F.col("domain").isin(*hosts), F.lit(name)).otherwise(cat)
+    return s.groupBy(id_col, "domain", cat.alias("category")).agg(F.count("*").alias("n"), F.min("node_id").alias("first_seen"), F.max(F.col("domain").isin(*TAG_MANAGERS)).alias("tag_manager"))
 
 
 def skeleton_counts(dom: DataFrame, id_col: str) -> DataFrame:
@@ -262,7 +292,7 @@ def image_classes(dom: DataFrame, id_col: str) -> DataFrame:
 def contents_tables(dom: DataFrame, id_col: str, least: int = 3) -> DataFrame:
     """(id, n_links) of pages with `least` links or more to the ids of their second and third level headings."""
     h = dom.filter("tag in ('h2','h3')").select(id_col, attr("id").alias("hid")).filter("hid is not null").distinct()
-    a = dom.filter((F.col("tag") == "a") & attr("href").startswith("#")).select(id_col, F.substring(attr("href"), 2, 10_000).alias("hid"))
+    a = dom.filter((F.col("tag") == "a") & attr("href").startswith("#")).select(id_col, F.regexp_replace(attr("href"), "^#", "").alias("hid"))
     return a.join(h, [id_col, "hid"]).groupBy(id_col).agg(F.count("*").alias("n_links")).filter(F.col("n_links") >= least)
 
 

@@ -146,7 +146,7 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def priority(depth: Column, inlinks: Column, fresh: Column) -> Column:
     """0.4 by depth, 0.3 by in-links, 0.3 by freshness (0.15 where unknown)."""
-    return F.round(0.4 / (1 + depth) + 0.3 * F.least(F.lit(1.0), inlinks / 10) + F.coalesce(0.3 * fresh, F.lit(0.15)), 4)
+    return F.round(F.coalesce(0.4 / (1 + depth), F.lit(0.0)) + 0.3 * F.least(F.lit(1.0), inlinks / 10) + F.coalesce(0.3 * fresh, F.lit(0.15)), 4)
 
 
 def top_external(edges: DataFrame, limit: int = 10) -> DataFrame:

@@ -56,7 +56,7 @@ def resolve_property(sites: DataFrame, properties: DataFrame) -> DataFrame:
     part of the host (its last two labels), so this is an equi join with a residual.
     """
     tail = lambda c: F.regexp_extract(F.lower(c), r"([^./:]+\.[^./:]+)(?:[:/]|$)", 1)
-    p = properties.select("property", F.when(F.col("property").startswith("domain:"), F.substring("property", 8, 1000)).alias("domain"))
+    p = properties.select("property", F.when(F.col("property").startswith("domain:"), F.regexp_replace("property", "^domain:", "")).alias("domain"))
     p = p.withColumn("_t", tail(F.coalesce("domain", F.regexp_replace("property", "^https?://", ""))))
     s = sites.select("url", F.regexp_replace(F.lower("url"), "^https?://", "").alias("_u"))
     s = s.withColumn("_h", F.regexp_extract("_u", "^([^/:?#]*)", 1)).withColumn("_t", tail(F.col("_u")))

@@ -12,7 +12,8 @@ without scalars still has one triple, with a null field, so that it keeps its ro
 * a single object where a list could stand is a list of one; a list in a list continues the path with a second position;
 * a string that is a JSON object or list counts as its content;
 * null, empty, blank and invalid bodies give nothing; of a repeated key the last one counts;
-* numbers keep their text, so no digit of a long number is lost.
+* numbers keep their text, so no digit of a long number is lost; half a surrogate pair, escaped alone, becomes U+FFFD;
+* a dot in a key is written as %2E in groups, and % as %25, so that the key b.c and the path from b to c are two groups.
 """
 
 from __future__ import annotations
@@ -104,6 +105,11 @@ def parse_json(text: str) -> Any:
         return _deep(s)
 
 
+def _whole(s: str | None) -> str | None:
+    """The text with U+FFFD for every half of a surrogate pair, which JSON may escape alone and UTF-8 can't hold."""
+    return s if s is None else re.sub("[\ud800-\udfff]", "\ufffd", s)
+
+
 def _content(v: Any) -> Any:
     """A string that is a JSON object or list as its content, to any depth; everything else as it is."""
     while isinstance(v, str) and not isinstance(v, _Number):
@@ -127,6 +133,10 @@ def _scalar(v: Any) -> tuple[str | None, str]:
     return v, "string"
 
 
+def _step(key: str) -> str:
+    return key.replace("%", "%25").replace(".", "%2E") if "." in key or "%" in key else key
+
+
 def triples(value: Any, path: str) -> Iterator[tuple[str, str, str, int, str | None, str | None, str]]:
     """The triples of what stands at one path of a record, in document order, without recursion."""
     # (value, path with positions, group, parent's path, ordinal)
@@ -145,7 +155,7 @@ def triples(value: Any, path: str) -> Iterator[tuple[str, str, str, int, str | N
         for k, x in v.items():
             c = _content(x)
             if isinstance(c, (list, dict)):
-                inner.append((c, f"{at}.{k}", f"{group}.{k}", at, -1))
+                inner.append((c, f"{at}.{k}", f"{group}.{_step(k)}", at, -1))
             else:
                 value_, kind = _scalar(c)
                 yield parent, at, group, ordinal, k, value_, kind
@@ -189,7 +199,11 @@ def record_triples(df: DataFrame, id_col: str, body_col: str, roots: Sequence[st
     def out(batch: pa.RecordBatch, take: list[int], rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[] for _ in names]
         ids = batch.column(0).take(pa.array(take, pa.int64()))
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, arrow))], [id_col, *names])
+        try:
+            arrays = [pa.array(c, t) for c, t in zip(cols, arrow)]
+        except UnicodeEncodeError:
+            arrays = [pa.array([_whole(x) for x in c] if t == pa.string() else c, t) for c, t in zip(cols, arrow)]
+        return pa.RecordBatch.from_arrays([ids, *arrays], [id_col, *names])
 
     return df.select(id_col, body_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {TRIPLES}")
 

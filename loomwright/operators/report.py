@@ -71,19 +71,20 @@ def detect_compression(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.when(e.contains("br"), "br").when(e.contains("gzip"), "gzip").when(e.contains("deflate"), "deflate").alias("compression_seen"))
 
 
-# Delivery networks by a part of a header's name or value, first match wins. Fixed values.
-CDN = (("cloudflare", ("cf-ray", "cloudflare")), ("fastly", ("x-fastly", "fastly")), ("akamai", ("akamai",)), ("cloudfront", ("cloudfront", "x-amz-cf")), ("vercel", ("x-vercel", "vercel")))
+# Delivery networks: (name, part, whether only names of headers count), first match wins. Fixed values.
+CDN = (
+    ("cloudflare", "cf-ray", False), ("cloudflare", "cf-cache-status", False), ("cloudfront", "x-amz-cloudfront-id", False), ("cloudfront", "cloudfront", False),
+    ("akamai", "akamai", False), ("aws", "x-amz", True), ("aws", "x-aws", False), ("fastly", "fastly", False),
+)
 
 
 def detect_cdn(runs: DataFrame) -> DataFrame:
-    """(run_id, cdn_seen) by the headers' names and values."""
+    """(run_id, cdn_seen) by parts of the headers' names or values; null where none matches."""
+    names = F.lower(F.concat_ws(" ", F.map_keys("headers")))
     text = F.lower(F.concat_ws(" ", F.map_keys("headers"), F.map_values("headers")))
     out = F.lit(None).cast("string")
-    for name, parts in reversed(CDN):
-        hit = text.contains(parts[0])
-        for p in parts[1:]:
-            hit = hit | text.contains(p)
-        out = F.when(hit, F.lit(name)).otherwise(out)
+    for name, part, only_names in reversed(CDN):
+        out = F.when((names if only_names else text).contains(part), F.lit(name)).otherwise(out)
     return runs.filter("headers is not null").select("run_id", out.alias("cdn_seen"))
 
 

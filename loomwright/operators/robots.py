@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Agents of the verdict matrix and the AI agents among the known ones. Fixed values.
-AGENTS = ("*", "googlebot", "bingbot", "gptbot", "ccbot", "claudebot", "google-extended", "perplexitybot", "bytespider")
-AI_AGENTS = ("gptbot", "ccbot", "claudebot", "google-extended", "perplexitybot", "bytespider")
-TYPOS = {"useragent": "user-agent", "user agent": "user-agent", "dissallow": "disallow", "disalow": "disallow", "site-map": "sitemap", "crawldelay": "crawl-delay"}
-KNOWN = ("user-agent", "disallow", "allow", "sitemap", "crawl-delay", "host", "clean-param", "noindex")
+AGENTS = ("*", "googlebot", "bingbot", "gptbot", "ccbot", "anthropic-ai", "google-extended", "perplexitybot", "bytespider")
+AI_AGENTS = ("gptbot", "ccbot", "anthropic-ai", "google-extended", "perplexitybot", "bytespider")
+TYPOS = {"user-agents": "user-agent", "disallows": "disallow", "allows": "allow", "crawl-delays": "crawl-delay", "sitemaps": "sitemap"}
+KNOWN = ("user-agent", "disallow", "allow", "crawl-delay", "sitemap", "host", "clean-param", "noindex", "request-rate", "visit-time")
 
 
 def parse(txt: DataFrame, id_col: str, text_col: str) -> DataFrame:

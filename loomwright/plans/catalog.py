@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import texts as X, urls as U
-from ..operators import dom as D, graph as G, jsonld as J, markdown as K, metrics as M, nested, report as R, robots as B
+from ..operators import content as C, dom as D, graph as G, jsonld as J, markdown as K, metrics as M, nested, report as R, robots as B
 from ..streaming import flows as S
 from ..session import Query, table
 
@@ -197,14 +197,14 @@ _sql(
 
 
 def _clean_sql(u: str) -> str:
-    names = ", ".join(f"'{x}'" for x in U.TRACKING)
+    names = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'fbclid', 'gclid', 'ref', 'mc_cid', 'mc_eid', '_ga', '_gl'"
     keep = f"list_filter(string_split(substr({_part(u, 4)}, 2), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({names}))"
     q = f"CASE WHEN len({keep}) > 0 THEN '?' || array_to_string({keep}, '&') ELSE '' END"
     return f"(CASE WHEN {_part(u, 1)} = '' THEN '' ELSE {_part(u, 1)} || ':' END || CASE WHEN {_part(u, 2)} = '' THEN '' ELSE '//' || {_part(u, 2)} END || {_part(u, 3)} || {q} || {_part(u, 5)})"
 
 
 _sql(
-    url_normalize=f"""SELECT page_id, CASE WHEN regexp_matches(lower({_part('c', 3)}), '\\.(?:{'|'.join(U.BINARY)})$') THEN NULL ELSE lower({_part('c', 1)}) || '://' || lower({_part('c', 2)}) || ({_path('c')}) || {_part('c', 4)} END AS url_norm, k AS url_clean
+    url_normalize=f"""SELECT page_id, CASE WHEN regexp_matches(lower({_part('c', 3)}), '\\.(?:jpe?g|png|gif|webp|svg|ico|pdf|css|m?js|woff2?|ttf|eot|otf|mp[34]|avi|zip|gz|tar|dmg|exe|apk)$') THEN NULL ELSE lower({_part('c', 1)}) || '://' || lower({_part('c', 2)}) || ({_path('c')}) || {_part('c', 4)} END AS url_norm, k AS url_clean
         FROM (SELECT page_id, {_clean_sql(_trim('url'))} AS c, {_clean_sql('url')} AS k FROM crawl_pages)""",
 )
 
@@ -246,14 +246,7 @@ def pagerank_three_rounds(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def link_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Depth from the pages whose crawl depth is 0 or 1, four rounds at most."""
-    n = G.latest(_crawl(spark, d))
-    return G.link_depth(n, _edges(spark, d), n.filter("crawl_depth <= 1"), most=4)
-
-
-@_query
-def link_depth_all(spark: SparkSession, d: str) -> DataFrame:
-    """Depth of every page, without a bound; the crawl depth where no link leads from those start pages."""
+    """Depth of every page from the start pages (crawl depth 0 or 1), until the front is empty; the crawl depth where no link leads from them."""
     n = G.latest(_crawl(spark, d).select("url", "page_id", "crawl_depth"))
     return G.depths(n, _edges(spark, d), n.filter("crawl_depth <= 1"))
 
@@ -265,12 +258,15 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def issue_lists(spark: SparkSession, d: str) -> DataFrame:
-    return G.issues(_nodes(spark, d)).groupBy("section").agg(F.count("*").alias("n_pages"))
+    """The pages of each section: orphans, dead ends, deep pages, pages with many external links, 4xx, 5xx."""
+    return G.issues(_nodes(spark, d))
 
 
 @_query
 def depth_map(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).groupBy("crawl_depth").agg(F.count("*").alias("n_pages"))
+    """The pages of each crawl depth, in order; null depths as a group of their own."""
+    w = Window.partitionBy("crawl_depth").orderBy("url")
+    return _nodes(spark, d).select("crawl_depth", "url", "type", F.row_number().over(w).cast("bigint").alias("pos"))
 
 
 @_query
@@ -287,7 +283,7 @@ def uncrawled_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def crawl_priority(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).filter("crawl_depth is not null").select("url", G.priority(F.col("crawl_depth"), F.col("inlinks"), F.lit(None).cast("double")).alias("priority"))
+    return _nodes(spark, d).select("url", G.priority(F.col("crawl_depth"), F.col("inlinks"), F.lit(None).cast("double")).alias("priority"))
 
 
 @_query
@@ -328,15 +324,16 @@ _sql(
     degree_counts=f"SELECT url, outlinks, out_external, external_domains, inlinks FROM {_DEG}",
     pagerank=_pagerank_sql(50),
     pagerank_three_rounds=_pagerank_sql(3),
-    link_depth=f"""WITH RECURSIVE n AS (SELECT url, crawl_depth FROM {_L}), e AS (SELECT DISTINCT src, dst FROM {_E} WHERE internal AND src <> dst AND dst IN (SELECT url FROM n)), w(url, k) AS (SELECT url, 0 FROM n WHERE crawl_depth <= 1 UNION SELECT e.dst, k + 1 FROM w JOIN e ON w.url = e.src WHERE k < 4)
-        SELECT url, min(k)::INT AS link_depth FROM w GROUP BY 1""",
+    link_depth=f"""WITH RECURSIVE n AS (SELECT url, crawl_depth FROM {_L}), e AS (SELECT DISTINCT src, dst FROM {_E} WHERE internal AND src <> dst AND dst IN (SELECT url FROM n)), w(url, k) USING KEY (url) AS
+        (SELECT url, 0 FROM n WHERE crawl_depth <= 1 UNION SELECT e.dst, min(w.k) + 1 FROM w JOIN e ON w.url = e.src LEFT JOIN recurring.w AS r ON r.url = e.dst WHERE r.url IS NULL GROUP BY 1)
+        SELECT n.url, coalesce(w.k, n.crawl_depth)::INT AS link_depth, w.k IS NOT NULL AS reached FROM n LEFT JOIN w ON n.url = w.url""",
     graph_nodes=f"SELECT url, type, inlinks, outlinks, out_external, flags, cluster FROM {_NODES}",
-    issue_lists=f"""SELECT section, count(*)::BIGINT AS n_pages FROM (SELECT unnest(list_filter([CASE WHEN type = 'orphan' THEN 'orphans' END, CASE WHEN flags & 1 <> 0 THEN 'dead_ends' END, CASE WHEN flags & 2 <> 0 THEN 'deep' END, CASE WHEN flags & 4 <> 0 THEN 'external_heavy' END,
-        CASE WHEN status BETWEEN 400 AND 499 THEN 'errors_4xx' END, CASE WHEN status BETWEEN 500 AND 599 THEN 'errors_5xx' END], lambda x: x IS NOT NULL)) AS section FROM {_NODES}) GROUP BY 1""",
-    depth_map=f"SELECT crawl_depth, count(*)::BIGINT AS n_pages FROM {_NODES} GROUP BY 1",
+    issue_lists=f"""SELECT section, url FROM (SELECT url, unnest(list_filter([CASE WHEN type = 'orphan' THEN 'orphans' END, CASE WHEN flags & 1 <> 0 THEN 'dead_ends' END, CASE WHEN flags & 2 <> 0 THEN 'deep' END, CASE WHEN flags & 4 <> 0 THEN 'external_heavy' END,
+        CASE WHEN status BETWEEN 400 AND 499 THEN 'errors_4xx' END, CASE WHEN status BETWEEN 500 AND 599 THEN 'errors_5xx' END], lambda x: x IS NOT NULL)) AS section FROM {_NODES})""",
+    depth_map=f"SELECT crawl_depth, url, type, row_number() OVER (PARTITION BY crawl_depth ORDER BY url) AS pos FROM {_NODES}",
     external_domains=f"SELECT {_host('dst')} AS domain, count(DISTINCT src)::BIGINT AS n_pages FROM {_E} WHERE NOT internal GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     uncrawled_targets=f"SELECT dst AS url, count(*)::BIGINT AS n_links FROM {_E} WHERE internal AND dst NOT IN (SELECT url FROM crawl_pages WHERE url IS NOT NULL) GROUP BY 1",
-    crawl_priority=f"SELECT url, round(0.4 / (1 + crawl_depth) + 0.3 * least(1.0, inlinks / 10.0) + 0.15, 4) AS priority FROM {_NODES} WHERE crawl_depth IS NOT NULL",
+    crawl_priority=f"SELECT url, round(coalesce(0.4 / (1 + crawl_depth), 0) + 0.3 * least(1.0, inlinks / 10.0) + 0.15, 4) AS priority FROM {_NODES}",
     compare_runs=f"""SELECT change, count(*)::BIGINT AS n_pages FROM (SELECT unnest(list_filter([CASE WHEN a.status IS DISTINCT FROM b.status THEN 'status' END, CASE WHEN a.crawl_depth IS DISTINCT FROM b.crawl_depth THEN 'depth' END], lambda x: x IS NOT NULL)) AS change
         FROM (SELECT * FROM crawl_pages WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) a JOIN {_L} b ON a.url = b.url) GROUP BY 1""",
 )
@@ -372,30 +369,38 @@ def language_guess(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.guess_language(F.coalesce("text", F.lit(""))).alias("guess"))
 
 
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    return C.prepared(_docs(spark, d), "text", None)
+
+
 @_query
 def passive_voice(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).filter("text is not null").select("doc_id", X.passive_count(F.col("text")).alias("n_passive"))
+    """Passive forms of each text, its markup taken off."""
+    return _read(spark, d).select("doc_id", C.count(F.col("_plain"), C.PASSIVE).alias("n_passive"))
 
 
 @_query
 def readability(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).filter("lang = 'en' and text is not null").select("doc_id", X.flesch(F.col("text")).alias("flesch"))
+    """Sentences, reading ease by the formula of the text's language, level and fog index."""
+    r = C.readability()
+    return _read(spark, d).select("doc_id", *(r[k].alias(k) for k in ("sentence_count", "reading_ease", "reading_level", "fog_index", "long_sentences")))
 
 
 @_query
 def top_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most frequent tokens of each document, ties by first occurrence."""
-    t = _docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
-    g = t.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return G.top_per_group(g, "doc_id", [F.desc("n"), F.col("first")], 10).select("doc_id", "word", "n", F.col("rn").cast("bigint").alias("rank"))
+    """The ten most frequent words of each text that aren't stop words of its language, ties by first occurrence."""
+    return C.top_keywords(_docs(spark, d), "doc_id", "text")
 
 
 @_query
 def top_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most frequent pairs of neighbours over all documents of each language."""
-    w = X.tokens(F.col("text"))
-    b = _docs(spark, d).filter("text is not null and lang is not null").select("lang", w.alias("w")).filter("size(w) > 1").select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.col("w")[i], F.lit(" "), F.col("w")[i + 1]))).alias("bigram"))
-    return G.top_per_group(b.groupBy("lang", "bigram").agg(F.count("*").alias("n")), "lang", [F.desc("n"), F.col("bigram")], 10).select("lang", "bigram", "n")
+    """The ten most frequent pairs of neighbours of each text that occur twice."""
+    return C.top_phrases(_docs(spark, d), "doc_id", "text", 2)
+
+
+@_query
+def top_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    return C.top_phrases(_docs(spark, d), "doc_id", "text", 3)
 
 
 @_query
@@ -406,9 +411,9 @@ def year_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def transition_ratio(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower(F.coalesce("text", F.lit("")))
-    n = sum((F.regexp_count(t, F.lit(rf"\b{x}\b")) for x in X.TRANSITIONS), F.lit(0))
-    return _docs(spark, d).select("doc_id", n.cast("bigint").alias("n_transitions"))
+    """Transition words of each text's language, their share of all words and its label."""
+    r = C.style()
+    return _read(spark, d).select("doc_id", *(r[k].alias(k) for k in ("transitions", "transition_ratio", "transition_label")))
 
 
 @_query
@@ -419,10 +424,10 @@ def duplicate_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def keyword_stuffing(spark: SparkSession, d: str) -> DataFrame:
-    """The share of the most frequent token, and whether it is above 5 %."""
-    t = _docs(spark, d).filter("text is not null").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("word"))
-    g = t.groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.max("n") / F.sum("n")).alias("share"))
-    return g.select("doc_id", F.round("share", 6).alias("share"), (F.col("share") > 0.05).alias("stuffed"))
+    """The share of the most frequent word that isn't a stop word, and whether it is above 5 %."""
+    w = C.without_stops(X.tokens(F.col("_plain")), F.col("_lang"))
+    share = F.when(F.size("w") > 0, C.longest_run(F.col("w")) / F.size("w")).otherwise(F.lit(0.0))
+    return _read(spark, d).select("doc_id", w.alias("w")).select("doc_id", F.round(share, 6).alias("share"), (share > 0.05).alias("stuffed"))
 
 
 @_query
@@ -438,26 +443,78 @@ _WORDS = _W.format(t=_T)
 _SENT = f"list_filter(list_transform(regexp_split_to_array({_T}, '[.!?]+'), lambda s: {_trim('s')}), lambda s: s <> '')"
 _TOK = "list_transform(list_filter({w}, lambda w: regexp_matches(w, '^[a-zA-Z]{{2,}}$')), lambda w: lower(w))".format(w=_X.format(t="text"))
 _RANK = "list_sort(n)[round_even({p} * (len(n) - 1), 0)::INT + 1]"
-_GUESS = {k: f"len(list_intersect(list_distinct({_WORDS}), [{', '.join(repr(x) for x in v)}]))" for k, v in X.STOP.items()}
+# the words and phrases again, so that the SQL doesn't depend on the engine's tables. Fixed values.
+_STOP = {
+    "en": """the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would could should may might can
+        this that these those it its they them their we our you your i my he she his her not no so if about which who what when where how all any both also just
+        more than then up out into""",
+    "de": """der die das und oder ist sind war waren ein eine einem einer eines den dem des von mit auf in an bei zu als auch noch aber wenn dann nicht sich es sie
+        er wir ihr ich du mein meine sein seine unser unsere dieser diese dieses jede jeder alle mehr so wie was wo wann wer""",
+    "es": """el la los las un una unos unas y o es son era eran ser estar de en con por para que como pero si no se su sus mi tu yo nosotros ellos ellas este esta
+        estos estas al del le les lo también ya cuando donde""",
+}
+_STOP_LIST = {k: "[" + ", ".join(f"'{x}'" for x in v.split()) + "]" for k, v in _STOP.items()}
+_GUESS_OF = lambda t: {k: f"len(list_intersect(list_distinct(list_transform(list_filter({_X.format(t=t)}, lambda w: regexp_matches(w, '^[a-zA-Z]{{2,}}$')), lambda w: lower(w))), {v}))" for k, v in _STOP_LIST.items()}
+_GUESS = _GUESS_OF(_T)
+_TRANSITION = {
+    "en": "however|therefore|furthermore|additionally|moreover|consequently|nevertheless|although|meanwhile|subsequently|accordingly|thus|hence|otherwise|nonetheless",
+    "de": "jedoch|daher|außerdem|zusätzlich|darüber hinaus|folglich|dennoch|obwohl|inzwischen|anschließend",
+    "es": "sin embargo|por lo tanto|además|asimismo|no obstante|en consecuencia|aunque|mientras tanto|posteriormente",
+}
 _sql(
     doc_volume=f"""SELECT doc_id, w::BIGINT AS n_words, length({_T})::BIGINT AS n_chars, len({_SENT})::BIGINT AS n_sentences, len(list_filter(regexp_split_to_array({_T}, '\\n{{2,}}'), lambda s: {_trim('s')} <> ''))::BIGINT AS n_paragraphs,
         CASE WHEN w < 100 THEN 'thin' WHEN w < 300 THEN 'short' WHEN w < 800 THEN 'adequate' ELSE 'comprehensive' END AS depth, round_even(w / 200.0, 1) AS reading_minutes FROM (SELECT *, len({_WORDS}) AS w FROM documents)""",
     lexical_diversity=f"SELECT doc_id, CASE WHEN len(w) > 0 THEN round_even(len(list_distinct(w)) / len(w)::DOUBLE, 3) ELSE 0.0 END AS diversity FROM (SELECT doc_id, {_WORDS} AS w FROM documents)",
     sentence_percentiles=f"SELECT doc_id, {_RANK.format(p=0.5)}::INT AS p50, {_RANK.format(p=0.9)}::INT AS p90, list_max(n)::INT AS longest FROM (SELECT doc_id, list_transform({_SENT}, lambda s: len({_W.format(t='s')})) AS n FROM documents)",
     language_guess=f"SELECT doc_id, CASE WHEN en >= de AND en >= es THEN 'en' WHEN de >= es THEN 'de' ELSE 'es' END AS guess FROM (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _GUESS.items())} FROM documents)",
-    passive_voice="SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(?:is|are|was|were|be|been|being) [a-z]+(?:ed|en)\\b'))::BIGINT AS n_passive FROM documents WHERE text IS NOT NULL",
-    top_keywords=f"""SELECT doc_id, word, n, rank FROM (SELECT doc_id, word, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM
-        (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {_TOK} AS t FROM documents WHERE text IS NOT NULL)) GROUP BY 1, 2) WHERE rank <= 10""",
-    top_bigrams=f"""SELECT lang, bigram, n FROM (SELECT lang, bigram, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, bigram) AS k FROM
-        (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM (SELECT lang, {_TOK} AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)) GROUP BY 1, 2) WHERE k <= 10""",
     year_mentions="SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b((?:19|20)\\d\\d)\\b', 1))), ',') AS years, len(regexp_extract_all(text, '\\d+(?:\\.\\d+)? ?%'))::BIGINT AS n_percent FROM documents WHERE text IS NOT NULL",
-    transition_ratio=f"SELECT doc_id, ({' + '.join(f'''len(regexp_extract_all(lower({_T}), '{chr(92)}b{x}{chr(92)}b'))''' for x in X.TRANSITIONS)})::BIGINT AS n_transitions FROM documents",
     duplicate_sentences=f"SELECT doc_id, (len(s) - len(list_distinct(s)))::BIGINT AS n_duplicates FROM (SELECT doc_id, list_filter(list_transform({_SENT}, lambda x: lower(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 15) AS s FROM documents)",
-    keyword_stuffing=f"SELECT doc_id, round(max(n) / sum(n)::DOUBLE, 6) AS share, max(n) / sum(n)::DOUBLE > 0.05 AS stuffed FROM (SELECT doc_id, word, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({_TOK}) AS word FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2) GROUP BY 1",
     markdown_inventory="""SELECT run_id, len(regexp_extract_all(markdown, '(?m)^#{1,6} '))::BIGINT AS headings, len(regexp_extract_all(markdown, '!\\[[^\\]]*\\]\\('))::BIGINT AS images, len(regexp_extract_all(markdown, '\\]\\('))::BIGINT AS targets,
         len(regexp_extract_all(markdown, '(?m)^ *(?:[-*+]|\\d+\\.) '))::BIGINT AS items, len(regexp_extract_all(markdown, '(?m)^\\|'))::BIGINT AS table_lines, len(regexp_extract_all(markdown, '(?m)^> '))::BIGINT AS quote_lines FROM page_splits WHERE markdown IS NOT NULL""",
 )
 
+
+def _plain_sql(x: str) -> str:
+    """A markdown's text without its markup."""
+    for pattern, put in (
+        ("(?s)```.*?```", ""), ("`[^`]*`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]*)\*{1,3}", r"\1"), ("_{1,3}([^_]*)_{1,3}", r"\1"),
+        (r"(?m)^>\s+", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"), (r"[ \t]+", " "),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
+    return _trim(x)
+
+
+def _by_lang(of) -> str:
+    return f"CASE lang WHEN 'de' THEN {of('de')} WHEN 'es' THEN {of('es')} ELSE {of('en')} END"
+
+
+_ASCII = "list_transform(list_filter(regexp_extract_all(plain, '[\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, '^[a-zA-Z]{2,}$')), lambda w: lower(w))"
+_READ = f"""(SELECT *, CASE WHEN en >= de AND en >= es THEN 'en' WHEN de >= es THEN 'de' ELSE 'es' END AS lang, {_ASCII} AS tok, regexp_extract_all(plain, '[\\p{{L}}\\p{{N}}_]+') AS words FROM
+    (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _GUESS_OF('plain').items())} FROM (SELECT doc_id, text, {_plain_sql("coalesce(text, '')")} AS plain FROM documents)))"""
+_KEPT = _by_lang(lambda k: f"list_filter(tok, lambda w: NOT list_contains({_STOP_LIST[k]}, w))")
+_WORD = r"(?:^|[^\p{L}\p{N}_])"
+
+
+def _phrases(n: int) -> str:
+    gram = " || ' ' || ".join(f"tok[i + {k}]" if k else "tok[i]" for k in range(n))
+    content = _by_lang(lambda k: f"len(list_filter(string_split(g, ' '), lambda w: length(w) >= 3 AND NOT list_contains({_STOP_LIST[k]}, w))) > 0")
+    return f"""SELECT doc_id, g AS phrase, n, round(n / greatest(total, 1)::DOUBLE * 100, 2) AS percentage, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM
+        (SELECT doc_id, lang, g, total, count(*)::BIGINT AS n, min(pos) AS first FROM (SELECT doc_id, lang, len(tok) - {n - 1} AS total, unnest(gs) AS g, generate_subscripts(gs, 1) AS pos FROM
+        (SELECT doc_id, lang, tok, list_transform(range(1, len(tok) - {n - 2}), lambda i: {gram}) AS gs FROM {_READ})) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2) WHERE {content}) WHERE rank <= 10"""
+
+
+_LONG = r"regexp_extract_all(' ' || replace(plain, ' ', '  ') || ' ', '[^\p{L}\p{N}_]([a-zA-Z]+)[^\p{L}\p{N}_]', 1)"
+_sql(
+    passive_voice=f"SELECT doc_id, len(regexp_extract_all(plain, '(?i)\\b(?:was|were|is|are|been|being|be)\\s+[\\p{{L}}\\p{{N}}_]+ed\\b'))::BIGINT AS n_passive FROM {_READ}",
+    top_keywords=f"""SELECT doc_id, word, n, round(n / total::DOUBLE * 100, 2) AS percentage, rank FROM (SELECT doc_id, word, total, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM
+        (SELECT doc_id, len(t) AS total, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {_KEPT} AS t FROM {_READ})) GROUP BY 1, 2, 3) WHERE rank <= 10""",
+    top_bigrams=_phrases(2),
+    top_trigrams=_phrases(3),
+    transition_ratio=f"""SELECT doc_id, n::BIGINT AS transitions, r AS transition_ratio, CASE WHEN r < 0.01 THEN 'low' WHEN r < 0.03 THEN 'moderate' ELSE 'good' END AS transition_label FROM (SELECT *, CASE WHEN len(words) > 0 THEN round_even(n / len(words)::DOUBLE, 4) ELSE 0.0 END AS r FROM
+        (SELECT *, {_by_lang(lambda k: ' + '.join(f"len(regexp_extract_all(lower(plain), '{chr(92)}b{x}{chr(92)}b'))" for x in _TRANSITION[k].split('|')))} AS n FROM {_READ}))""",
+    keyword_stuffing=f"""SELECT doc_id, round(coalesce(m, 0.0), 6) AS share, coalesce(m, 0.0) > 0.05 AS stuffed FROM (SELECT doc_id FROM documents) a LEFT JOIN (SELECT doc_id, max(n) / sum(n)::DOUBLE AS m FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_KEPT}) AS word FROM {_READ}) GROUP BY 1, 2) GROUP BY 1) b USING (doc_id)""",
+)
+
 # ------------------------------------------------------------------------------------------- headers, metrics, search, reports
 
 
@@ -689,6 +746,25 @@ def link_density(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d).filter("markdown is not null").select("run_id", F.round(n * 1000 / F.greatest(w, F.lit(1)), 3).alias("links_per_1000"))
 
 
+def _page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each markdown with the title and description of its run's html; one row for each run_id."""
+    x = lambda p: F.nullif(U.trim(F.regexp_extract("html", p, 1)), F.lit(""))
+    head = _runs(spark, d).groupBy("run_id").agg(F.max("html").alias("html")).select("run_id", x(r"(?i)<title[^>]*>([^<]*)</title>").alias("title"), x(r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']*)["']""").alias("description"))
+    return _splits(spark, d).groupBy("run_id").agg(F.max("url").alias("url"), F.max("markdown").alias("markdown")).join(head, "run_id", "left")
+
+
+@_query
+def content_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The whole analysis of each page's text: every signal, score, label and issues."""
+    return C.analyse(_page_texts(spark, d), "run_id", "markdown", "title", "description", "url", 2026)
+
+
+@_query
+def sentences_alike(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of sentences of each markdown that have more than four fifths of their words in common."""
+    return C.alike_sentences(_splits(spark, d).groupBy("run_id").agg(F.max("markdown").alias("markdown")), "run_id", "markdown")
+
+
 @_query
 def page_extract(spark: SparkSession, d: str) -> DataFrame:
     """Title, first h1, canonical and robots by pattern from the raw html."""
@@ -709,7 +785,7 @@ def soft_404(spark: SparkSession, d: str) -> DataFrame:
     """Pages of status 200 whose title speaks of an error and whose text is short."""
     t = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>", " "), r"<[^>]*>", " "))
     title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)</title>", 1))
-    return _runs(spark, d).filter("status = 200 and html is not null").select("run_id", title.rlike("404|not found|error").alias("title_hit"), F.length(F.regexp_replace(t, r"\s+", " ")).cast("bigint").alias("n_text")).filter("title_hit and n_text < 1000")
+    return _runs(spark, d).filter("status = 200 and html is not null").select("run_id", title.rlike("404|not found|page does not exist").alias("title_hit"), F.length(F.regexp_replace(t, r"\s+", " ")).cast("bigint").alias("n_text")).filter("title_hit and n_text < 1000")
 
 
 @_query
@@ -717,7 +793,7 @@ def score_labels(spark: SparkSession, d: str) -> DataFrame:
     """Scores by label (80, 60, 40)."""
     s = F.col("score")
     a = table(spark, d, "content_analysis").select("run_id", "score").distinct()
-    return a.groupBy(F.when(s >= 80, "excellent").when(s >= 60, "good").when(s >= 40, "fair").when(s.isNotNull(), "poor").alias("label")).agg(F.count("*").alias("n_runs"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return a.groupBy(C.score_label(s).alias("label")).agg(F.count("*").alias("n_runs"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @_query
@@ -766,9 +842,9 @@ _sql(
     page_extract="""SELECT page_id, nullif(trim(regexp_extract(raw_html, '(?is)<title[^>]*>([^<]*)</title>', 1), ' '), '') AS title_seen, nullif(trim(regexp_extract(raw_html, '(?is)<h1[^>]*>([^<]*)</h1>', 1), ' '), '') AS h1_seen,
         nullif(trim(regexp_extract(raw_html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), ' '), '') AS canonical_seen, nullif(trim(regexp_extract(raw_html, '(?i)<meta[^>]*name="robots"[^>]*content="([^"]*)"', 1), ' '), '') AS robots_seen FROM crawl_pages WHERE raw_html IS NOT NULL""",
     indexable="SELECT is_indexable, status > 0 AND status < 400 AND NOT coalesce(contains(lower(meta_robots), 'noindex'), false) AS by_rule, count(*)::BIGINT AS n_pages FROM crawl_pages GROUP BY 1, 2",
-    soft_404="""SELECT * FROM (SELECT run_id, regexp_matches(lower(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '404|not found|error') AS title_hit,
+    soft_404="""SELECT * FROM (SELECT run_id, regexp_matches(lower(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '404|not found|page does not exist') AS title_hit,
         length(regexp_replace(trim(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), ' '), '\\s+', ' ', 'g'))::BIGINT AS n_text FROM page_runs WHERE status = 200 AND html IS NOT NULL) WHERE title_hit AND n_text < 1000""",
-    score_labels="SELECT CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' WHEN score IS NOT NULL THEN 'poor' END AS label, count(*)::BIGINT AS n_runs, round(avg(score), 4) AS mean_score FROM (SELECT DISTINCT run_id, score FROM content_analysis) GROUP BY 1",
+    score_labels="SELECT CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'needs_work' WHEN score IS NOT NULL THEN 'poor' END AS label, count(*)::BIGINT AS n_runs, round(avg(score), 4) AS mean_score FROM (SELECT DISTINCT run_id, score FROM content_analysis) GROUP BY 1",
     content_issues="SELECT issue, count(*)::BIGINT AS n_runs FROM (SELECT DISTINCT run_id, issue FROM (SELECT run_id, unnest(issues) AS issue FROM content_analysis)) GROUP BY 1",
     thin_content=f"SELECT run_id, len(p)::BIGINT AS n, (len(p) - len(list_distinct(p)))::BIGINT AS n_repeated FROM (SELECT run_id, list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(markdown, ''), '\\n{{2,}}'), lambda s: {_trim('s')} <> ''), lambda x: lower({_trim('x')})), lambda x: length(x) >= 20) AS p FROM page_splits)",
     ttfb_ratings="SELECT CASE WHEN ttfb_ms < 300 THEN 'pass' WHEN ttfb_ms < 1000 THEN 'warn' ELSE 'fail' END AS rating, count(*)::BIGINT AS n_runs FROM page_runs GROUP BY 1",
@@ -845,10 +921,10 @@ def soft404_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return _crawl(spark, d).select("page_id", F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1)), 6).alias("overlap"))
 
 
-_CDN = " ".join("WHEN " + " OR ".join(f"contains(t, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in R.CDN)
 _TRI = lambda c: f"CASE WHEN length({c}) >= 3 THEN list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3))) ELSE [] END"
 _sql(
-    cdn_detect=f"SELECT CASE {_CDN} END AS cdn_seen, count(*)::BIGINT AS n_runs FROM (SELECT lower(array_to_string(list_concat(map_keys(headers), map_values(headers)), ' ')) AS t FROM page_runs WHERE headers IS NOT NULL) GROUP BY 1",
+    cdn_detect="""SELECT CASE WHEN regexp_matches(t, 'cf-ray|cf-cache-status') THEN 'cloudflare' WHEN contains(t, 'cloudfront') THEN 'cloudfront' WHEN contains(t, 'akamai') THEN 'akamai' WHEN contains(k, 'x-amz') OR contains(t, 'x-aws') THEN 'aws'
+        WHEN contains(t, 'fastly') THEN 'fastly' END AS cdn_seen, count(*)::BIGINT AS n_runs FROM (SELECT lower(array_to_string(map_keys(headers), ' ')) AS k, lower(array_to_string(list_concat(map_keys(headers), map_values(headers)), ' ')) AS t FROM page_runs WHERE headers IS NOT NULL) GROUP BY 1""",
     compression_detect="SELECT CASE WHEN contains(e, 'br') THEN 'br' WHEN contains(e, 'gzip') THEN 'gzip' WHEN contains(e, 'deflate') THEN 'deflate' END AS compression_seen, count(*)::BIGINT AS n_runs FROM (SELECT lower(headers['content-encoding']) AS e FROM page_runs) GROUP BY 1",
     https_seen="SELECT lower(url) LIKE 'https://%' OR len(list_filter(coalesce(redirect_chain, []), lambda x: lower(x) LIKE 'https://%')) > 0 AS https, count(*)::BIGINT AS n_runs FROM page_runs GROUP BY 1",
     cluster_pages=f"SELECT cluster, url, inlinks FROM {_NODES} QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY inlinks DESC, url) <= 10",

@@ -58,7 +58,7 @@ def test_robots_longest_match(spark, path, dis, allow, disallowed):
 
 
 def test_robots_parser(spark):
-    txt = "﻿User-agent: A\nUser-agent: b # c\n\nDissallow: /x\nUser-agent: *\nCrawl-delay: z\nfoo: 1\nSitemap: https://e/s.xml"
+    txt = "﻿User-agent: A\nUser-agent: b # c\n\nDisallows: /x\nUser-agent: *\nCrawl-delay: z\nfoo: 1\nSitemap: https://e/s.xml"
     rows = B.parse(spark.createDataFrame([(1, txt), (2, None), (3, "")], "id bigint, t string"), "id", "t").collect()
     assert {(r.agent, r.kind, r.value, r.warning) for r in rows} == {("a", "disallow", "/x", "misspelt"), ("b", "disallow", "/x", "misspelt"), ("*", "crawl-delay", "z", "not a number"), ("*", "foo", "1", "unknown"), ("*", "sitemap", "https://e/s.xml", None)}
 
@@ -100,7 +100,7 @@ def test_all_depths_equal_a_plain_search(spark, data):
             if v in pages and v not in want:
                 want[v] = want[u] + 1
                 todo.append(v)
-    got = {r.url: (r.link_depth, r.reached) for r in catalog.QUERIES["link_depth_all"](spark, data).collect()}
+    got = {r.url: (r.link_depth, r.reached) for r in catalog.QUERIES["link_depth"](spark, data).collect()}
     assert got == {u: (want.get(u, c), u in want) for u, c in pages.items()}
 
 
@@ -120,13 +120,38 @@ def test_heading_outline(spark):
     assert [(r.level, r.skipped, r.parent_id) for r in rows] == [(1, False, None), (3, True, 0), (2, False, 0), (3, False, 2)]
 
 
-@pytest.mark.parametrize(("item", "score"), [({"name": "x", "url": "https://e"}, 100), ({"url": "https://e"}, 80), ({"name": "x", "url": "e"}, 90)])
-def test_jsonld_score(spark, item, score):
-    item |= {"@context": "https://schema.org", "@type": "Organization", "logo": "https://e/l", "sameAs": "https://e", "contactPoint": {}}
-    item["contactPoint"] = {"a": 1}
+ARTICLE = {"@context": "https://schema.org", "@type": "Article", "headline": "h", "image": "https://e/i.png", "author": {"@type": "Person", "name": "n"}, "datePublished": "2024-01-02", "publisher": {"@type": "Organization", "name": "p", "logo": "https://e/l"}, "dateModified": "2024-01-03", "mainEntityOfPage": "https://e/", "description": "d", "inLanguage": "en"}
+
+
+@pytest.mark.parametrize(
+    ("drop", "more", "score"),
+    [
+        ((), {}, 100), (("headline",), {}, 80), (("description", "inLanguage"), {}, 90), ((), {"datePublished": "soon"}, 90), ((), {"image": "/i.png"}, 90), ((), {"image": ["https://e/a", {"@type": "ImageObject"}]}, 100),
+        ((), {"author": "a name"}, 95), ((), {"author": [{"@type": "Person", "name": "a"}, "b"]}, 95), ((), {"publisher": {"@type": "Organization", "name": "p"}}, 95), ((), {"@context": "http://schema.org/"}, 95), ((), {"@context": ["x", "https://schema.org"]}, 100),
+        ((), {"@context": "https://other.example"}, 90), (("@context",), {}, 90), ((), {"aggregateRating": {"ratingValue": 7, "ratingCount": 2}}, 95), ((), {"aggregateRating": {"ratingValue": "4.5"}}, 95), ((), {"offers": [{"price": 3, "priceCurrency": "eur"}]}, 95),
+        ((), {"offers": {"name": "o"}}, 90), ((), {"reviewRating": {"bestRating": 5}}, 95), (("headline", "image", "author", "datePublished", "publisher"), {}, 0), ((), {"duration": "PT1H30M"}, 100), ((), {"duration": "an hour"}, 90),
+    ],
+)
+def test_jsonld_score(spark, drop, more, score):
+    item = {k: v for k, v in ARTICLE.items() if k not in drop} | more
     assert J.validate(spark.createDataFrame([(1, json.dumps(item))], "id bigint, item string"), "id").first().score == score
 
 
+def test_jsonld_of_pages(spark):
+    shop = {"@context": "https://schema.org", "@type": "Product", "name": "p", "image": "https://e/i", "offers": {"price": 1, "priceCurrency": "EUR"}}
+    site = {"@context": "https://schema.org", "@type": "WebSite", "name": "s", "url": "https://e/"}
+    crumbs = {"@context": "https://schema.org", "@type": ["BreadcrumbList"], "itemListElement": [{"a": 1}]}
+    rows = [(1, shop), (1, shop), (1, site), (2, crumbs), (2, shop | {"@id": "a"}), (2, shop | {"@id": "b"})]
+    df = spark.createDataFrame([(p, json.dumps(x)) for p, x in rows] + [(3, "{bad"), (4, None)], "id bigint, item string")
+    pages = {r.id: r for r in J.page_rollup(J.validate(df, "id"), "id").collect()}
+    assert set(pages) == {1, 2, 3} and (pages[3].n_items, pages[3].n_valid, pages[3].mean_score, pages[3].types) == (1, 0, 0, "Unknown")
+    assert (pages[1].duplicate_types, pages[1].website_without_search, pages[1].eligible) == ("Product", True, "Product")
+    assert (pages[2].duplicate_types, pages[2].website_without_search, pages[2].types) == ("", False, "BreadcrumbList,Product")
+    recs = {(r.id, r.priority, r.type, r.message) for r in J.recommendations(J.validate(df, "id"), "id").collect()}
+    assert {(1, "medium", "Product", "duplicate without @id"), (1, "low", "WebSite", "add a search action"), (1, "low", "Product", "hint image size"), (3, "high", "Unknown", "form of json")} <= recs
+    assert J.validate(df.limit(0), "id").count() == 0
+
+
 def test_p75(spark):
     inf = float("inf")
     rows = [("a", 0.0, 2500.0, 0.7), ("a", 2500.0, 4000.0, 0.2), ("a", 4000.0, 8000.0, 0.1), ("b", 0.0, 1000.0, 1.0), ("c", 0.0, 2500.0, 0.5), ("c", 2500.0, inf, 0.5)]
@@ -177,7 +202,7 @@ def test_third_parties_vendors_and_skeleton(spark):
     html = "<body><script src='https://www.google-analytics.com/a.js'></script><script src='//cdn.e.com/x.js'></script><script src='https://x.other.net/y'></script><svg><g></g></svg><h2 id=a>A</h2><h2 id=b>a</h2><h3 id=c>C</h3><a href='#a'>1</a><a href='#b'>2</a><a href='#c'>3</a><img alt='image1' src=a.webp></body>"
     pages = spark.createDataFrame([(1, "https://www.e.com/p", html)], "p bigint, url string, h string")
     dom = D.dom_nodes(pages, "p", "h").cache()
-    assert {(r.domain, r.category) for r in D.third_party(dom, pages, "p").collect()} == {("www.google-analytics.com", "analytics"), ("x.other.net", "other")}
+    assert {(r.domain, r.category) for r in D.third_party(dom, pages, "p").collect()} == {("www.google-analytics.com", "analytics"), ("x.other.net", "other"), ("cdn.e.com", "other")}
     assert D.skeleton_counts(dom, "p").first().n == 8
     assert D.contents_tables(dom, "p").first().n_links == 3
     assert [(r.text, r.n) for r in D.duplicate_headings(dom, "p").collect()] == [("A", 2)]
