@@ -140,6 +140,10 @@ def summary(dom: DataFrame, id_col: str) -> DataFrame:
         F.max(F.coalesce((tag == "meta") & has("charset"), F.lit(False))).alias("has_charset"),
         F.max(F.coalesce((tag == "meta") & (F.lower(attr("name")) == "viewport"), F.lit(False))).alias("has_viewport"),
         F.max(F.coalesce((tag == "html") & (F.length(attr("lang")) > 0), F.lit(False))).alias("has_lang"),
+        _n(level.isNotNull() & (F.col("text") == "")).alias("empty_headings"),
+        _n((tag == "script") & (F.lower(attr("type")) == "application/ld+json")).alias("jsonld_scripts"),
+        _n((tag == "img") & F.lower(attr("src")).rlike(r"\.(webp|avif)(\?|$)")).alias("images_modern"),
+        F.max(F.coalesce((tag == "link") & F.array_contains(rel, "icon"), F.lit(False))).alias("has_favicon"),
         _n(tag == "img").alias("images"),
         _n((tag == "img") & ~has("alt")).alias("images_without_alt"),
         _n((tag == "img") & ~(has("width") & has("height"))).alias("images_without_size"),
@@ -172,7 +176,7 @@ def metadata(dom: DataFrame, id_col: str) -> DataFrame:
     link = lambda r: first((tag == "link") & F.array_contains(rel, r), attr("href"))
     m = dom.groupBy(id_col).agg(
         first(tag == "title", F.col("text")).alias("title"), meta("description").alias("description"), meta("robots").alias("robots"), link("canonical").alias("canonical"),
-        og("og:title").alias("og_title"), og("og:description").alias("og_description"), og("og:image").alias("og_image"), og("og:type").alias("og_type"), meta("twitter:card").alias("twitter_card"),
+        og("og:title").alias("og_title"), og("og:description").alias("og_description"), og("og:image").alias("og_image"), og("og:type").alias("og_type"), og("article:published_time").alias("published_time"), og("article:modified_time").alias("modified_time"), meta("twitter:card").alias("twitter_card"),
         link("prev").alias("prev"), link("next").alias("next"), link("amphtml").alias("amp"),
         F.count_if((tag == "link") & F.array_contains(rel, "preload")).alias("preload"), F.count_if((tag == "link") & F.array_contains(rel, "prefetch")).alias("prefetch"),
         F.count_if((tag == "link") & F.array_contains(rel, "dns-prefetch")).alias("dns_prefetch"), F.count_if((tag == "link") & F.array_contains(rel, "preconnect")).alias("preconnect"),
@@ -308,3 +312,26 @@ def deepest_path(dom: DataFrame, id_col: str) -> DataFrame:
     top = dom.groupBy(id_col).agg(F.min_by("node_id", F.struct(-F.col("depth"), F.col("node_id"))).alias("_n"), F.max("depth").alias("depth"))
     up = dom.select(id_col, "node_id", "end_id", "tag").join(top, id_col).filter("node_id <= _n and _n <= end_id").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("node_id", "tag"))).alias("_p"))
     return up.join(top, id_col).select(id_col, "depth", F.array_join(F.transform("_p", lambda x: x["tag"]), ">").alias("path"))
+
+
+def largest_image(dom: DataFrame, id_col: str) -> DataFrame:
+    """(id, src, area): the first image of the largest declared width times height inside the first main, else anywhere."""
+    size = F.expr("try_cast(try_element_at(attrs, 'width') AS int) * try_cast(try_element_at(attrs, 'height') AS int)")
+    main = F.min(F.when(F.col("tag") == "main", F.struct("node_id", "end_id")))
+    images = F.collect_list(F.when((F.col("tag") == "img") & (size > 0), F.struct(size.alias("area"), (-F.col("node_id")).alias("k"), attr("src").alias("src"))))
+    page = dom.groupBy(id_col).agg(main.alias("m"), images.alias("i"))
+    inside = F.filter("i", lambda x: F.col("m").isNull() | ((-x["k"] >= F.col("m.node_id")) & (-x["k"] <= F.col("m.end_id"))))
+    return page.select(id_col, F.array_max(inside).alias("x")).filter("x is not null").select(id_col, "x.src", F.col("x.area").cast("bigint").alias("area"))
+
+
+def frame_hosts(dom: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_frames, hosts): frames of a page and their different hosts, sorted."""
+    host = F.nullif(F.regexp_extract(attr("src"), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1), F.lit(""))
+    return dom.filter("tag = 'iframe'").groupBy(id_col).agg(F.count("*").alias("n_frames"), F.array_join(F.array_sort(F.collect_set(host)), ",").alias("hosts"))
+
+
+def in_form_audit(dom: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_unlabelled, n_skips): inputs without a label and skips of heading levels, each a count for the page."""
+    a = unlabelled_inputs(dom, id_col).groupBy(id_col).agg(F.count("*").alias("n_unlabelled"))
+    b = headings(dom, id_col).groupBy(id_col).agg(F.count_if("skipped").alias("n_skips"))
+    return a.join(b, id_col, "full").na.fill(0)

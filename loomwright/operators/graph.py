@@ -174,3 +174,102 @@ def redirect_hops(runs: DataFrame) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rn") <= k)
+
+
+def external_nodes(edges: DataFrame) -> DataFrame:
+    """(url, type, inlinks) of one node ext:<host> for each host outside that is linked."""
+    return edges.filter(~F.col("internal")).groupBy(F.concat(F.lit("ext:"), U.host(F.col("dst"))).alias("url")).agg(F.count("*").alias("inlinks")).select("url", F.lit("external").alias("type"), "inlinks")
+
+
+def not_crawled(sitemap: DataFrame, crawl: DataFrame) -> DataFrame:
+    """(url) of the sitemap that wasn't crawled."""
+    return sitemap.select("url").filter("url is not null").distinct().join(crawl.select("url"), "url", "left_anti")
+
+
+def dictionary(urls: DataFrame) -> DataFrame:
+    """(url, id): the different addresses numbered from 0 in their order, without sorting all of them in one task.
+
+    The addresses are written sorted by range; the driver gets one count for each partition, and an id is a partition's
+    offset and the row's number in it.
+    """
+    d = urls.select("url").filter("url is not null").distinct().repartitionByRange("url").select("url", F.spark_partition_id().alias("_p"))
+    d = cut(d)
+    sizes = {r["_p"]: r["n"] for r in d.groupBy("_p").agg(F.count("*").alias("n"), F.min("url").alias("u")).orderBy("u").select("_p", "n").collect()}
+    base, first = {}, 0
+    for p, n in sizes.items():  # in the order of their addresses
+        base[p] = first
+        first += n
+    if not base:
+        return d.select("url", F.lit(0).cast("bigint").alias("id"))
+    offset = F.create_map(*(F.lit(x) for p, n in base.items() for x in (p, n)))
+    w = Window.partitionBy("_p").orderBy("url")
+    return d.select("url", (F.try_element_at(offset, F.col("_p")).cast("bigint") + F.row_number().over(w) - 1).alias("id"))
+
+
+def compact(nodes_df: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(urls, links): the dictionary of all addresses, and the edges as pairs of its ids with their follow flag."""
+    ids = cut(dictionary(nodes_df.select("url").unionByName(edges.select(F.col("src").alias("url"))).unionByName(edges.select(F.col("dst").alias("url")))))
+    e = dedupe_edges(edges).join(ids.select(F.col("url").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("url").alias("dst"), F.col("id").alias("d")), "dst")
+    return ids, e.select(F.col("s").alias("src_id"), F.col("d").alias("dst_id"), "follow")
+
+
+def expand(urls: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, follow) of a compact graph."""
+    a, b = urls.select(F.col("id").alias("src_id"), F.col("url").alias("src")), urls.select(F.col("id").alias("dst_id"), F.col("url").alias("dst"))
+    return links.join(a, "src_id").join(b, "dst_id").select("src", "dst", "follow")
+
+
+def links_of(edges: DataFrame, url: str) -> DataFrame:
+    """(direction, url, follow) of the links into and out of an address."""
+    e = dedupe_edges(edges)
+    return e.filter(F.col("src") == url).select(F.lit("out").alias("direction"), F.col("dst").alias("url"), "follow").unionByName(e.filter(F.col("dst") == url).select(F.lit("in").alias("direction"), F.col("src").alias("url"), "follow"))
+
+
+def overlay(node_df: DataFrame, search: DataFrame) -> DataFrame:
+    """The nodes with clicks, impressions and mean position of their address, null where it has none."""
+    s = search.groupBy("url").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.round(F.try_divide(F.sum(F.col("position") * F.col("impressions")), F.sum("impressions")), 4).alias("search_position"))
+    return node_df.join(s, "url", "left")
+
+
+def unranked(overlaid: DataFrame, most: int = 20) -> DataFrame:
+    """(section, url, rank): pages without a search position by in-links, ranked pages without in-links, ranked pages deeper than three; `most` of each."""
+    ranked = F.col("search_position").isNotNull()
+    parts = {"unranked": (~ranked, [F.desc("inlinks"), F.col("url")]), "ranked_orphans": (ranked & (F.col("inlinks") == 0), [F.col("search_position"), F.col("url")]), "ranked_deep": (ranked & (F.col("crawl_depth") > 3), [F.col("search_position"), F.col("url")])}
+    out = None
+    for name, (where, order) in parts.items():
+        d = overlaid.filter(where).orderBy(*order).limit(most)
+        d = d.select(F.lit(name).alias("section"), "url", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"))  # over `most` rows
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def frontier(candidates: DataFrame, visited: DataFrame, batch: int) -> DataFrame:
+    """The next `batch` addresses to fetch: not visited, by priority, then address."""
+    return candidates.select("url", "priority").join(visited.select("url"), "url", "left_anti").orderBy(F.desc("priority"), "url").limit(batch)
+
+
+def crawl_tree(edges: DataFrame, start: str, max_depth: int = 3, max_pages: int = 100, include: str | None = None, exclude: str | None = None) -> DataFrame:
+    """(url, depth) of a crawl over a table of links, breadth first: `max_depth` rounds and `max_pages` pages are its limits.
+
+    include and exclude are path globs. Within a round addresses are taken in their order; each round is one join, and what is
+    carried is no more than max_pages rows.
+    """
+    e = edges.filter("internal and src <> dst").select("src", "dst").distinct()
+    ok = F.lit(True)
+    for glob, keep in ((include, True), (exclude, False)):
+        if glob:
+            hit = U.path(F.col("dst")).rlike(U.glob_pattern(glob))
+            ok = ok & (hit if keep else ~hit)
+    e = cut(e.filter(ok))
+    spark = edges.sparkSession
+    seen = spark.createDataFrame([(start, 0)], "url string, depth int")
+    for depth in range(1, max_depth + 1):
+        left = max_pages - seen.count()
+        if left <= 0:
+            break
+        step = e.join(F.broadcast(seen.filter(F.col("depth") == depth - 1)), e["src"] == seen["url"], "left_semi").select(F.col("dst").alias("url")).distinct()  # at most max_pages rows
+        new = cut(step.join(F.broadcast(seen), "url", "left_anti").orderBy("url").limit(left).withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
+            break
+        seen = cut(seen.unionByName(new))
+    return seen

@@ -64,3 +64,38 @@ def resolve_property(sites: DataFrame, properties: DataFrame) -> DataFrame:
     prefix = F.col("_u").startswith(F.regexp_replace(F.lower("property"), "^https?://", ""))
     j = s.join(p, "_t").filter(F.when(F.col("domain").isNotNull(), suffix).otherwise(prefix))
     return j.groupBy("url").agg(F.max_by("property", F.struct(F.col("domain").isNotNull().cast("int"), F.length("property"))).alias("property"))
+
+
+def date_range(today: str, start: str | None = None, end: str | None = None, days: int | None = None) -> tuple[str, str]:
+    """The first and last day asked for: given ones, else so many days (28 by default) before today."""
+    import datetime
+
+    if start and end:
+        return start, end
+    last = datetime.date.fromisoformat(today)
+    return (last - datetime.timedelta(days=days if days is not None else 28)).isoformat(), last.isoformat()
+
+
+def previous_range(start: str, end: str) -> tuple[str, str]:
+    """As many days right before."""
+    import datetime
+
+    a, b = datetime.date.fromisoformat(start), datetime.date.fromisoformat(end)
+    return (a - (b - a) - datetime.timedelta(days=1)).isoformat(), (a - datetime.timedelta(days=1)).isoformat()
+
+
+def filtered(search: DataFrame, start: str, end: str, country: str | None = None, device: str | None = None, page: str | None = None) -> DataFrame:
+    """Rows of a period and, where given, of a country (lower case), a device (upper case) and a page; all are pushed to the scan."""
+    d = search.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    for c, v in (("country", country.lower() if country else None), ("device", device.upper() if device else None), ("page", page)):
+        d = d.filter(F.col(c) == v) if v else d
+    return d
+
+
+def page_report(search: DataFrame, page_col: str, query_col: str = "query", most: int = 25) -> DataFrame:
+    """(page, query, clicks, impressions, ctr, position, rank): each page's totals (query null, rank 0) and its first `most` queries by clicks."""
+    from .graph import top_per_group
+
+    whole = totals(search, [page_col]).select(page_col, F.lit(None).cast("string").alias(query_col), "clicks", "impressions", "ctr", "position", F.lit(0).cast("bigint").alias("rank"))
+    top = top_per_group(totals(search, [page_col, query_col]), page_col, [F.desc("clicks"), F.col(query_col)], most)
+    return whole.unionByName(top.select(page_col, query_col, "clicks", "impressions", "ctr", "position", F.col("rn").cast("bigint").alias("rank")))

@@ -10,33 +10,98 @@ RULES = (
     ("unreachable", "critical", "status = 0"),
     ("not_indexable", "critical", "is_indexable = false"),
     ("title_missing", "critical", "coalesce(title, '') = ''"),
-    ("not_https", "critical", "lower(url) not like 'https://%'"),
+    ("not_https", "critical", "not https"),
+    ("interactive_late", "critical", "tti_s > 10"),
     ("thin_high", "critical", "thin_content_risk = 'high'"),
     ("description_missing", "warning", "coalesce(description, '') = ''"),
+    ("lcp_poor", "warning", "field_lcp > 4000"),
+    ("cls_poor", "warning", "field_cls > 0.25"),
+    ("inp_poor", "warning", "field_inp > 500"),
+    ("cls_poor_lab", "warning", "not has_field and lab_cls > 0.25"),
+    ("performance_low", "warning", "not has_field and performance_score < 50"),
+    ("blocking_time", "warning", "tbt_ms > 300"),
     ("ttfb_slow", "warning", "ttfb_ms > 600"),
     ("h1_missing", "warning", "h1_count = 0"),
-    ("multiple_h1", "warning", "h1_count > 1"),
+    ("sitemap_missing", "warning", "n_sitemaps = 0"),
     ("img_alt_missing", "warning", "images_without_alt > 0"),
     ("unnamed_controls", "warning", "links_without_text + buttons_without_text > 0"),
+    ("inputs_unlabelled", "warning", "n_unlabelled > 0"),
+    ("render_blocking", "warning", "render_blocking in ('warn', 'fail')"),
+    ("over_linked", "warning", "over_linked"),
     ("duplicate_ids", "warning", "repeated_ids > 0"),
     ("inline_handlers", "warning", "inline_handlers > 0"),
-    ("redirect_long", "warning", "n_hops > 2"),
+    ("heading_skip", "warning", "n_skips > 0"),
+    ("empty_headings", "warning", "empty_headings > 0"),
+    ("multiple_h1", "warning", "h1_count > 1"),
+    ("many_tags", "warning", "tag_manager and n_third_party > 15"),
+    ("redirect_long", "warning", "n_redirects > 2"),
     ("low_word_count", "info", "word_count > 0 and word_count < 300"),
     ("div_heavy", "info", "div_ratio > 0.7"),
     ("canonical_missing", "info", "coalesce(canonical, '') = ''"),
+    ("no_structured_data", "info", "coalesce(jsonld_scripts, 0) = 0"),
+    ("no_permissions_policy", "info", "has_headers and not has_permissions_policy"),
     ("img_dimensions", "info", "images_without_size > 0"),
     ("inline_styles", "info", "inline_styles > 100"),
+    ("no_published_time", "info", "coalesce(published_time, '') = '' and word_count > 500"),
+    ("few_modern_images", "info", "images > 0 and images_modern / images < 0.5"),
     ("empty_elements", "info", "empty_elements > 300"),
-    ("no_cache_control", "info", "cache_control is null"),
+    ("third_party", "info", "n_third_party > 10 and not (tag_manager and n_third_party > 15)"),
+    ("no_cache_control", "info", "has_headers and cache_control is null"),
+    ("no_preconnect", "info", "preconnect = 0 and n_third_party > 3"),
 )
+# Columns of the lab and field figures, of the robots file and of links, with what counts where they are absent.
+ABSENT = {
+    "tti_s": "cast(null as double)", "tbt_ms": "cast(null as double)", "lab_cls": "cast(null as double)", "performance_score": "cast(null as bigint)", "field_lcp": "cast(null as double)", "field_cls": "cast(null as double)",
+    "field_inp": "cast(null as double)", "has_field": "false", "n_sitemaps": "0", "render_blocking": "cast(null as string)", "over_linked": "false",
+}
+
 
+def merged(runs: DataFrame, summary: DataFrame, meta: DataFrame, analysis: DataFrame, audit: DataFrame | None = None, scripts: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
+    """One row for each run; what is missing stays null (left joins, never inner).
 
-def merged(runs: DataFrame, summary: DataFrame, meta: DataFrame, analysis: DataFrame) -> DataFrame:
-    """One row for each run; what is missing stays null (left joins, never inner)."""
+    audit: (run_id, n_unlabelled, n_skips). scripts: (run_id, domain, tag_manager) of third parties. figures: (run_id and any
+    of the columns of ABSENT); those it lacks count as absent.
+    """
     a = analysis.groupBy("run_id").agg(F.max("word_count").alias("word_count"), F.max("thin_content_risk").alias("thin_content_risk"))
-    r = runs.select("run_id", "url", "status", "ttfb_ms", "cdn", "compression", F.greatest(F.size("redirect_chain") - 1, F.lit(0)).alias("n_hops"), F.try_element_at(F.transform_keys("headers", lambda k, v: F.lower(k)), F.lit("cache-control")).alias("cache_control"))
-    m = meta.withColumn("is_indexable", F.col("index"))
-    return r.join(summary, "run_id", "left").join(m, "run_id", "left").join(a, "run_id", "left")
+    h = F.transform_keys("headers", lambda k, v: F.lower(k))
+    https = F.lower("url").startswith("https://") | F.exists(F.coalesce("redirect_chain", F.array().cast("array<string>")), lambda x: F.lower(x).startswith("https://"))
+    r = runs.select(
+        "run_id", "url", "status", "ttfb_ms", "cdn", "compression", F.coalesce(F.size("redirect_chain"), F.lit(0)).alias("n_redirects"), https.alias("https"), F.col("headers").isNotNull().alias("has_headers"),
+        F.try_element_at(h, F.lit("cache-control")).alias("cache_control"), F.coalesce(F.map_contains_key(h, "permissions-policy"), F.lit(False)).alias("has_permissions_policy"),
+    )
+    out = r.join(summary, "run_id", "left").join(meta.withColumn("is_indexable", F.col("index")), "run_id", "left").join(a, "run_id", "left")
+    out = out.join(audit, "run_id", "left") if audit is not None else out.withColumns({"n_unlabelled": F.lit(None).cast("bigint"), "n_skips": F.lit(None).cast("bigint")})
+    if scripts is not None:
+        out = out.join(scripts.groupBy("run_id").agg(F.count_distinct("domain").alias("n_third_party"), F.max("tag_manager").alias("tag_manager")), "run_id", "left")
+    else:
+        out = out.withColumns({"n_third_party": F.lit(None).cast("bigint"), "tag_manager": F.lit(None).cast("boolean")})
+    out = out.withColumns({"n_third_party": F.coalesce("n_third_party", F.lit(0)), "tag_manager": F.coalesce("tag_manager", F.lit(False))})
+    if figures is not None:
+        out = out.join(figures, "run_id", "left")
+    for c, default in ABSENT.items():
+        out = out.withColumn(c, F.coalesce(F.col(c), F.expr(default)) if figures is not None and c in figures.columns else F.expr(default))
+    return out
+
+
+def search_issues(page: DataFrame, search: DataFrame, inspection: DataFrame) -> DataFrame:
+    """(url, severity, code) from search data: not indexed, another canonical than the declared one, few clicks for many views.
+
+    search: (url, clicks, impressions). inspection: (url, verdict, indexed, declared, chosen).
+    """
+    s = search.groupBy("url").agg(F.sum("clicks").alias("c"), F.sum("impressions").alias("i"))
+    j = page.select("url").distinct().join(s, "url", "left").join(inspection, "url", "left")
+    hit = F.array(
+        F.when((F.col("verdict") == "FAIL") | ~F.col("indexed"), F.struct(F.lit("critical").alias("severity"), F.lit("not_indexed").alias("code"))),
+        F.when((F.col("declared") != F.col("chosen")), F.struct(F.lit("warning").alias("severity"), F.lit("other_canonical").alias("code"))),
+        F.when((F.col("i") > 100) & (F.try_divide(F.col("c"), F.col("i")) < 0.02), F.struct(F.lit("warning").alias("severity"), F.lit("few_clicks").alias("code"))),
+    )
+    return j.select("url", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("x")).select("url", "x.*")
+
+
+def front_matter(issue_df: DataFrame, page: DataFrame, id_col: str = "run_id") -> DataFrame:
+    """(id, status, cdn, n_critical, n_warning, n_info): the head of each page's report, pages without an issue too; no delivery network is none."""
+    n = issue_df.groupBy(id_col).agg(*(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "warning", "info")))
+    return page.select(id_col, "status", F.coalesce("cdn", F.lit("none")).alias("cdn")).join(n, id_col, "left").na.fill(0, ["n_critical", "n_warning", "n_info"])
 
 
 def issues(page: DataFrame, id_col: str = "run_id") -> DataFrame:

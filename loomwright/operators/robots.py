@@ -69,3 +69,57 @@ def ai_summary(rules: DataFrame, key: str) -> DataFrame:
 
 def fetch_policy(status: Column) -> Column:
     return F.when(status == 0, "unreachable").when(status >= 500, "disallow all").when(status >= 400, "allow all").otherwise("parse")
+
+
+SIZE_LIMIT = 512_000  # bytes of a file that are read at most by the large crawlers
+
+
+def sitemap_files(files: DataFrame) -> DataFrame:
+    """(url, is_index, n_urls, n_children, last_modified) of sitemap texts (url, content); null texts give zeros."""
+    t = F.coalesce("content", F.lit(""))
+    n = lambda tag: F.regexp_count(t, F.lit(rf"<{tag}(?:\s[^>]*)?>")).cast("bigint")
+    dates = F.transform(F.regexp_extract_all(t, F.lit(r"<lastmod>\s*(.*?)\s*</lastmod>"), F.lit(1)), lambda x: F.try_to_timestamp(x))
+    return files.select("url", t.rlike(r"<sitemapindex[\s>]").alias("is_index"), n("url").alias("n_urls"), n("sitemap").alias("n_children"), F.array_max(dates).alias("last_modified"))
+
+
+def expanded(files: DataFrame, children: int = 3) -> DataFrame:
+    """(url, child): the first children of each index, `children` of them, which is how far an index is followed."""
+    loc = F.regexp_extract_all("content", F.lit(r"(?s)<sitemap>.*?<loc>\s*(.*?)\s*</loc>.*?</sitemap>"), F.lit(1))
+    return files.select("url", F.explode(F.slice(loc, 1, children)).alias("child"))
+
+
+def issues(files: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+    """(id, code) of each file: unreachable, missing, server error, not text, too large, no agent, blocks all, no sitemap, misspelt or unknown directives.
+
+    files: (id, status, content, content_type). rules: as `parse` gives them.
+    """
+    blocks = rules.filter((F.col("agent") == "*") & (F.col("kind") == "disallow") & (F.col("value") == "/")).select(id_col).distinct().withColumn("_all", F.lit(True))
+    opens = rules.filter((F.col("agent") == "*") & (F.col("kind") == "allow")).select(id_col).distinct().withColumn("_open", F.lit(True))
+    maps = rules.filter("kind = 'sitemap'").select(id_col).distinct().withColumn("_map", F.lit(True))
+    warned = rules.filter("warning is not null").select(id_col).distinct().withColumn("_warned", F.lit(True))
+    d = files
+    for x in (blocks, opens, maps, warned):
+        d = d.join(x, id_col, "left")
+    parsed, size = F.col("status").between(200, 299), F.octet_length("content")
+    codes = {
+        "unreachable": F.col("status") == 0, "missing": F.col("status").between(400, 499), "server_error": F.col("status") >= 500, "not_text": parsed & ~F.coalesce(F.lower("content_type"), F.lit("text/plain")).startswith("text/plain"),
+        "too_large": parsed & (size > SIZE_LIMIT), "empty": parsed & (F.trim(F.coalesce("content", F.lit(""))) == ""), "blocks_all": F.col("_all").isNotNull() & F.col("_open").isNull(), "no_sitemap": parsed & F.col("_map").isNull(), "syntax": F.col("_warned").isNotNull(),
+    }
+    return d.select(id_col, F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in codes.items())), lambda x: x.isNotNull())).alias("code"))
+
+
+def simple_verdicts(paths: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:
+    """(host, path, allowed) by prefixes alone, as a plain crawler reads a file: the longest matching rule of * decides, ties allow."""
+    own = rules.filter("kind in ('allow','disallow') and value <> '' and agent = '*'").select(key, "kind", "value")
+    j = paths.select(key, "path").distinct().join(own, key, "left").withColumn("_n", F.when(F.col("path").startswith(F.col("value")), F.length("value")))
+    best = j.groupBy(key, "path").agg(F.coalesce(F.max(F.when(F.col("kind") == "disallow", F.col("_n"))), F.lit(-1)).alias("d"), F.coalesce(F.max(F.when(F.col("kind") == "allow", F.col("_n"))), F.lit(-1)).alias("a"))
+    return best.select(key, "path", (F.col("d") <= F.col("a")).alias("allowed"))
+
+
+def blocked_pages(node_df: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """(url) of the nodes that their host's file forbids to an agent."""
+    from ..functions import urls as U
+
+    p = node_df.select("url", U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"))
+    v = verdicts(p, rules, (agent,)).filter(~F.col("allowed"))
+    return p.join(v.select("host", "path"), ["host", "path"], "left_semi").select("url")

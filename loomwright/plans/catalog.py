@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import texts as X, urls as U
-from ..operators import content as C, dom as D, graph as G, jsonld as J, markdown as K, metrics as M, nested, report as R, robots as B
+from ..operators import content as C, dom as D, graph as G, jsonld as J, lab as L, markdown as K, metrics as M, nested, pagetext as T, report as R, robots as B
 from ..streaming import flows as S
-from ..session import Query, table
+from ..session import Query, table, written
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -296,7 +296,7 @@ def compare_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def redirect_hops(spark: SparkSession, d: str) -> DataFrame:
-    return G.redirect_hops(table(spark, d, "page_runs"))
+    return G.redirect_hops(_with_rare(spark, d))
 
 
 _E = f"(SELECT src, l.target AS dst, l.follow AS follow, {_host('src')} = {_host('l.target')} AS internal FROM (SELECT url AS src, unnest(links) AS l FROM crawl_pages) WHERE l.target IS NOT NULL)"
@@ -613,7 +613,12 @@ def dom_tag_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def heading_outline(spark: SparkSession, d: str) -> DataFrame:
-    return D.headings(_dom(spark, d), "run_id")
+    """Each heading with its level, text, the level before, whether a level is skipped, and the text of its parent."""
+    h = D.headings(_dom(spark, d), "run_id")
+    w = Window.partitionBy("run_id").orderBy("node_id")
+    h = h.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    up = h.select("run_id", F.col("node_id").alias("parent_id"), F.col("pos").alias("parent_pos"))
+    return h.join(up, ["run_id", "parent_id"], "left").select("run_id", "pos", "level", "text", "previous_level", "skipped", "parent_pos")
 
 
 @_query
@@ -621,17 +626,58 @@ def region_density(spark: SparkSession, d: str) -> DataFrame:
     return D.region_words(_dom(spark, d), "run_id")
 
 
+# two pages with markup that the tables lack, beside all of theirs
+RARE = (
+    """<html><head><script src="https://www.googletagmanager.com/gtm.js"></script><script src="//cdn.jsdelivr.net/x.js"></script><script src="https://static.rare.example/own.js"></script></head><body><main><img src="a.webp" width="4" height="5"><img src="b.png" width="2" height="2"></main>
+    <label for="a">A</label><input id="a"><label>B <input></label><input id="c"><input type="hidden"><input type="submit"><iframe src="https://video.example/v"></iframe></body></html>""",
+    """<html><body><ul><li><a href="#one">1</a></li><li><a href="#two">2</a></li><li><a href="#three">3</a></li></ul><h2 id="one">One</h2><h2 id="two">Two</h2><h3 id="three">one</h3></body></html>""",
+)
+
+
+def _with_rare(spark: SparkSession, d: str) -> DataFrame:
+    chain = ["http://rare.example/a", "https://rare.example/a", "https://www.rare.example/a", "https://www.rare.example/a/"]
+    more = spark.createDataFrame([(-1 - i, "https://rare.example/a", h, chain if i == 0 else []) for i, h in enumerate(RARE)], "run_id bigint, url string, html string, redirect_chain array<string>")
+    return _runs(spark, d).select("run_id", "url", "html", "redirect_chain").unionByName(more)
+
+
+def _rare_dom(spark: SparkSession, d: str) -> DataFrame:
+    return D.dom_nodes(_with_rare(spark, d), "run_id", "html")
+
+
 @_query
 def unlabelled_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return D.unlabelled_inputs(_dom(spark, d), "run_id")
+    """Inputs without a label, by page."""
+    return D.unlabelled_inputs(_rare_dom(spark, d), "run_id").groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@_query
+def largest_images(spark: SparkSession, d: str) -> DataFrame:
+    return D.largest_image(_rare_dom(spark, d), "run_id")
+
+
+@_query
+def frame_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return D.frame_hosts(_rare_dom(spark, d), "run_id")
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    # written once: six aggregations read it, and no html is parsed again
+    dom = written(_dom(spark, d), "dom")
+    runs = _runs(spark, d)
+    return R.merged(runs, D.summary(dom, "run_id"), D.metadata(dom, "run_id"), table(spark, d, "content_analysis"), D.in_form_audit(dom, "run_id"), D.third_party(dom, runs, "run_id"))
 
 
 @_query
 def issue_rules(spark: SparkSession, d: str) -> DataFrame:
     """Issues of every run by rule: the merged report, one row for each rule that holds."""
-    dom = _dom(spark, d)
-    page = R.merged(_runs(spark, d), D.summary(dom, "run_id"), D.metadata(dom, "run_id"), table(spark, d, "content_analysis"))
-    return R.issues(page)
+    return R.issues(_merged(spark, d))
+
+
+@_query
+def report_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Status, delivery network and issues by severity of every run."""
+    page = _merged(spark, d)
+    return R.front_matter(R.issues(page), page)
 
 
 @_query
@@ -694,10 +740,8 @@ def event_json(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def backpressure(spark: SparkSession, d: str) -> DataFrame:
-    """The delay factor of each host after its responses in the order of their delivery; a host's list is its own crawl."""
-    c = _crawl(spark, d).filter("status is not null")
-    g = c.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "status"))), lambda x: x["status"]).alias("s"))
-    return g.select("host", F.round(S.backpressure(F.col("s")), 6).alias("factor"))
+    """The delay factor of each host after its responses in the order of their delivery."""
+    return S.backpressure_by(_crawl(spark, d), "host", "page_id", "status").select("host", F.round("factor", 6).alias("factor"))
 
 
 @_query
@@ -859,7 +903,7 @@ _sql(
 
 @_query
 def third_party_scripts(spark: SparkSession, d: str) -> DataFrame:
-    return D.third_party(_dom(spark, d), _runs(spark, d), "run_id")
+    return D.third_party(_rare_dom(spark, d), _with_rare(spark, d), "run_id").select("run_id", "domain", "category", "n", "tag_manager")
 
 
 @_query
@@ -874,7 +918,7 @@ def image_alt_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def contents_tables(spark: SparkSession, d: str) -> DataFrame:
-    return D.contents_tables(_dom(spark, d), "run_id")
+    return D.contents_tables(_rare_dom(spark, d), "run_id")
 
 
 @_query
@@ -931,3 +975,210 @@ _sql(
     top_pages=f"SELECT url, inlinks, type FROM {_NODES} ORDER BY inlinks DESC, url LIMIT 10",
     soft404_trigrams=f"SELECT page_id, round(len(list_intersect(a, b)) / greatest(len(a), len(b), 1)::DOUBLE, 6) AS overlap FROM (SELECT page_id, {_TRI('t')} AS a, {_TRI('h')} AS b FROM (SELECT page_id, lower(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS t, lower(regexp_replace(coalesce(h1, ''), '\\s+', ' ', 'g')) AS h FROM crawl_pages))",
 )
+
+
+# ------------------------------------------------------------------------------------------- skeletons, graph exports, search reports
+
+
+@_query
+def page_split(spark: SparkSession, d: str) -> DataFrame:
+    """Each html as skeleton and markdown."""
+    return T.split_pages(_runs(spark, d), "run_id", "html", "url")
+
+
+@_query
+def page_skeleton(spark: SparkSession, d: str) -> DataFrame:
+    return T.split_pages(_runs(spark, d), "run_id", "html", "url").select("run_id", "skeleton")
+
+
+@_query
+def content_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Words, paragraphs, label, diversity and reading time of each text without its markup."""
+    r = C.depth()
+    return _read(spark, d).select("doc_id", *(r[k].alias(k) for k in ("word_count", "paragraph_count", "depth_label", "reading_minutes", "diversity", "diversity_label")))
+
+
+@_query
+def content_trust(spark: SparkSession, d: str) -> DataFrame:
+    """First person, statistics, citations and the latest year of each text."""
+    r = C.trust(F.lit(2026))
+    return _read(spark, d).select("doc_id", *(r[k].alias(k) for k in ("first_person", "statistics", "citations", "recent_year", "freshness")))
+
+
+@_query
+def content_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of anchors, kinds of links and images of each markdown."""
+    r = C.anchors()
+    return C.prepared(_splits(spark, d), "markdown", None).select("run_id", *(r[k].alias(k) for k in ("anchors_generic", "anchors_empty", "anchors_naked", "links_internal", "links_external", "images", "images_without_alt", "alt_coverage")))
+
+
+@_query
+def external_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return G.external_nodes(_edges(spark, d))
+
+
+@_query
+def url_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """All addresses of the graph, numbered in their order."""
+    e = _edges(spark, d)
+    return G.dictionary(G.latest(_crawl(spark, d)).select("url").unionByName(e.select(F.col("dst").alias("url"))))
+
+
+@_query
+def compact_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The edges as pairs of numbers."""
+    return G.compact(G.latest(_crawl(spark, d)), _edges(spark, d))[1]
+
+
+@_query
+def links_of_first(spark: SparkSession, d: str) -> DataFrame:
+    """The links into and out of the first address."""
+    e = _edges(spark, d)
+    return G.links_of(e, e.agg(F.min("src")).first()[0])  # one value
+
+
+@_query
+def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """The next hundred addresses to fetch by their in-links."""
+    c = _crawl(spark, d)
+    e = _edges(spark, d).filter("internal").groupBy(F.col("dst").alias("url")).agg(F.count("*").cast("double").alias("priority"))
+    return G.frontier(e, c.select("url").filter("url is not null"), 100)
+
+
+@_query
+def crawl_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Pages within three links of the first address."""
+    e = _edges(spark, d)
+    return G.crawl_tree(e, e.agg(F.min("src")).first()[0], max_pages=1_000_000)
+
+
+@_query
+def unranked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages against a table of search figures: here the analyses, whose scores stand for positions and whose words for impressions."""
+    a = table(spark, d, "content_analysis").select("url", F.lit(0).alias("clicks"), F.col("word_count").alias("impressions"), F.col("score").cast("double").alias("position")).distinct()
+    return G.unranked(G.overlay(_nodes(spark, d), a))
+
+
+@_query
+def robots_issues(spark: SparkSession, d: str) -> DataFrame:
+    t = _docs(spark, d).filter("doc_kind = 'robots_txt'").select("doc_id", F.lit(200).alias("status"), F.col("text").alias("content"), F.lit("text/plain").alias("content_type"))
+    return B.issues(t, B.parse(t, "doc_id", "content"), "doc_id")
+
+
+@_query
+def search_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's totals and its first 25 queries."""
+    return M.page_report(_search(spark, d), "source")
+
+
+@_query
+def search_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and impressions of each source in two periods."""
+    return M.compare_periods(_search(spark, d), ["source"], ("2025-01-01", "2025-12-31"), ("2024-01-01", "2024-12-31"))
+
+
+ANSWERS = (
+    (1, "mobile", """{"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":4100},"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":5},"INTERACTION_TO_NEXT_PAINT":{"percentile":180}}},"lighthouseResult":{"categories":{"performance":{"score":0.875}},"audits":{"interactive":{"numericValue":12345.6},
+    "total-blocking-time":{"numericValue":310.4},"unused-css":{"numericValue":1500.4,"details":{"type":"opportunity","overallSavingsBytes":99.6}},"resource-summary":{"details":{"items":[{"resourceType":"script","transferSize":10,"requestCount":2},{"resourceType":"document","transferSize":5,"requestCount":1}]}}}}}"""),
+    (1, "desktop", "{}"),
+    (2, "desktop", None),
+)
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    d = spark.createDataFrame([(i, s, n, a) for n, (i, s, a) in enumerate(ANSWERS)], "page_id bigint, strategy string, n int, answer string")
+    return L.preferred(d, "page_id", "strategy", "n")
+
+
+@_query
+def lab_field(spark: SparkSession, d: str) -> DataFrame:
+    return L.field_metrics(_answers(spark), "page_id", "answer").select("page_id", "metric", "value", "status")
+
+
+@_query
+def lab_figures(spark: SparkSession, d: str) -> DataFrame:
+    a = F.col("answer")
+    c = L.lab_columns(a) | L.resources(a)
+    return _answers(spark).select("page_id", "strategy", *(c[k].alias(k) for k in ("performance_score", "tti_s", "tbt_ms", "total_bytes", "script_requests", "other_bytes")))
+
+
+@_query
+def lab_opportunities(spark: SparkSession, d: str) -> DataFrame:
+    return L.opportunities(_answers(spark), "page_id", "answer")
+
+
+ITEMS = (
+    (1, """{"@context":"https://schema.org","@type":"Article","headline":"h","author":"a name","datePublished":"soon"}"""),
+    (2, """{"@context":"https://schema.org","@type":"Product","name":"p","image":"https://e/i","offers":{"price":1,"priceCurrency":"EUR"},"description":"d","brand":"b","sku":"s","aggregateRating":{"ratingValue":4,"ratingCount":2},"review":"r"}"""),
+    (2, """{"@type":"WebSite","name":"s","url":"https://e/"}"""),
+    (3, "{bad"),
+)
+
+
+@_query
+def jsonld_items(spark: SparkSession, d: str) -> DataFrame:
+    v = J.validate(spark.createDataFrame(ITEMS, "page_id bigint, item string"), "page_id")
+    flat = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return v.select("page_id", flat("types"), flat("missing_required"), flat("format_errors"), flat("warnings"), "score")
+
+
+@_query
+def jsonld_pages(spark: SparkSession, d: str) -> DataFrame:
+    return J.page_rollup(J.validate(spark.createDataFrame(ITEMS, "page_id bigint, item string"), "page_id"), "page_id")
+
+
+@_query
+def page_jsonld(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON-LD of every page's html, validated and rolled up."""
+    items = D.jsonld_blocks(_dom(spark, d), "run_id")
+    return J.page_rollup(J.validate(items, "run_id"), "run_id")
+
+
+_TEXT = "regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')"
+_HEADS = f"""(SELECT run_id, generate_subscripts(l, 1)::BIGINT AS pos, unnest(l)::INT AS level, trim({_TEXT.format(x="unnest(t)")}, ' ') AS text FROM
+    (SELECT run_id, regexp_extract_all(html, '(?is)<h([1-6])(?:\\s[^>]*)?>(.*?)</h[1-6]>', 1) AS l, regexp_extract_all(html, '(?is)<h([1-6])(?:\\s[^>]*)?>(.*?)</h[1-6]>', 2) AS t FROM page_runs WHERE html IS NOT NULL))"""
+_IMG = "(SELECT run_id, unnest(regexp_extract_all(html, '<img\\b[^>]*>')) AS i FROM page_runs)"
+_MD = "regexp_extract_all(coalesce(markdown, ''), '\\[([^\\]]*)\\]\\(([^)]*)\\)', {k})"
+_GEN = "'click here', 'here', 'read more', 'learn more', 'this', 'this page', 'this post', 'this article', 'link', 'more', 'continue', 'visit', 'see more', 'find out more', 'details'"
+_ALLURL = f"(SELECT url FROM {_L} UNION SELECT dst FROM {_E} UNION SELECT src FROM {_E} WHERE src IS NOT NULL)"
+_DICT = f"(SELECT url, row_number() OVER (ORDER BY url) - 1 AS id FROM {_ALLURL})"
+_FIRST = f"(SELECT min(src) FROM {_E})"
+_sql(
+    heading_outline=f"""SELECT run_id, pos, level, text, previous_level, coalesce(level > previous_level + 1, false) AS skipped, (SELECT max(b.pos) FROM {_HEADS} b WHERE b.run_id = a.run_id AND b.pos < a.pos AND b.level < a.level) AS parent_pos
+        FROM (SELECT *, lag(level) OVER (PARTITION BY run_id ORDER BY pos) AS previous_level FROM {_HEADS}) a""",
+    duplicate_headings=f"SELECT run_id, arg_min(text, pos) AS text, count(*)::BIGINT AS n FROM {_HEADS} WHERE text <> '' GROUP BY run_id, lower(text) HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(pos)) <= 5",
+    image_alt_classes=f"""SELECT run_id, alt_class, count(*)::BIGINT AS n, count(*) FILTER (regexp_matches(i, 'loading="lazy"'))::BIGINT AS lazy, count(*) FILTER (regexp_matches(lower(i), 'src="[^"]*\\.(webp|avif)(\\?[^"]*)?"'))::BIGINT AS modern,
+        count(*) FILTER (contains(i, 'width=') AND contains(i, 'height='))::BIGINT AS sized FROM (SELECT *, CASE WHEN NOT contains(i, 'alt=') THEN 'missing' WHEN trim(a, ' ') = '' THEN 'empty' WHEN length(a) < 3 THEN 'short' WHEN length(a) > 125 THEN 'long'
+        WHEN regexp_matches(lower(a), '^(image|img|photo|picture|icon|logo)\\d*$|\\.(jpe?g|png|gif|webp|svg)$') THEN 'poor' ELSE 'good' END AS alt_class FROM (SELECT *, regexp_extract(i, 'alt="([^"]*)"', 1) AS a FROM {_IMG})) GROUP BY 1, 2""",
+    page_skeleton="""SELECT run_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>|<svg\\b.*?</svg>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '>[^<]*[^<\\s][^<]*<', '><', 'g'), '^\\s*$', '') AS skeleton FROM page_runs""",
+    backpressure="SELECT host, round(list_reduce(list_prepend(1.0::DOUBLE, s), lambda m, x: CASE WHEN x = 429 THEN least(m * 1.5, 10.0) WHEN x < 400 AND m > 1 THEN greatest(1.0, m * 0.95) ELSE m END), 6) AS factor FROM (SELECT host, list(status::DOUBLE ORDER BY page_id) AS s FROM crawl_pages WHERE status IS NOT NULL GROUP BY 1)",
+    unlabelled_inputs="SELECT -1::BIGINT AS run_id, 2::BIGINT AS n",
+    largest_images="SELECT -1::BIGINT AS run_id, 'a.webp' AS src, 20::BIGINT AS area",
+    frame_hosts="SELECT -1::BIGINT AS run_id, 1::BIGINT AS n_frames, 'video.example' AS hosts",
+    third_party_scripts="SELECT * FROM (VALUES (-1::BIGINT, 'www.googletagmanager.com', 'analytics', 1::BIGINT, true), (-1, 'cdn.jsdelivr.net', 'cdn', 1, false)) t(run_id, domain, category, n, tag_manager)",
+    contents_tables="SELECT -2::BIGINT AS run_id, 3::BIGINT AS n_links",
+    redirect_hops="SELECT * FROM (VALUES (-1::BIGINT, 0, 'http://rare.example/a', 'https://rare.example/a', 'https'), (-1, 1, 'https://rare.example/a', 'https://www.rare.example/a', 'www'), (-1, 2, 'https://www.rare.example/a', 'https://www.rare.example/a/', 'slash')) t(run_id, hop, src, dst, labels)",
+    content_depth=f"""SELECT doc_id, len(words)::BIGINT AS word_count, p::BIGINT AS paragraph_count, CASE WHEN len(words) < 100 THEN 'thin' WHEN len(words) < 300 THEN 'short' WHEN len(words) < 800 THEN 'adequate' ELSE 'comprehensive' END AS depth_label, round_even(len(words) / 200.0, 1) AS reading_minutes, v AS diversity,
+        CASE WHEN v < 0.3 THEN 'low' WHEN v <= 0.5 THEN 'medium' ELSE 'high' END AS diversity_label FROM (SELECT *, len(list_filter(regexp_split_to_array(plain, '\\n\\n+'), lambda x: {_trim('x')} <> '')) AS p, CASE WHEN len(words) > 0 THEN round_even(len(list_distinct(list_transform(words, lambda w: lower(w)))) / len(words)::DOUBLE, 3) ELSE 0.0 END AS v FROM {_READ})""",
+    content_anchors=f"""SELECT run_id, len(list_filter(t, lambda a: a IN ({_GEN})))::BIGINT AS anchors_generic, len(list_filter(t, lambda a: a = ''))::BIGINT AS anchors_empty, len(list_filter(t, lambda a: regexp_matches(a, '^https?://')))::BIGINT AS anchors_naked,
+        len(list_filter(u, lambda x: NOT regexp_matches(x, '^https?://')))::BIGINT AS links_internal, len(list_filter(u, lambda x: regexp_matches(x, '^https?://')))::BIGINT AS links_external, len(i)::BIGINT AS images, len(list_filter(i, lambda x: {_trim('x')} = ''))::BIGINT AS images_without_alt,
+        CASE WHEN len(i) > 0 THEN round_even((len(i) - len(list_filter(i, lambda x: {_trim('x')} = ''))) / len(i)::DOUBLE, 4) ELSE 1.0 END AS alt_coverage
+        FROM (SELECT run_id, list_transform({_MD.format(k=1)}, lambda x: lower({_trim('x')})) AS t, list_transform({_MD.format(k=2)}, lambda x: {_trim('x')}) AS u, regexp_extract_all(coalesce(markdown, ''), '!\\[([^\\]]*)\\]\\([^)]*\\)', 1) AS i FROM page_splits)""",
+    external_nodes=f"SELECT 'ext:' || {_host('dst')} AS url, 'external' AS type, count(*)::BIGINT AS inlinks FROM {_E} WHERE NOT internal GROUP BY 1",
+    url_dictionary=f"SELECT url, row_number() OVER (ORDER BY url) - 1 AS id FROM (SELECT url FROM {_L} UNION SELECT dst FROM {_E})",
+    compact_graph=f"SELECT s.id AS src_id, t.id AS dst_id, bool_or(follow) AS follow FROM {_E} e JOIN {_DICT} s ON e.src = s.url JOIN {_DICT} t ON e.dst = t.url GROUP BY 1, 2",
+    links_of_first=f"SELECT 'out' AS direction, dst AS url, bool_or(follow) AS follow FROM {_E} WHERE src = {_FIRST} GROUP BY 2 UNION ALL SELECT 'in', src, bool_or(follow) FROM {_E} WHERE dst = {_FIRST} GROUP BY 2",
+    crawl_frontier=f"SELECT dst AS url, count(*)::DOUBLE AS priority FROM {_E} WHERE internal AND dst NOT IN (SELECT url FROM crawl_pages WHERE url IS NOT NULL) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
+    crawl_tree=f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_E} WHERE internal AND src <> dst), w(url, k) AS (SELECT {_FIRST}, 0 UNION SELECT e.dst, k + 1 FROM w JOIN e ON w.url = e.src WHERE k < 3) SELECT url, min(k)::INT AS depth FROM w GROUP BY 1",
+    search_report=f"""SELECT source, NULL AS query, {_TOT}, 0::BIGINT AS rank FROM {_S} GROUP BY 1 UNION ALL SELECT * FROM (SELECT source, query, {_TOT}, row_number() OVER (PARTITION BY source ORDER BY sum(clicks) DESC, query) AS rank FROM {_S} GROUP BY 1, 2) WHERE rank <= 25""",
+    search_compare=f"""SELECT source, {', '.join(f"sum(CASE WHEN date BETWEEN DATE '{y}-01-01' AND DATE '{y}-12-31' THEN {m} ELSE 0 END)::BIGINT AS {m}_{n}" for n, y in (('now', 2025), ('before', 2024)) for m in ('clicks', 'impressions'))},
+        {', '.join(f"(sum(CASE WHEN date >= DATE '2025-01-01' THEN {m} ELSE 0 END) - sum(CASE WHEN date < DATE '2025-01-01' THEN {m} ELSE 0 END))::BIGINT AS {m}_change" for m in ('clicks', 'impressions'))} FROM {_S} WHERE date BETWEEN DATE '2024-01-01' AND DATE '2025-12-31' GROUP BY 1""",
+    lab_field="SELECT * FROM (VALUES (1::BIGINT, 'lcp', 4100.0::DOUBLE, 'fail'), (1, 'cls', 0.05, 'good'), (1, 'inp', 180.0, 'good'), (1, 'fcp', 0.0, 'warn'), (1, 'fid', 0.0, 'fail')) t(page_id, metric, value, status)",
+    lab_figures="SELECT * FROM (VALUES (1::BIGINT, 'mobile', 88::BIGINT, 12.35::DOUBLE, 310.0::DOUBLE, 15::BIGINT, 2::BIGINT, 5::BIGINT), (2, 'desktop', 0, 0.0, 0.0, NULL, NULL, NULL)) t(page_id, strategy, performance_score, tti_s, tbt_ms, total_bytes, script_requests, other_bytes)",
+    lab_opportunities="SELECT 1::BIGINT AS page_id, 'unused-css' AS audit, 1500::BIGINT AS savings_ms, 100::BIGINT AS savings_bytes, 'fail' AS status",
+    jsonld_items="""SELECT * FROM (VALUES (1::BIGINT, 'Article', 'image,publisher', 'datePublished', 'author', 25::BIGINT), (2, 'Product', '', '', '', 100), (2, 'WebSite', '', '@context', '', 85), (3, 'Unknown', '', 'json', '', 0)) t(page_id, types, missing_required, format_errors, warnings, score)""",
+    jsonld_pages="""SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 1::BIGINT, 25::BIGINT, 'Article', '', '', false), (2, 2, 2, 92, 'Product,WebSite', 'Product', '', true), (3, 1, 0, 0, 'Unknown', '', '', false)) t(page_id, n_items, n_valid, mean_score, types, eligible, duplicate_types, website_without_search)""",
+    url_compare_canonical=f"""SELECT page_id, u = c AS self_referencing, CASE WHEN canonical IS NULL THEN 'missing' WHEN u = c THEN 'match' ELSE 'mismatch' END AS canonical_status FROM (SELECT page_id, canonical, {{u}} AS u, {{c}} AS c FROM (SELECT page_id, url, canonical, CASE WHEN canonical IS NULL THEN NULL WHEN regexp_matches(j, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN j
+        WHEN j LIKE '//%' THEN {_part('url', 1)} || ':' || j WHEN j LIKE '/%' THEN {_part('url', 1)} || '://' || {_part('url', 2)} || j WHEN j LIKE '?%' THEN {_part('url', 1)} || '://' || {_part('url', 2)} || ({_path('url')}) || j WHEN j = '' OR j LIKE '#%' THEN {_part('url', 1)} || '://' || {_part('url', 2)} || ({_path('url')}) || {_part('url', 4)} || j
+        ELSE {_part('url', 1)} || '://' || {_part('url', 2)} || regexp_extract({_path('url')}, '^(.*/)', 1) || j END AS x FROM (SELECT *, {_trim('canonical')} AS j FROM crawl_pages)))""".replace("{u}", f"lower({_part('url', 1)}) || '://' || lower({_part('url', 2)}) || (CASE WHEN regexp_replace({_path('url')}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_path('url')}, '/+$', '') END) || {_part('url', 4)}").replace("{c}", f"lower({_part('x', 1)}) || '://' || lower({_part('x', 2)}) || (CASE WHEN regexp_replace({_path('x')}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_path('x')}, '/+$', '') END) || {_part('x', 4)}"),
+)
