@@ -1134,7 +1134,7 @@ def page_jsonld(spark: SparkSession, d: str) -> DataFrame:
     return J.page_rollup(J.validate(items, "run_id"), "run_id")
 
 
-_TEXT = "regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')"
+_TEXT = "regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')"
 _HEADS = f"""(SELECT run_id, generate_subscripts(l, 1)::BIGINT AS pos, unnest(l)::INT AS level, trim({_TEXT.format(x="unnest(t)")}, ' ') AS text FROM
     (SELECT run_id, regexp_extract_all(html, '(?is)<h([1-6])(?:\\s[^>]*)?>(.*?)</h[1-6]>', 1) AS l, regexp_extract_all(html, '(?is)<h([1-6])(?:\\s[^>]*)?>(.*?)</h[1-6]>', 2) AS t FROM page_runs WHERE html IS NOT NULL))"""
 _IMG = "(SELECT run_id, unnest(regexp_extract_all(html, '<img\\b[^>]*>')) AS i FROM page_runs)"
