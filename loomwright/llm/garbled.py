@@ -47,6 +47,9 @@ LONG_WORD = re.compile(r"[Ѐ-ӿ]{5,}")
 CYRILLIC = re.compile(r"[Ѐ-ӿ]{3,}")
 LATIN_RUN = re.compile(r"[À-ÖØ-öø-ÿ]{3,}")
 LOST = re.compile(r"[�\x80-\x9f]|[｡-ﾟ]{2,}")
+HIGH, HIGH_SIGN = re.compile(r"[^\x00-\x7f]"), re.compile(r"[^\x00-\x7f\s]")
+HIRAGANA, KANA, HAN, JAPANESE = re.compile("[぀-ゟ]"), re.compile("[぀-ヿ]"), re.compile("[一-鿿]"), re.compile("[぀-ヿ、-。一-鿿]")
+CYRILLIC_LETTER, TWICE = re.compile("[Ѐ-ӿ]"), re.compile("[ÃÐÑÂâ]")
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}\d?|#\d{3,5});")
 # Words of one letter outside ASCII. Fixed values.
 ONE_LETTER = "àéèóôòùíîяыъøåö"
@@ -127,6 +130,11 @@ def odd_signs() -> frozenset[str]:
     return frozenset(c for c in out if c not in proper() and not "Ѐ" <= c <= "ӿ" and c != " ")
 
 
+@lru_cache(maxsize=1)
+def odd_class() -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, sorted(odd_signs()))) + "]")
+
+
 @lru_cache(maxsize=50_000)
 def split_units(run: str) -> tuple[str, ...]:
     """A run of signs outside ASCII as known units (longest first), single signs otherwise."""
@@ -214,6 +222,7 @@ class Counts:
         total = sum(pairs.values()) or 1
         self.r = {k: math.log(n / total) for k, n in pairs.items() if n >= max(2, total * 1e-6)}
         self.floor = math.log(0.2 / total) if total > 1 else -12.0
+        self.words: dict[str, float] = {}
         #: the mean of the language's own text
         self.native = sum(n / total * math.log(n / total) for n in pairs.values()) if total > 1 else -6.0
 
@@ -224,9 +233,13 @@ class Counts:
         """Mean log probability of the bigrams in Cyrillic words; the floor where there are none."""
         s = n = 0
         for w in CYRILLIC.findall(text.lower()):
-            for p in zip(w, w[1:]):
-                s += self.r.get(p, self.floor)
-                n += 1
+            v = self.words.get(w)
+            if v is None:
+                if len(self.words) > 200_000:  # a memory of words, not of texts
+                    self.words.clear()
+                v = self.words[w] = sum(self.r.get(p, self.floor) for p in zip(w, w[1:]))
+            s += v
+            n += len(w) - 1
         return s / n if n else self.floor
 
 
@@ -259,7 +272,7 @@ def odd(text: str, counts: Counts) -> bool:
         return "&" in text and bool(ENTITY.search(text))
     if LOST.search(text) or LATIN_RUN.search(text) or ENTITY.search(text):
         return True
-    signs, fine = odd_signs(), proper()
+    fine = proper()
     known = known_units()
     for m in RUN.finditer(text):
         run = m[0]
@@ -275,15 +288,15 @@ def odd(text: str, counts: Counts) -> bool:
         first = run[0]
         if "Ѐ" <= first <= "ӿ":
             continue
-        if any(c in signs for c in run) or len(run) > 1 and any(len(u) > 1 for u in split_units(run)):
+        if odd_class().search(run) or len(run) > 1 and any(len(u) > 1 for u in split_units(run)):
             return True
     words = CYRILLIC.findall(text)
     return bool(words) and any(len(w) >= 4 and counts.cyrillic(w) < counts.native - 1.5 for w in words)
 
 
 def _japanese(text: str) -> float:
-    n = sum(not c.isspace() and not c.isascii() for c in text)
-    return sum("぀" <= c <= "ヿ" or "、" <= c <= "。" or "一" <= c <= "鿿" for c in text) / n if n else 0.0
+    n = len(HIGH_SIGN.findall(text))
+    return len(JAPANESE.findall(text)) / n if n else 0.0
 
 
 @lru_cache(maxsize=1)
@@ -293,34 +306,35 @@ def whole_pairs() -> tuple[tuple[str, str], ...]:
 
 def reread(piece: str, counts: Counts) -> str | None:
     """The right reading of a piece whose every letter is enciphered, or None."""
-    kana = sum("぀" <= c <= "ゟ" for c in piece)
-    here = counts.cyrillic(piece)
-    high = [c for c in piece if ord(c) > 127]
-    if len(high) < 4 or kana * 4 > len(high):
+    high = len(HIGH.findall(piece))
+    if high < 4 or len(HIRAGANA.findall(piece)) * 4 > high:
         return None
+    here = counts.cyrillic(piece)
     best, gain = None, 1.0
+    page, data = "", None
     for read, written in whole_pairs():
-        data = as_bytes(piece, read)
+        if read != page:  # the bytes of a page are read in each way that it may have been written
+            page, data = read, as_bytes(piece, read)
         if data is None:
             continue
         text = data.decode(written, "replace")
         if text.count("�") * 10 > len(text):
             continue
-        if written == "utf-8" and sum(c in "ÃÐÑÂâ" for c in text) * 3 > len(text.split()) * 3 + 3:
+        if written == "utf-8" and len(TWICE.findall(text)) * 3 > len(text.split()) * 3 + 3:
             again = as_bytes(text, "cp1252")
             if again is not None:
                 try:
                     text = again.decode("utf-8")
                 except UnicodeDecodeError:
                     pass
-        if any("぀" <= c <= "ゟ" for c in text) and _japanese(text) > 0.9 and _japanese(piece) < 0.9:
-            k = sum("぀" <= c <= "ヿ" for c in text) / max(1, len(text))
+        if HIRAGANA.search(text) and _japanese(text) > 0.9 and _japanese(piece) < 0.9:
+            k = len(KANA.findall(text)) / max(1, len(text))
             if k > 0.2 and 6 + k > gain:
                 best, gain = text, 6 + k
         elif CYRILLIC.search(text):
-            cyr = sum("Ѐ" <= c <= "ӿ" for c in text)
+            cyr = len(CYRILLIC_LETTER.findall(text))
             fit = counts.cyrillic(text)
-            if LONG_WORD.search(text) and cyr * 2 >= sum(not c.isascii() for c in text) and fit > counts.native - 1.5 and fit - here > gain:
+            if LONG_WORD.search(text) and cyr * 2 >= len(HIGH.findall(text)) and fit > counts.native - 1.5 and fit - here > gain:
                 best, gain = text, fit - here
     return best
 
@@ -345,7 +359,7 @@ def judge(text: str, counts: Counts, table: dict[str, str]) -> tuple[bool, str]:
         new, hit = line, False
         if not line.isascii():
             for p in [line, *pieces(line)]:
-                if p in new and (len(p) >= 4 and (LATIN_RUN.search(p) or CYRILLIC.search(p) or any(c in odd_signs() for c in p) or LOST.search(p) or any("一" <= c <= "鿿" for c in p))):
+                if p in new and (len(p) >= 4 and (LATIN_RUN.search(p) or CYRILLIC.search(p) or odd_class().search(p) or LOST.search(p) or HAN.search(p))):
                     good = reread(p.strip(" \r"), counts)
                     if good and not mentioned(line, line.index(p), p):
                         new, hit = new.replace(p.strip(" \r"), good), True
