@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
-from ..session import cut
+from ..session import bucketed, cut
 
 DEAD_END, DEEP, MANY_EXTERNAL, IN_SITEMAP, INDEXABLE = 1, 2, 4, 8, 16
 
@@ -40,21 +40,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 50, damping:
     """(url, page_rank): ranks over internal links after a fixed number of rounds, divided by the largest, 4 decimals.
 
     The out-degree counts all internal links, those to pages that weren't crawled as well; the rank of pages without
-    links isn't handed on. Addresses are replaced by 64-bit ids before the loop; the lineage is cut by checkpoint().
+    links isn't handed on. Addresses are replaced by 64-bit hashes before the loop, or, should two of them be equal, by their numbers.
+    Edges and nodes are written once, bucketed by source and by node: a round moves the partial sums of the targets and nothing
+    else. The lineage is cut by checkpoint().
     """
-    n = nodes.count()
+    ids = bucketed(nodes.select("url").distinct().withColumn("id", F.xxhash64("url")), "rank_nodes", "id")
+    n, different = ids.agg(F.count("*"), F.count_distinct("id")).first()
     if n == 0:
         return nodes.select("url", F.lit(None).cast("double").alias("page_rank"))
-    ids = cut(nodes.select("url").distinct().withColumn("id", F.xxhash64("url")))
-    e = edges.filter("internal").select(F.xxhash64("src").alias("s"), F.xxhash64("dst").alias("d"))
-    out = e.groupBy("s").agg(F.count("*").alias("deg"))
+    e = edges.filter("internal").select("src", "dst")
+    if n == different:
+        e = e.select(F.xxhash64("src").alias("s"), F.xxhash64("dst").alias("d"))
+    else:
+        ids = bucketed(dictionary(nodes), "rank_nodes", "id")
+        e = e.join(ids.select(F.col("url").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("url").alias("dst"), F.col("id").alias("d")), "dst", "left").select("s", "d")
+    deg = e.groupBy("s").agg(F.count("*").alias("deg"))
     e = e.join(ids.select(F.col("id").alias("d")), "d", "left_semi").groupBy("s", "d").agg(F.count("*").alias("k"))
-    e = cut(e.join(out, "s").select("s", "d", (F.col("k") / F.col("deg")).alias("w")))
+    e = bucketed(e.join(deg, "s").select("s", "d", (F.col("k") / F.col("deg")).alias("w")), "rank_edges", "s")
     base = (1 - damping) / n
     rank = ids.select("id", F.lit(1.0 / n).alias("r"))
     for i in range(1, iterations + 1):
-        got = e.join(rank, e["s"] == rank["id"]).groupBy("d").agg(F.sum(F.col("r") * F.col("w")).alias("g"))
-        rank = ids.select("id").join(got, F.col("id") == F.col("d"), "left").select("id", (F.lit(base) + damping * F.coalesce("g", F.lit(0.0))).alias("r"))
+        # hashed by bucket, a few numbers a node: neither the edges nor the nodes are sorted again
+        got = e.join(rank.hint("shuffle_hash"), e["s"] == rank["id"]).groupBy("d").agg(F.sum(F.col("r") * F.col("w")).alias("g"))
+        rank = ids.select("id").join(got.hint("shuffle_hash"), F.col("id") == F.col("d"), "left").select("id", (F.lit(base) + damping * F.coalesce("g", F.lit(0.0))).alias("r"))
         if i % cut_every == 0:
             rank = cut(rank)
     if iterations % cut_every:
@@ -63,24 +71,36 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 50, damping:
     return ids.join(rank, "id").select("url", F.round(F.col("r") / F.lit(top), 4).alias("page_rank"))
 
 
-def link_depth(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+def link_depth(nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int | None = None, merge_every: int = 10) -> DataFrame:
     """(url, link_depth) of the pages reached from the start pages over internal links.
 
     Runs until the front is empty; each round reaches at least one new page, so it ends on cycles too. Only where `most`
-    is given are pages beyond so many rounds left out.
+    is given are pages beyond so many rounds left out. A round writes its own front; the fronts so far are put together
+    every `merge_every` rounds, so that no page is written anew in each.
     """
-    # targets that are no nodes are dropped once, not in each round
-    e = cut(edges.filter("internal and src <> dst").select("src", "dst").distinct().join(nodes.select(F.col("url").alias("dst")), "dst", "left_semi"))
-    seen = cut(nodes.join(starts.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("link_depth")).distinct())
-    front, depth = seen, 0
+    # targets that are no nodes are dropped once, not in each round; bucketed by source, the edges don't move in a round
+    e = bucketed(edges.filter("internal and src <> dst").select("src", "dst").distinct().join(nodes.select(F.col("url").alias("dst")), "dst", "left_semi"), "depth_edges", "src")
+    front = cut(nodes.join(starts.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("link_depth")).distinct())
+    seen, depth = [front], 0
     while most is None or depth < most:
         depth += 1
-        step = front.join(e, front["url"] == e["src"]).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        step = front.join(e, front["url"] == e["src"]).select(F.col("dst").alias("url")).distinct()
+        for x in seen:
+            step = step.join(x.select("url"), "url", "left_anti")
         front = cut(step.select("url", F.lit(depth).alias("link_depth")))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        seen.append(front)
+        if len(seen) > merge_every:
+            seen = [cut(_all(seen))]
+    return _all(seen)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def depths(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -226,3 +226,20 @@ def test_markdown_blocks(spark):
     assert [(x.from_level, x.to_level) for x in K.heading_skips(df, "id", "m").collect()] == [(1, 3)]
     links = spark.createDataFrame([(1, "[read more](/a) ![i](/b) [two words](https://f.org/x) [](https://e.com/y) [https://g.net](https://g.net)", "https://e.com/")], "id bigint, m string, u string")
     assert {(x.anchor_class, x.internal) for x in K.links(links, "id", "m", "u").collect()} == {("generic", True), ("descriptive", False), ("empty", True), ("naked", False)}
+
+
+def test_release_deletes_what_was_written(spark):
+    from loomwright import session
+
+    session.release(spark)
+    a, b = session.written(spark.range(3), "t"), session.bucketed(spark.range(3), "b", "id")
+    assert a.count() == b.count() == 3 and session.release(spark) == 2 and session.release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(a.inputFiles()[0]).count()
+
+
+def test_equal_hashes_fall_back_to_numbers(spark, monkeypatch):
+    n, e = graph(spark, [("a", "b"), ("b", "a"), ("b", "c")])
+    want = {r.url: r.page_rank for r in G.pagerank(n, e, 5).collect()}
+    monkeypatch.setattr(G.F, "xxhash64", lambda c: F.lit(1).cast("bigint"))
+    assert {r.url: r.page_rank for r in G.pagerank(n, e, 5).collect()} == want
