@@ -641,7 +641,7 @@ def _with_rare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rare_dom(spark: SparkSession, d: str) -> DataFrame:
-    return D.dom_nodes(_with_rare(spark, d), "run_id", "html")
+    return written(D.dom_nodes(_with_rare(spark, d), "run_id", "html"), "dom")  # read by several branches
 
 
 @_query
@@ -928,7 +928,7 @@ def duplicate_headings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def deepest_path(spark: SparkSession, d: str) -> DataFrame:
-    return D.deepest_path(_dom(spark, d), "run_id")
+    return D.deepest_path(written(_dom(spark, d), "dom"), "run_id")  # joined with itself
 
 
 @_query
