@@ -213,6 +213,23 @@ def test_held_out_accuracy(spark, data):
     assert right >= 6 and (np.asarray(conf) > 0.3).all()
 
 
+def test_held_out_pages(spark):
+    """Trained on half of the labelled pages (some labels are wrong), the other half is read as most of its labels say, and as a model of that half reads it."""
+    d = spark.read.parquet("/root/testdata/sf0.01/page_splits.parquet").join(spark.read.parquet("/root/testdata/sf0.01/content_analysis.parquet").groupBy("run_id").agg(F.max("detected_language").alias("label")), "run_id").filter("markdown is not null")
+    halves = [d.filter(F.pmod(F.xxhash64("run_id"), F.lit(2)) == k) for k in (0, 1)]
+    models = [L.train_on(h, "run_id", "markdown", "label") for h in halves]
+    texts, labels = [], []
+    for r in halves[1].collect():
+        blocks = [b.plain for b in B.parse(r.markdown) if L.running(b) and len(b.plain) > 150]
+        if blocks and L.canonical_label(r.label):
+            texts.append(L.clean(max(blocks, key=len)))
+            labels.append(L.canonical_label(r.label))
+    a, b = ([L.LANGUAGES[k] for k in m.decode(m.outputs(texts))[0]] for m in models)
+    assert len(texts) > 100
+    assert sum(x == y for x, y in zip(a, b)) / len(texts) >= 0.98
+    assert sum(x == y for x, y in zip(a, labels)) / len(texts) >= 0.8
+
+
 def test_outputs_do_not_depend_on_the_batch():
     model = L.train(["the house and the garden"] * 3 + ["das haus und der garten"] * 3, ["en"] * 3 + ["de"] * 3)
     texts = ["the house is near", "der garten ist schön", "x", "a longer text with many words in it and the end"]
