@@ -354,3 +354,36 @@ def top_phrases(df: DataFrame, id_col: str, md_col: str, size: int, k: int = 10)
     content = by_language(F.col("_lang"), lambda x: F.exists("g", lambda y: ~y.isin(*X.STOP[x]) & (F.length(y) >= 3)))
     g = g.filter(content)
     return top_per_group(g, id_col, [F.desc("n"), F.col("first")], k).select(id_col, F.array_join("g", " ").alias("phrase"), "n", F.round(F.col("n") / F.greatest(F.col("all") - (size - 1), F.lit(1)) * 100, 2).alias("percentage"), F.col("rn").cast("bigint").alias("rank"))
+
+
+def script_language(t: Column, guess: Column) -> Column:
+    """ko, ja or zh where more than 30 % of a text's characters are of those scripts, else the guess."""
+    n = lambda p: F.regexp_count(t, F.lit(p))
+    cjk = n(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]")
+    return F.when(cjk > 0.3 * F.length(t), F.when(n(r"[\x{ac00}-\x{d7af}]") > 0.5 * cjk, "ko").when(n(r"[\x{3040}-\x{30ff}]") > 0, "ja").otherwise("zh")).otherwise(guess)
+
+
+def volume(t: Column, lang: Column) -> dict[str, Column]:
+    """Characters, words and minutes of reading; in scripts without blanks each sign is a word and 400 signs are a minute."""
+    signs = F.length(F.regexp_replace(t, r"\s+", ""))
+    cjk = lang.isin("ko", "ja", "zh")
+    w = F.when(cjk, F.regexp_count(t, F.lit(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]")) + F.regexp_count(t, F.lit(r"[a-zA-Z0-9]+"))).otherwise(n_words(t)).cast("bigint")
+    return {"n_chars": F.length(t).cast("bigint"), "n_signs": signs.cast("bigint"), "n_words": w, "minutes": F.when(cjk, F.bround(signs / 400.0, 1)).otherwise(F.bround(w / 200.0, 1))}
+
+
+def chrome_ratio(words: Column, raw_words: Column) -> Column:
+    """Words of the content by all words of the html; null where those are unknown or none."""
+    return F.when(raw_words > 0, F.bround(words / raw_words, 3))
+
+
+def inventory(md: Column, links: int = 200, images: int = 100) -> dict[str, Column]:
+    """The first links and images of a markdown, as many as a report lists, with flags that tell of more; and its first h1."""
+    target = F.regexp_extract_all(md, F.lit(r"(?<!!)\[[^\]]*\]\(([^)]*)\)"), F.lit(1))
+    image = F.regexp_extract_all(md, F.lit(r"!\[[^\]]*\]\(([^)]*)\)"), F.lit(1))
+    h1 = F.get(F.filter(headings(md), lambda h: h["level"] == 1), F.lit(0))["text"]
+    return {"links": F.slice(target, 1, links), "links_truncated": F.size(target) > links, "images": F.slice(image, 1, images), "images_truncated": F.size(image) > images, "first_h1": h1}
+
+
+def per_thousand(n: Column, words: Column) -> Column:
+    """How many for 1,000 words, 1 decimal; 0 for a text without words."""
+    return F.when(words > 0, F.bround(n * 1000 / words, 1)).otherwise(F.lit(0.0))

@@ -32,6 +32,41 @@ def latest_run(spark: SparkSession, root: str, host: str) -> DataFrame:
     return d.join(F.broadcast(d.agg(F.max("run_ts").alias("run_ts"))), "run_ts", "left_semi")  # one row
 
 
+def run_host(host: str) -> str:
+    """A host as it names a run's folder: dots become underscores."""
+    return host.replace(".", "_")
+
+
+def find_run(spark: SparkSession, root: str, host: str, override: str | None = None) -> DataFrame:
+    """The newest run of a host, or the one named by override."""
+    d = spark.read.parquet(root).filter(F.col("host").isin(host, run_host(host)))
+    return d.filter(F.col("run_ts") == override) if override is not None else d.join(F.broadcast(d.agg(F.max("run_ts").alias("run_ts"))), "run_ts", "left_semi")  # one row
+
+
+def newest_run(spark: SparkSession, root: str) -> DataFrame:
+    """The newest run of all hosts; of equally new ones the first host's."""
+    d = spark.read.parquet(root)
+    best = d.agg(F.max("run_ts").alias("run_ts"))
+    newest = d.join(F.broadcast(best), "run_ts", "left_semi")  # one row
+    return newest.join(F.broadcast(newest.agg(F.min("host").alias("host"))), "host", "left_semi")  # one row
+
+
+def followed_sitemaps(files: DataFrame, start: str, depth: int = 3) -> DataFrame:
+    """(loc, lastmod) of a sitemap and of the sitemaps that it names, `depth` levels down; files: (file, loc, lastmod, is_index) as `sitemap` gives them.
+
+    Only addresses of the start's host count, with or without www.
+    """
+    from ..functions.urls import host
+
+    own = lambda c: F.regexp_replace(host(c), r"^www\.", "") == F.regexp_replace(host(F.lit(start)), r"^www\.", "")
+    level, out = files.filter(F.col("file") == start), None
+    for _ in range(depth + 1):
+        pages = level.filter(~F.col("is_index") & own(F.col("loc"))).select("loc", "lastmod")
+        out = pages if out is None else out.unionByName(pages)
+        level = files.join(level.filter(F.col("is_index") & own(F.col("loc"))).select(F.col("loc").alias("file")).distinct(), "file", "left_semi")
+    return out.distinct()
+
+
 def config(spark: SparkSession, key: str, override: str | None = None, default: str | None = None) -> str | None:
     """An option by its order: override, session, default."""
     return override if override is not None else spark.conf.get(key, default)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import content as C, dom as D, graph as G, lab as L, metrics as M, pagetext as T, report as R, robots as B
+from loomwright.sources import landing as A, readers, writers
 from loomwright.streaming import flows as S
 
 
@@ -202,3 +203,54 @@ def test_sentences_alike_equal_brute_force(spark):
     want = sum(len(a & b) / max(len(a), len(b)) > 0.8 for i, a in enumerate(sets) for b in sets[i + 1 :])
     df = spark.createDataFrame([(1, ". ".join(sents)), (2, None), (3, "a. b. c.")], "id bigint, m string")
     assert want and [tuple(r) for r in C.alike_sentences(df, "id", "m").collect()] == [(1, want)]
+
+
+def test_landed_answers(spark, tmp_path):
+    rec = json.dumps({"record": {"metrics": {"largest_contentful_paint": {"percentiles": {"p75": 2600}}, "cumulative_layout_shift": {"percentiles": {"p75": "0.05"}}}}})
+    df = spark.createDataFrame([("https://e/a", rec), ("https://e/b", None), ("https://f/c", "{bad")], "url string, answer string")
+    assert {(r.url, r.metric, r.value, r.status) for r in A.record_metrics(df, "url", "answer").collect()} == {("https://e/a", "lcp", 2600.0, "warn"), ("https://e/a", "cls", 0.05, "good"), ("https://e/a", "fid", 0.0, "fail"), ("https://e/a", "inp", 0.0, "fail")}
+    o = spark.createDataFrame([("https://e", "{}")], "origin string, answer string")
+    assert {(r.url, r.scope) for r in A.url_or_origin(df, df, o, "answer").collect()} == {("https://e/a", "url"), ("https://e/b", "origin"), ("https://f/c", "url")}
+    pages = [json.dumps({"rows": [{"keys": ["q1", "usa"], "clicks": 1, "impressions": 10, "ctr": 0.1, "position": 2}]}), json.dumps({"rows": []}), "{}", None]
+    rows = A.search_rows(spark.createDataFrame([(x,) for x in pages], "answer string"), "answer", ["query", "country"]).collect()
+    assert [(r.query, r.country, r.clicks, r.impressions) for r in rows] == [("q1", "usa", 1, 10)]
+    seen = json.dumps({"inspectionResult": {"indexStatusResult": {"verdict": "PASS", "userCanonical": "a", "googleCanonical": "b"}, "richResultsResult": {"detectedItems": [{"richResultType": "FAQ"}]}}})
+    i = A.inspections(spark.createDataFrame([("u", seen), ("v", "{}"), ("w", '{"inspectionResult":{}}')], "url string, answer string"), "url", "answer")
+    assert {(r.url, r.verdict, r.indexed) for r in i.collect()} == {("u", "PASS", True), ("w", "NEUTRAL", False)} and i.first().rich_types == ["FAQ"]
+    maps = A.listed_sitemaps(spark.createDataFrame([("u", json.dumps({"sitemap": [{"path": "s", "errors": "2", "contents": [{"submitted": "5", "indexed": "3"}]}, {}]}))], "url string, answer string"), "url", "answer")
+    assert {(r.path, r.errors, r.submitted, r.indexed) for r in maps.collect()} == {("s", 2, 5, 3), ("", 0, 0, 0)}
+    s = spark.createDataFrame([("u", 1, 5), ("z", 1, 1)], "url string, clicks bigint, impressions bigint")
+    assert {(r.url, r.clicks, r.n_sitemaps) for r in A.search_data(spark.createDataFrame([("u",), ("w",), ("x",)], "url string"), s, i, maps).collect()} == {("u", 1, 2), ("w", None, 0)}
+    (tmp_path / "r.jsonl").write_text('{"origin":"https://e","status":200,"content":"User-agent: *"}\n\n{bad\n')
+    assert [r.status for r in A.robots_files(spark, str(tmp_path / "r.jsonl")).collect()] == [200]
+    st = spark.createDataFrame([("https://e/sitemap.xml", 404), ("https://e/sitemap_index.xml", 200)], "url string, status int")
+    assert [r.url for r in A.sitemap_candidates(spark.createDataFrame([("https://e",)], "origin string"), st).collect()] == ["https://e/sitemap_index.xml"]
+    h = A.request_headers(F.col("h"), {"a": "1", "b": "1"}, {"e": {"b": "2"}}, {"c": "3", "a": "9"})
+    assert [r[0] for r in spark.createDataFrame([("e",), ("f",)], "h string").select(h).collect()] == [{"a": "9", "b": "2", "c": "3"}, {"a": "9", "b": "1", "c": "3"}]
+    assert A.header_flags(["A: b:c", "bad", ":x"]) == {"A": "b:c"}
+    assert [r[0] for r in spark.createDataFrame([("https://e",), ("ftp://e",), ("http://",), (None,)], "u string").select(A.is_web_address(F.col("u"))).collect()] == [True, False, False, False]
+
+
+def test_runs_and_sitemaps(spark, tmp_path):
+    df = spark.createDataFrame([("e_com", "1", "x"), ("e_com", "2", "y"), ("f", "3", "z")], "host string, run_ts string, t string")
+    writers.run_folder(df, str(tmp_path / "r"))
+    assert readers.find_run(spark, str(tmp_path / "r"), "e.com").first()["t"] == "y" and readers.find_run(spark, str(tmp_path / "r"), "e.com", "1").first()["t"] == "x"
+    assert readers.newest_run(spark, str(tmp_path / "r")).first()["t"] == "z"
+    files = spark.createDataFrame([("https://e/s", "https://www.e/t", None, True), ("https://www.e/t", "https://e/a", None, False), ("https://www.e/t", "https://other/b", None, False), ("https://e/q", "https://e/z", None, False)], "file string, loc string, lastmod timestamp, is_index boolean")
+    assert [r["loc"] for r in readers.followed_sitemaps(files, "https://e/s").collect()] == ["https://e/a"]
+    e = spark.createDataFrame([("https://e/0", "https://e/1", True, True), ("https://e/1", "https://e/2", True, True), ("https://e/0", "https://e/3", True, True), ("https://e/3", "https://e/2", True, True)], "src string, dst string, follow boolean, internal boolean")
+    assert writers.link_tree(G.crawl_tree(e, "https://e/0"), e, "https://e/0") == "https://e/0\n  https://e/1\n    https://e/2\n  https://e/3"
+    writers.jsonld_files(spark.createDataFrame([(1, "{}"), (2, "[]")], "p int, item string"), str(tmp_path / "j"), "p")
+    assert spark.read.text(str(tmp_path / "j")).count() == 2
+
+
+def test_scripts_and_inventories(spark):
+    t = spark.createDataFrame([("これは日本語です。",), ("한국어 문장입니다",), ("中文句子在这里",), ("plain words here",), ("",)], "t string")
+    lang = C.script_language(F.col("t"), F.lit("en"))
+    assert [r[0] for r in t.select(lang).collect()] == ["ja", "ko", "zh", "en", "en"]
+    v = C.volume(F.col("t"), lang)
+    assert [r[0] for r in t.select(v["n_words"]).collect()] == [8, 8, 7, 3, 0]
+    md = "# One\n\n[a](/1) ![b](/2) [c](/3)"
+    inv = spark.createDataFrame([(md,)], "m string").select(*(c.alias(k) for k, c in C.inventory(F.col("m"), 1, 1).items())).first()
+    assert inv.links == ["/1"] and inv.links_truncated and inv.images == ["/2"] and not inv.images_truncated and inv.first_h1 == "One"
+    assert tuple(spark.range(1).select(C.chrome_ratio(F.lit(1), F.lit(3)), C.chrome_ratio(F.lit(1), F.lit(0)), C.per_thousand(F.lit(3), F.lit(2000))).first()) == (0.333, None, 1.5)
