@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import texts as X, urls as U
 from ..operators import content as C, dom as D, graph as G, jsonld as J, lab as L, markdown as K, metrics as M, nested, pagetext as T, report as R, robots as B
+from ..sources import landing as A
 from ..streaming import flows as S
 from ..session import Query, table, written
 
@@ -1182,3 +1183,106 @@ _sql(
         WHEN j LIKE '//%' THEN {_part('url', 1)} || ':' || j WHEN j LIKE '/%' THEN {_part('url', 1)} || '://' || {_part('url', 2)} || j WHEN j LIKE '?%' THEN {_part('url', 1)} || '://' || {_part('url', 2)} || ({_path('url')}) || j WHEN j = '' OR j LIKE '#%' THEN {_part('url', 1)} || '://' || {_part('url', 2)} || ({_path('url')}) || {_part('url', 4)} || j
         ELSE {_part('url', 1)} || '://' || {_part('url', 2)} || regexp_extract({_path('url')}, '^(.*/)', 1) || j END AS x FROM (SELECT *, {_trim('canonical')} AS j FROM crawl_pages)))""".replace("{u}", f"lower({_part('url', 1)}) || '://' || lower({_part('url', 2)}) || (CASE WHEN regexp_replace({_path('url')}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_path('url')}, '/+$', '') END) || {_part('url', 4)}").replace("{c}", f"lower({_part('x', 1)}) || '://' || lower({_part('x', 2)}) || (CASE WHEN regexp_replace({_path('x')}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_path('x')}, '/+$', '') END) || {_part('x', 4)}"),
 )
+
+
+def _decoded(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+def _attribute(before: str) -> str:
+    """The value behind the given text, null where it isn't there."""
+    return f"CASE WHEN contains(html, '{before}') THEN " + _decoded(f"regexp_extract(html, '{before}([^\"]*)\"', 1)") + " END"
+
+
+def _meta(name: str, by: str = "name") -> str:
+    return _attribute(f'<meta {by}="{name}" content="')
+
+
+def _rel(name: str) -> str:
+    return _attribute(f'<link rel="{name}" href="')
+
+
+def _n_rel(name: str) -> str:
+    return f"len(regexp_extract_all(html, '<link rel=\"{name}\"'))::BIGINT"
+
+
+_BODY = "regexp_replace(regexp_replace(html, '(<script[^>]*>).*?</script>', '\\1x</script>', 'gs'), '<!--.*?-->|<!doctype[^>]*>', '', 'gsi')"
+_TAG = "'<(/?)([a-z][a-z0-9]*)([^>]*)>'"
+_TOKENS = f"""(SELECT run_id, generate_subscripts(t, 1) AS pos, unnest(c) = '/' AS closes, unnest(t) AS tag, unnest(a) AS attrs FROM (SELECT run_id, regexp_extract_all(b, {_TAG}, 1) AS c, regexp_extract_all(b, {_TAG}, 2) AS t,
+    regexp_extract_all(b, {_TAG}, 3) AS a FROM (SELECT run_id, {_BODY} AS b FROM page_runs WHERE length(html) > 0)))"""
+_VOIDS = "'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr'"
+_ELEMENTS = f"""(SELECT run_id, tag, attrs, depth FROM (SELECT *, coalesce(sum(CASE WHEN closes THEN -1 WHEN tag IN ({_VOIDS}) THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM {_TOKENS}) WHERE NOT closes)"""
+_IN = "tag NOT IN ('meta', 'link', 'title', 'base', 'head')"
+
+
+def _cnt(cond: str) -> str:
+    return f"count(*) FILTER ({cond})::BIGINT"
+
+
+def _has(a: str) -> str:
+    return f"regexp_matches(attrs, '\\s{a}(=|\\s|$)')"
+
+
+_OG = {"og:title": "og_title", "og:description": "og_description", "og:image": "og_image", "og:type": "og_type", "article:published_time": "published_time", "article:modified_time": "modified_time"}
+_TITLE = _decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+_LEVELS = ", ".join(_cnt(f"tag = 'h{i}'") + f" AS h{i}_count" for i in range(1, 7))
+_WEBP = r"""regexp_matches(lower(attrs), 'src="[^"]*[.](webp|avif)([?][^"]*)?"')"""
+_sql(
+    dom_metadata=f"""SELECT *, CASE WHEN coalesce(length(title), 0) = 0 THEN 'fail' WHEN length(title) BETWEEN 30 AND 60 THEN 'pass' ELSE 'warn' END AS title_status, CASE WHEN coalesce(length(description), 0) = 0 THEN 'fail' WHEN length(description) BETWEEN 120 AND 160 THEN 'pass' ELSE 'warn' END AS description_status,
+        NOT coalesce(contains(lower(robots), 'noindex'), false) AS "index", NOT coalesce(contains(lower(robots), 'nofollow'), false) AS follow FROM
+        (SELECT run_id, CASE WHEN contains(html, '<title>') THEN trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g'), ' ') END AS title, {_meta('description')} AS description, {_meta('robots')} AS robots, {_rel('canonical')} AS canonical,
+        {', '.join(_meta(k, 'property') + ' AS ' + v for k, v in _OG.items())},
+        {_meta('twitter:card')} AS twitter_card, {_rel('prev')} AS prev, {_rel('next')} AS next, {_rel('amphtml')} AS amp, {_n_rel('preload')} AS preload, {_n_rel('prefetch')} AS prefetch, {_n_rel('dns-prefetch')} AS dns_prefetch, {_n_rel('preconnect')} AS preconnect, '' AS hreflang FROM page_runs WHERE length(html) > 0)""",
+    dom_summary=f"""SELECT e.*, h.first_h1, x.empty_elements, x.links_without_text, x.buttons_without_text, x.empty_headings FROM
+        (SELECT run_id, {_cnt(_IN)} AS total_elements, count(DISTINCT tag) FILTER ({_IN})::BIGINT AS unique_tags, max(depth)::BIGINT AS depth_max, round(avg(depth), 1) AS depth_avg, round(count(*) FILTER (tag = 'div') / greatest(count(*) FILTER ({_IN}), 1)::DOUBLE, 2) AS div_ratio,
+        count(DISTINCT tag) FILTER (tag IN ('header', 'nav', 'main', 'article', 'section', 'aside', 'footer'))::BIGINT AS semantic_score, {_LEVELS}, 0::BIGINT AS repeated_ids,
+        coalesce(array_to_string(list_sort(list(DISTINCT tag) FILTER (tag IN ('font', 'center', 'marquee', 'applet', 'frameset', 'frame', 'strike', 'u'))), ','), '') AS deprecated_tags, {_cnt("regexp_matches(attrs, ' on(click|load|mouseover|mouseout|change|focus|blur)=')")} AS inline_handlers, {_cnt("tag = 'iframe'")} AS iframes,
+        bool_or(tag = 'meta' AND {_has('charset')}) AS has_charset, bool_or(tag = 'meta' AND contains(attrs, 'name="viewport"')) AS has_viewport, bool_or(tag = 'html' AND regexp_matches(attrs, ' lang="[^"]+"')) AS has_lang, {_cnt("tag = 'script' AND contains(attrs, 'application/ld+json')")} AS jsonld_scripts,
+        {_cnt("tag = 'img' AND " + _WEBP)} AS images_modern, bool_or(tag = 'link' AND regexp_matches(attrs, 'rel="([^"]* )?icon( [^"]*)?"')) AS has_favicon, {_cnt("tag = 'img'")} AS images, {_cnt("tag = 'img' AND NOT " + _has('alt'))} AS images_without_alt,
+        {_cnt("tag = 'img' AND NOT (" + _has('width') + ' AND ' + _has('height') + ')')} AS images_without_size, {_cnt("tag = 'img' AND contains(attrs, 'loading=\"lazy\"')")} AS images_lazy, {_cnt("tag = 'a' AND " + _has('href'))} AS links, {_cnt("tag = 'a' AND regexp_matches(lower(attrs), 'href=\"https?://[^/]')")} AS links_absolute,
+        {_cnt("tag = 'a' AND contains(attrs, 'target=\"_blank\"') AND NOT (contains(attrs, 'noopener') AND contains(attrs, 'noreferrer'))")} AS blank_targets_unsafe, {_cnt("tag = 'form'")} AS forms, {_cnt("tag = 'form' AND NOT " + _has('action'))} AS forms_without_action, {_cnt("tag = 'input'")} AS inputs, {_cnt("tag = 'script'")} AS scripts,
+        {_cnt("tag = 'script' AND " + _has('src'))} AS scripts_external, {_cnt("tag = 'script' AND " + _has('defer'))} AS scripts_defer, {_cnt("tag = 'script' AND " + _has('async'))} AS scripts_async, {_cnt(_has('style'))} AS inline_styles, {_cnt("regexp_matches(attrs, ' tabindex=\"[1-9]')")} AS positive_tabindex,
+        sum(len(regexp_extract_all(attrs, ' aria-')))::BIGINT AS aria_attributes FROM {_ELEMENTS} GROUP BY 1) e
+        LEFT JOIN (SELECT run_id, arg_min(text, pos) AS first_h1 FROM {_HEADS} WHERE level = 1 GROUP BY 1) h USING (run_id)
+        JOIN (SELECT run_id, (len(regexp_extract_all(b, '<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)[^>]*>')) + len(regexp_extract_all(b, '<[a-z][^>]*>\\s*</')) - len(regexp_extract_all(b, '<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)[^>]*>\\s*</')))::BIGINT AS empty_elements,
+        len(regexp_extract_all(b, '<a(\\s[^>]*)?>\\s*</a>'))::BIGINT AS links_without_text, len(regexp_extract_all(b, '<button(\\s[^>]*)?>\\s*</button>'))::BIGINT AS buttons_without_text, len(regexp_extract_all(b, '<h[1-6][^>]*>\\s*</h'))::BIGINT AS empty_headings FROM (SELECT run_id, {_BODY} AS b FROM page_runs WHERE length(html) > 0)) x USING (run_id)""",
+    skeleton_counts=f"SELECT run_id, count(*)::BIGINT AS n FROM {_ELEMENTS} WHERE tag NOT IN ('script', 'style', 'noscript', 'svg') GROUP BY 1",
+)
+
+
+# ------------------------------------------------------------------------------------------- verdicts and answers over literal rows
+
+
+@_query
+def core_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the three core metrics are good at their 75th percentile; null without LCP or INP."""
+    rows = [(1, 2500.0, 0.1, 200.0), (2, 2501.0, 0.0, 1.0), (3, None, 0.0, 1.0), (4, 1.0, None, 1.0), (5, 0.0, 0.0, 0.0), (6, 1.0, 0.2, 1.0)]
+    v = spark.createDataFrame(rows, "page_id bigint, lcp double, cls double, inp double")
+    return v.select("page_id", M.core_verdict(F.col("lcp"), F.col("cls"), F.col("inp")).alias("passes"))
+
+
+@_query
+def search_properties(spark: SparkSession, d: str) -> DataFrame:
+    """The property of each address: its domain first, else the longest prefix."""
+    props = spark.createDataFrame([("domain:e.com",), ("https://e.com/blog/",), ("http://f.org/",), ("https://f.org/a/",)], "property string")
+    return M.resolve_property(spark.createDataFrame([("https://shop.e.com/x",), ("https://e.com/blog/1",), ("https://f.org/a/b",), ("https://f.org/c",), ("https://g.net/",)], "url string"), props)
+
+
+@_query
+def landed_inspections(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("u", '{"inspectionResult":{"indexStatusResult":{"verdict":"PASS","userCanonical":"a","googleCanonical":"b"}}}'), ("v", "{}"), ("w", '{"inspectionResult":{}}'), ("x", None)]
+    return A.inspections(spark.createDataFrame(rows, "url string, answer string"), "url", "answer").select("url", "verdict", "coverage", "indexed", "declared", "chosen")
+
+
+@_query
+def landed_sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("u", '{"sitemap":[{"path":"s","errors":"2","contents":[{"submitted":"5","indexed":"3"},{"submitted":"1"}]},{}]}'), ("v", None)]
+    return A.listed_sitemaps(spark.createDataFrame(rows, "url string, answer string"), "url", "answer").select("url", "path", "is_index", "errors", "submitted", "indexed")
+
+
+_sql(
+    core_verdicts="SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, NULL), (4, true), (5, NULL), (6, false)) t(page_id, passes)",
+    search_properties="SELECT * FROM (VALUES ('https://shop.e.com/x', 'domain:e.com'), ('https://e.com/blog/1', 'domain:e.com'), ('https://f.org/a/b', 'https://f.org/a/'), ('https://f.org/c', 'http://f.org/')) t(url, property)",
+    landed_inspections="SELECT * FROM (VALUES ('u', 'PASS', 'Unknown', true, 'a', 'b'), ('w', 'NEUTRAL', 'Unknown', false, NULL, NULL)) t(url, verdict, coverage, indexed, declared, chosen)",
+    landed_sitemaps="SELECT * FROM (VALUES ('u', 's', false, 2::BIGINT, 6::BIGINT, 3::BIGINT), ('u', '', false, 0, 0, 0)) t(url, path, is_index, errors, submitted, indexed)",
+)
