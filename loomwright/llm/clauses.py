@@ -76,6 +76,20 @@ def clause_chars(blocks: list[Block]) -> tuple[int, int]:
     return inside, total
 
 
+def mostly_clauses(blocks: list[Block], share: float, least: int) -> bool:
+    """Whether clauses hold `share` of the running text's characters and `least` characters; no sentence is looked at beyond that."""
+    some = [b for b in blocks if b.kind in ("p", "list", "quote")]
+    need = max(least, share * sum(b.c for b in some))
+    inside = 0
+    for b in some:
+        for s in sentences(b):
+            if is_clause(s):
+                inside += _chars(s)
+                if inside >= need:
+                    return True
+    return False
+
+
 def repeated_chars(text: str, least: int = 3, shortest: int = 1) -> tuple[int, int]:
     """(characters covered by substrings of `shortest` characters or more that occur `least` times or more, characters of all tokens).
 
