@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .urls import trim
@@ -77,15 +79,22 @@ def nearest_rank(xs: Column, p: float) -> Column:
     return F.when(F.size(xs) > 0, F.element_at(s, (F.bround(F.lit(p) * (F.size(xs) - 1), 0).cast("int") + 1)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: functions of arrays aren't shared by the planner."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def guess_language(t: Column) -> Column:
     """The language with the most different frequent words; of equals the first listed."""
-    w = F.array_distinct(tokens(t))
-    n = {k: F.size(F.array_intersect(w, F.array(*map(F.lit, v)))) for k, v in STOP.items()}
-    most = F.greatest(*n.values())
-    out = F.lit("en")
-    for k in reversed(list(STOP)):
-        out = F.when(n[k] == most, F.lit(k)).otherwise(out)
-    return out
+
+    def first(n: Column) -> Column:
+        out = F.lit("en")
+        for k in reversed(list(STOP)):
+            out = F.when(n[k] == F.greatest(*(n[x] for x in STOP)), F.lit(k)).otherwise(out)
+        return out
+
+    counts = let(F.array_distinct(tokens(t)), lambda w: F.struct(*(F.size(F.array_intersect(w, F.array(*map(F.lit, v)))).alias(k) for k, v in STOP.items())))
+    return let(counts, first)
 
 
 def diversity(t: Column) -> Column:
