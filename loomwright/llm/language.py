@@ -5,9 +5,10 @@ character n-grams (1 to 4) predicts it. The classifiers' outputs are decoded by
 has the least sum of logistic losses, weighted by how well each bit is predicted, wins; the margin to the second
 gives the confidence, and a small margin flags the block as ambiguous.
 
-Training: a bounded sample of labelled rows (parameter `sample`, 1,200 by default, the smallest hashes of their ids),
-whose labels may partly be wrong, and a few built-in words of each language, so that no language is without a row.
-Prediction covers all rows in one map-only pass: the n-grams of a whole Arrow batch are hashed at once.
+Training: a first model is fitted on a bounded number of labelled rows (parameter `sample`, 1,200 by default, the smallest hashes of their
+ids), whose labels may partly be wrong, and a few built-in words of each language, so that no language is without a row; one pass over
+all labelled blocks trains it further (see `train_further`).
+Prediction covers all rows in one map-only pass: the n-grams of about 100 texts are hashed at once.
 
 Defined results: null, empty and blank texts and texts without letters have no language; labels are read in any usual
 notation (see `canonical_label`), all others are unknown; a page without a label counts as labelled with null;
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks as B, clauses as C
-from .pages import SPAM_CLAUSES, is_spam, with_marks
+from .pages import FEATURES, OWN_TEXT, SPAM_CLAUSES, _map, can_be_residue, html_bodies, is_spam, linked_residue, with_marks
 from ..session import written
 
 LANGUAGES = ("en", "de", "es", "fr", "pt", "ru", "ja")
@@ -113,34 +114,17 @@ class Model:
 
     def outputs(self, texts: Sequence[str]) -> np.ndarray:
         """The classifiers' outputs for each text, over its whole length."""
-        if not texts:
-            return np.zeros((0, BITS), np.float32)
         out = np.zeros((len(texts), BITS), np.float32)
         a = 0
-        while a < len(texts):  # about 200,000 signs at once
+        while a < len(texts):  # about 200,000 signs at once, and at most 100 texts
             z, size = a, 0
-            while z < len(texts) and (z == a or size + len(texts[z]) < 200_000):
+            while z < len(texts) and z < a + 100 and (z == a or size + len(texts[z]) < 200_000):
                 size += len(texts[z])
                 z += 1
-            out[a:z] = self._outputs(texts[a:z])
+            out[a:z] = features(texts[a:z]) @ self.weights + self.bias
             a = z
         return out
 
-    def _outputs(self, texts: Sequence[str]) -> np.ndarray:
-        # the norm of a text's counts needs them per text: unique pairs of (text, n-gram) of the stretch
-        g, owner, _ = grams(texts)
-        key = (owner[None, :] * BUCKETS + g).ravel()
-        key.sort()
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        counts = np.diff(np.concatenate((starts, [len(key)]))).astype(np.float32)
-        pair = key[starts]
-        text, gram = pair // BUCKETS, pair % BUCKETS
-        first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-        norm = np.sqrt(np.add.reduceat(counts * counts, first))
-        out = np.zeros((len(texts), BITS), np.float32)
-        out[text[first]] = np.add.reduceat(self.weights[gram] * counts[:, None], first, axis=0) / norm[:, None]
-        return out + self.bias
-
     def decode(self, outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, confidence, whether the second is close) of each row of outputs."""
         code = codewords()
@@ -167,8 +151,12 @@ def _fit(x: np.ndarray, y_lang: np.ndarray, rounds: int, rate: float = 0.3, deca
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     right = ((x @ w + b) * y > 0).astype(np.float32)
-    acc = (right * weight).sum(0) / weight.sum()
-    return Model(w, b, (np.log((acc + 1e-3) / (1 - acc + 1e-2))).clip(0.1, 5).astype(np.float32) / 5)
+    return Model(w, b, _bit_weight((right * weight).sum(0) / weight.sum()))
+
+
+def _bit_weight(acc: np.ndarray) -> np.ndarray:
+    """The weight of each bit by the share of rows in which it is predicted right."""
+    return (np.log((acc + 1e-3) / (1 - acc + 1e-2))).clip(0.1, 5).astype(np.float32) / 5
 
 
 def train(texts: Sequence[str], labels: Sequence[str]) -> Model:
@@ -211,48 +199,124 @@ def words_of(text: str) -> float:
     return cjk / 2 + len(B.WORD.findall(B.CJK.sub(" ", text) if cjk else text))
 
 
-SEGMENTS = "block_no int, lang string, confidence double, ambiguous boolean, n_words double, n_chars bigint"
+BATCH = 256  # blocks of one step of the training
 
 
-def segments(df: DataFrame, model: Model, id_col: str, text_col: str, url_col: str, marks_col: str | None = None, own_text: int = 0) -> DataFrame:
-    """(id, block_no, lang, confidence, ambiguous, n_words, n_chars) of every block of running text of each body.
+def train_further(texts: DataFrame, start: Model, pages: dict[str, int], rate: float = 0.02, decay: float = 1e-4) -> Model:
+    """The model after one pass over all labelled blocks (label, text), from a first one.
 
-    marks_col: the marks of the page's html, by which the body is found (see `density`). own_text: pages with fewer characters of
-    sentences, and spam, are left out. Map-only; the model (500 KB, whatever the data) travels with the tasks.
+    Each task goes on from the first model by Adam over its blocks; the tasks' models are averaged by their numbers of blocks, in a tree.
+    Blocks that the first model reads as another language than their label are left out, as in `train`. pages: the pages of each
+    label, by which languages weigh alike. How well each bit is predicted is counted on blocks before they are trained on.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast(start)
+    alike = np.array([sum(pages.values()) / len(LANGUAGES) / max(1, pages.get(k, 0)) for k in LANGUAGES], np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = shared.value
+        w, b = first.weights.copy(), first.bias.copy()
+        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
+        right, total, n, t = np.zeros(BITS), 0.0, 0, 0
+        rest: list[tuple[str, int]] = []
+
+        def step(some: list[tuple[str, int]]) -> None:
+            nonlocal w, b, m, v, mb, vb, right, total, n, t
+            x, lang = features([k for k, _ in some]), np.array([k for _, k in some])
+            keep = first.decode(x @ first.weights + first.bias)[0] == lang
+            if not keep.any():
+                return
+            x, lang = x[keep], lang[keep]
+            y, weight = codewords()[lang], alike[lang][:, None]
+            z = x @ w + b
+            right += ((z * y > 0) * weight).sum(0)
+            total += float(weight.sum())
+            g = -y / (1 + np.exp((y * z).clip(-30, 30))) * weight / BATCH
+            gw, gb = x.T @ g + decay * w, g.sum(0)
+            t += 1
+            m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+            c1, c2 = 1 - 0.9**t, 1 - 0.99**t
+            w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+            b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+            n += len(lang)
+
+        for batch in batches:
+            rest += zip(batch.column(0).to_pylist(), (LANGUAGES.index(k) for k in batch.column(1).to_pylist()))
+            for at in range(0, len(rest) - BATCH + 1, BATCH):
+                step(rest[at : at + BATCH])
+            rest = rest[len(rest) // BATCH * BATCH :]
+        if rest:
+            step(rest)
+        if n:
+            sums = np.concatenate([(w * n).ravel(), b * n, right, [total, n]]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    found = texts.select("text", "label").filter("label is not null").mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r[0])))
+    sums = found.treeAggregate(np.zeros(BUCKETS * BITS + 2 * BITS + 2), lambda x, y: x + y, lambda x, y: x + y)
+    if not sums[-1]:
+        return start
+    w, b, right = np.split(sums[:-2], [BUCKETS * BITS, BUCKETS * BITS + BITS])
+    return Model((w / sums[-1]).reshape(BUCKETS, BITS).astype(np.float32), (b / sums[-1]).astype(np.float32), _bit_weight(right / sums[-2]))
+
+
+DOZEN = 12  # words from which a block without a sentence is running text
+
+
+def read_text(b: B.Block) -> str:
+    """What of a block is read: its sentences by form; all of it where it has none and a dozen words."""
+    text = "\n".join(s for s in C.sentences(b) if C.is_sentence(s))
+    return clean(text or (b.plain if words_of(b.plain) >= DOZEN else ""))
+
+
+TEXTS = [("block_no", pa.int32(), "int"), ("text", pa.string(), "string"), ("n_words", pa.float64(), "double"), ("n_chars", pa.int64(), "bigint"), ("label", pa.string(), "string"), ("open", pa.bool_(), "boolean"), *FEATURES]
+
+
+def page_texts(splits: DataFrame, runs: DataFrame, labels: DataFrame, id_col: str = "run_id") -> DataFrame:
+    """(id, block_no, text, n_words, n_chars, label, open, trusted, segs) of every block of running text of each body; none of spam.
+
+    Pages that can be residue are open; each has a further row without a block_no, with the features by which that is decided.
+    """
+
+    def f(text: str, url: str | None, marks: bytes | None, label: str | None) -> Iterator[tuple]:
+        body = B.body_blocks(text, url, marks)
+        is_open = not C.mostly_clauses(body, SPAM_CLAUSES, OWN_TEXT)
+        if is_open:
+            clauses = C.clause_chars(body)
+            if is_spam(body, clauses):
+                return
+            is_open = clauses[0] < OWN_TEXT
+        if is_open:
+            for features in can_be_residue(body):
+                yield None, None, None, None, label, True, *features
+        for b in body:
+            if running(b) and (plain := read_text(b)):
+                yield b.no, plain, words_of(b.plain), b.c, label, is_open, None, None
+
+    # labels are grouped by id as the marks are, so no text moves once more
+    return _map(with_marks(splits, runs, id_col).join(labels.hint("merge"), id_col, "left"), id_col, ["markdown", "url", "marks", "label"], f, TEXTS)
+
+
+SEGMENTS = "block_no int, lang string, confidence double, ambiguous boolean, n_words double, n_chars bigint"
+
+
+def segments(texts: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """(id, block_no, lang, confidence, ambiguous, n_words, n_chars) of each block (see `page_texts`). Map-only; the model (500 KB, whatever the data) travels with the tasks."""
+    id_type = texts.schema[id_col].dataType.simpleString()
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                take, no, texts, words, chars = [], [], [], [], []
-                for i, (text, url, marks) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
-                    body = B.body_blocks(text, url, marks)
-                    if own_text and not C.mostly_clauses(body, SPAM_CLAUSES, own_text) and ((clauses := C.clause_chars(body))[0] < own_text or is_spam(body, clauses)):
-                        continue
-                    for b in body:
-                        if running(b):
-                            plain = clean("\n".join(s for s in C.sentences(b) if C.is_sentence(s)))
-                            if plain:
-                                take.append(i)
-                                no.append(b.no)
-                                texts.append(plain)
-                                words.append(words_of(b.plain))
-                                chars.append(b.c)
-                best, conf, doubt = model.decode(model.outputs(texts)) if texts else ([], [], [])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(take, pa.int64())), pa.array(no, pa.int32()), pa.array([LANGUAGES[k] for k in best], pa.string()),
-                        pa.array([float(x) for x in conf], pa.float64()), pa.array([bool(x) for x in doubt], pa.bool_()), pa.array(words, pa.float64()), pa.array(chars, pa.int64()),
-                    ],
-                    [id_col, "block_no", "lang", "confidence", "ambiguous", "n_words", "n_chars"],
-                )
-
-    marks = F.col(marks_col) if marks_col else F.lit(None).cast("binary")
-    return df.select(id_col, text_col, url_col, marks.alias("_marks")).mapInArrow(run, f"`{id_col}` {id_type}, {SEGMENTS}")
+        for batch in batches:
+            best, conf, doubt = model.decode(model.outputs(batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array([LANGUAGES[k] for k in best], pa.string()),
+                    pa.array(conf, pa.float64()), pa.array(doubt, pa.bool_()), batch.column(3), batch.column(4),
+                ],
+                [id_col, "block_no", "lang", "confidence", "ambiguous", "n_words", "n_chars"],
+            )
+
+    return texts.select(id_col, "block_no", "text", "n_words", "n_chars").mapInArrow(run, f"`{id_col}` {id_type}, {SEGMENTS}")
 
 
 def document_languages(seg: DataFrame, id_col: str) -> DataFrame:
@@ -274,20 +338,23 @@ def latest_labels(analysis: DataFrame) -> DataFrame:
     return analysis.groupBy("run_id").agg(F.max_by("detected_language", F.struct("analysed_at", "loaded_at")).alias("label"))
 
 
-OWN_TEXT = 120  # characters of sentences from which a page has running text of its own
-
-
 def page_segments(splits: DataFrame, runs: DataFrame, analysis: DataFrame, sample: int = 1200) -> DataFrame:
-    """The segments of all pages with a markdown, by a model trained on their labels; pages of spam and without running text are left out.
+    """The segments of all pages with a markdown and running text but spam (p3) and residue (p4), by a model trained on all of their labels.
 
-    Written once, so that several readers don't judge the blocks again.
+    The first model is fitted on `sample` labelled rows, then trained further on every labelled block. Texts are cut out of the bodies once and
+    written, for residue, training and prediction; the segments are written, so that several readers don't judge the blocks again.
     """
-    labels = latest_labels(analysis)
-    # the sample is drawn from the labels alone; its at most `sample` rows are broadcast, so no text is shuffled for it
-    some = labels.filter(canonical_column(F.col("label")).isNotNull()).orderBy(F.xxhash64("run_id")).limit(sample)
-    model = train_on(splits.select("run_id", "markdown").join(F.broadcast(some), "run_id"), "run_id", "markdown", "label", sample)
-    seg = segments(with_marks(splits, runs), model, "run_id", "markdown", "url", "marks", OWN_TEXT)
-    return written(seg.dropDuplicates(["run_id", "block_no"]), "segments")
+    labels = latest_labels(analysis).select("run_id", canonical_column(F.col("label")).alias("label")).filter("label is not null")
+    texts = written(page_texts(splits, runs, labels), "texts")
+    features = texts.filter("block_no is null").select("run_id", "trusted", "segs")
+    residue = written(linked_residue(features.unionByName(html_bodies(splits, runs, can_be_residue, FEATURES))).select("run_id"), "residue")
+    blocks = texts.filter("block_no is not null").drop("trusted", "segs")
+    blocks = blocks.filter("not open").unionByName(blocks.filter("open").join(residue, "run_id", "left_anti"))
+    # the first rows are drawn from the labels alone; they are at most `sample` and broadcast, so no text is shuffled for them
+    some = labels.orderBy(F.xxhash64("run_id")).limit(sample)
+    start = train_on(splits.select("run_id", "markdown").join(F.broadcast(some), "run_id"), "run_id", "markdown", "label", sample)
+    model = train_further(blocks, start, {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()})
+    return written(segments(blocks, model, "run_id").dropDuplicates(["run_id", "block_no"]), "segments")
 
 
 def wrong_languages(splits: DataFrame, runs: DataFrame, analysis: DataFrame, sample: int = 1200, least_words: int = 12, least_confidence: float = 0.8) -> DataFrame:

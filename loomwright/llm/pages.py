@@ -90,16 +90,22 @@ def html_only(splits: DataFrame, runs: DataFrame, id_col: str = "run_id") -> Dat
     return with_html.select(id_col, "html", "url").join(F.broadcast(ids) if few else ids, id_col, "left_semi")
 
 
+def html_bodies(splits: DataFrame, runs: DataFrame, f: Callable[[list[B.Block]], Iterator[tuple]], out: Sequence[tuple[str, pa.DataType, str]], id_col: str = "run_id") -> DataFrame:
+    """f(blocks of the body) of every page whose markdown is null, of its html."""
+
+    def html(text: str, url: str | None) -> Iterator[tuple]:
+        return f(B.body_blocks(B.html_markdown(text), url, html_marks(text)))
+
+    return _map(html_only(splits, runs, id_col), id_col, ["html", "url"], html, out)
+
+
 def each_body(splits: DataFrame, runs: DataFrame, f: Callable[[list[B.Block]], Iterator[tuple]], out: Sequence[tuple[str, pa.DataType, str]], id_col: str = "run_id") -> DataFrame:
     """f(blocks of the body) of every page: of its markdown, or of its html where that is null."""
 
     def md(text: str, url: str | None, marks: bytes | None) -> Iterator[tuple]:
         return f(B.body_blocks(text, url, marks))
 
-    def html(text: str, url: str | None) -> Iterator[tuple]:
-        return f(B.body_blocks(B.html_markdown(text), url, html_marks(text)))
-
-    return _map(with_marks(splits, runs, id_col), id_col, ["markdown", "url", "marks"], md, out).unionByName(_map(html_only(splits, runs, id_col), id_col, ["html", "url"], html, out))
+    return _map(with_marks(splits, runs, id_col), id_col, ["markdown", "url", "marks"], md, out).unionByName(html_bodies(splits, runs, f, out, id_col))
 
 
 # ------------------------------------------------------------------------------------------- main content
@@ -210,23 +216,25 @@ def segments_of(blocks: list[B.Block]) -> dict[str, list[str]]:
     return out
 
 
-def residue_features(splits: DataFrame, runs: DataFrame, id_col: str = "run_id") -> DataFrame:
-    """(id, trusted, segs) of the pages that can be residue: all but those with a full text of their own and spam, which by definition are none."""
+def can_be_residue(body: list[B.Block]) -> Iterator[tuple]:
+    """(trusted, segs) of a body that can be residue; nothing for one with a full text of its own and spam, which by definition are none."""
 
     def h64(x: str) -> int:
         return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
 
-    def f(body: list[B.Block]) -> Iterator[tuple]:
-        if not body or (clauses := C.clause_chars(body))[0] >= OWN_TEXT or is_spam(body, clauses):
-            return
-        segs = []
-        for text, words in sorted(segments_of(body).items()):
-            shingles = shingle_hashes(words)
-            # words and shingles vote together, so that one changed word moves few bits
-            segs.append({"g": _signed(h64(text)), "simhash": _signed(simhash([*map(h64, words), *shingles])), "shingles": sorted(map(_signed, shingles))})
-        yield R.is_residue(body, OWN_TEXT), segs
+    if not body or (clauses := C.clause_chars(body))[0] >= OWN_TEXT or is_spam(body, clauses):
+        return
+    segs = []
+    for text, words in sorted(segments_of(body).items()):
+        shingles = shingle_hashes(words)
+        # words and shingles vote together, so that one changed word moves few bits
+        segs.append({"g": _signed(h64(text)), "simhash": _signed(simhash([*map(h64, words), *shingles])), "shingles": sorted(map(_signed, shingles))})
+    yield R.is_residue(body, OWN_TEXT), segs
 
-    return each_body(splits, runs, f, FEATURES, id_col)
+
+def residue_features(splits: DataFrame, runs: DataFrame, id_col: str = "run_id") -> DataFrame:
+    """(id, trusted, segs) of the pages that can be residue, see `can_be_residue`."""
+    return each_body(splits, runs, can_be_residue, FEATURES, id_col)
 
 
 def near_pairs(reps: DataFrame) -> DataFrame:
@@ -288,7 +296,12 @@ def residue_pages(splits: DataFrame, runs: DataFrame, id_col: str = "run_id", sa
     Scale: texts are collapsed into classes of equal sentences first; a page's links form a star around its first
     sentence, so their number is that of the sentences.
     """
-    feats = cut(residue_features(splits, runs, id_col).dropDuplicates([id_col]).withColumn("gs", F.array_sort(F.transform("segs", lambda x: x["g"]))))
+    return linked_residue(residue_features(splits, runs, id_col), id_col, salts)
+
+
+def linked_residue(features: DataFrame, id_col: str = "run_id", salts: int = 16) -> DataFrame:
+    """The same from the pages' features (see `can_be_residue`)."""
+    feats = cut(features.dropDuplicates([id_col]).withColumn("gs", F.array_sort(F.transform("segs", lambda x: x["g"]))))
     keyed = feats.withColumn("k1", F.xxhash64("gs")).withColumn("k2", F.xxhash64(F.lit(7), "gs"))
     # pages without a sentence are classes of their own
     keyed = keyed.withColumn("k2", F.when(F.size("gs") > 0, F.col("k2")).otherwise(F.xxhash64(id_col)))

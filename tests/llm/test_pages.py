@@ -255,6 +255,40 @@ def test_wrong_labels_and_other_blocks(labelled):
     assert L.wrong_languages(s.limit(0), h, a.limit(0)).count() == 0
 
 
+def test_short_pages_and_blocks_without_a_sentence_are_judged_but_no_residue(spark):
+    short = "Nuestro vecino repara esta semana el reloj viejo del pueblo."  # under 120 characters
+    es = "El taller apoya una garantía más larga para toda la familia cerca del pueblo, con mucho cuidado y sin prisa"  # no end
+    mixed = f"# T\n\n{EN}\n\n{EN}\n\n{es}\n\n" + "Hoy llueve mucho. Nadie sale fuera. El perro ladra. La puerta queda cerrada."  # no sentence of five words
+    shown = "Sorry, the page you are looking for could not be found. You may have followed a broken link from another site, or it was taken down by the owner of that site."
+    full = [f"# T\n\n{x} {i}.\n\n{x}" for i in range(4) for x in (EN, es + ".")]
+    s, h = frames(spark, [f"# T\n\n{short}", mixed, f"# 404 Page not found\n\n{shown}", f"# Nothing here\n\n{shown}", "Only five words.", *full])
+    assert C.clause_chars(B.parse(shown))[0] >= 120
+    a = spark.createDataFrame([(1, "en", 1, 1), *[(5 + i, "es" if i % 2 else "en", 1, 1) for i in range(8)]], "run_id bigint, detected_language string, analysed_at bigint, loaded_at bigint")
+    # the third page shows an error's code, the fourth has its sentences: both are residue, whatever the length
+    assert {x.run_id for x in P.residue_pages(s, h).collect()} == {2, 3}
+    assert {r.run_id: r.lang for r in L.document_languages(L.page_segments(s, h, a), "run_id").collect()} == {0: "es", 1: "en", **{5 + i: "es" if i % 2 else "en" for i in range(8)}}
+    assert {(r.run_id, r.block_no, r.lang) for r in L.wrong_languages(s, h, a).collect()} == {(0, -1, "es"), (1, 3, "es"), (1, 4, "es")}
+
+
+def test_every_labelled_block_takes_part_in_the_training(spark, monkeypatch):
+    start = L.train([], [])  # the built-in words alone
+    rows = [(f"der {x} und die {x} sind nicht mit dem {x} {i % 7}", "de") for i, x in enumerate(["qyxvo wyqqa", "xoqwy qaxxu"] * 3000)] + [(f"the {x} and the {x} of that {x} are with them", "en") for x in ["river", "winter"] * 3000]
+    texts = spark.createDataFrame([*rows, ("ohne label", None)], "text string, label string").repartition(3)
+    model = L.train_further(texts, start, {"de": 6000, "en": 6000})
+    new = ["qyxvo wyqqa", "xoqwy qaxxu"]
+    (was, _, doubt), (got, conf, _) = start.decode(start.outputs(new)), model.decode(model.outputs(new))
+    assert [L.LANGUAGES[k] for k in got] == ["de", "de"] and (conf > 0.8).all() and (([L.LANGUAGES[k] != "de" for k in was]) | doubt).any()
+    # without a labelled text the first model stays
+    assert np.array_equal(L.train_further(texts.filter("label is null"), start, {}).weights, start.weights)
+    # a page's texts beyond the first model's rows reach the training
+    s, h = frames(spark, [f"# T\n\n{EN}\n\n{EN}"] * 9)
+    a = spark.createDataFrame([(i, "en", 1, 1) for i in range(9)], "run_id bigint, detected_language string, analysed_at bigint, loaded_at bigint")
+    seen = []
+    monkeypatch.setattr(L, "train_further", lambda texts, first, pages: (seen.append((texts.filter("label is not null").count(), pages)), first)[1])
+    L.page_segments(s, h, a, sample=2)
+    assert seen == [(18, {"en": 9})]
+
+
 def test_each_page_and_block_has_a_language(labelled):
     s, h, a = labelled
     seg = L.page_segments(s, h, a)
