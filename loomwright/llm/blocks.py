@@ -22,10 +22,12 @@ from .density import DENSE, INSIDE, THIN, TOKEN, composite, html_marks, mark_of,
 LINE_END = re.compile(r"\r\n|\n|\r")
 LINK = re.compile(r"(!?)\[([^\[\]]*)\]\(([^()\s]*)[^()]*\)")
 ITEM = re.compile(r"[ \t]*(?:[*+-]|\d{1,4}[.)])[ \t]+")
+LEAD = re.compile(r"[\s>#]*(?:[*+-]\s+|\d{1,4}[.)]\s+)?")
 RULE = re.compile(r"[ \t]*(?:[-*_][ \t]*){3,}$")
 SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]+[\"'”»«“)\]]*|[^.!?。！？]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+CJK_LEADS = bytes(range(0xE3, 0xEA))  # first bytes of such signs in UTF-8
 
 # Cues by which a reader knows furniture, in the seven languages of the corpus, in lower case. Fixed values.
 CONSENT = (
@@ -93,7 +95,7 @@ def split_blocks(text: str | None) -> list[list[str]]:
     """Runs of lines that aren't blank; none for a null, empty or blank text."""
     out: list[list[str]] = []
     cur: list[str] = []
-    for line in LINE_END.split(text or ""):
+    for line in LINE_END.split(text) if text and "\r" in text else (text or "").split("\n"):
         if line.strip():
             cur.append(line)
         elif cur:
@@ -119,6 +121,14 @@ def _own(target: str, host: str) -> bool:
     return target[:1] in "/#?" and target[:2] != "//" or target == "" or bool(host) and f"//{host}" in target.lower()
 
 
+def cjk_chars(text: str) -> int:
+    """The number of CJK's signs."""
+    if text.isascii():
+        return 0
+    data = text.encode("utf-8", "surrogatepass")
+    return len(CJK.findall(text)) if len(data.translate(None, CJK_LEADS)) < len(data) else 0
+
+
 def _chars(text: str) -> int:
     return len("".join(text.split()))
 
@@ -131,7 +141,7 @@ def parse(text: str | None, url: str | None = None) -> list[Block]:
     for no, lines in enumerate(split_blocks(text)):
         b = Block(no, "\n".join(lines), lines)
         first = lines[0].lstrip()
-        ticks = sum(x.lstrip().startswith(("```", "~~~")) for x in lines)
+        ticks = sum(x.lstrip().startswith(("```", "~~~")) for x in lines) if "```" in b.text or "~~~" in b.text else 0
         if fence or ticks:
             b.kind = "code"
             fence = bool(ticks % 2) != fence
@@ -162,25 +172,35 @@ def parse(text: str | None, url: str | None = None) -> list[Block]:
                         b.own += max(n, 1)
             plain = LINK.sub(lambda m: m[2], plain)
         if b.kind in ("list", "h", "quote"):
-            plain = "\n".join(re.sub(r"^[\s>#]*(?:[*+-]\s+|\d{1,4}[.)]\s+)?", "", x) for x in plain.split("\n"))
+            plain = "\n".join(x[LEAD.match(x).end() :] for x in plain.split("\n"))
         b.plain = plain.strip()
         b.c = _chars(b.plain)
         out.append(b)
     return out
 
 
+def _totals(blocks: list[Block]) -> tuple[int, int, int, int]:
+    c = t = lc = lt = 0
+    for b in blocks:
+        c += b.c
+        t += b.t
+        lc += b.lc
+        lt += b.lt
+    return c, t, lc, lt
+
+
 def densities(blocks: list[Block]) -> float:
     """Fills in each block's density; the threshold of the path to the section of the largest density sum, over the markdown's own tree."""
     starts = sorted({0, *(i for i, b in enumerate(blocks) if b.kind == "h")})
     spans = [(a, z) for a, z in zip(starts, [*starts[1:], len(blocks)]) if z > a]
-    c, t, lc, lt = (sum(getattr(b, k) for b in blocks) for k in ("c", "t", "lc", "lt"))
+    c, t, lc, lt = _totals(blocks)
     for b in blocks:
         b.density = composite(b.c, b.t, b.lc, b.lt, c, lc)
     if not spans:
         return 0.0
     best = max(range(len(spans)), key=lambda i: (sum(b.density for b in blocks[spans[i][0] : spans[i][1]]), -i))
     own = blocks[spans[best][0] : spans[best][1]]
-    return min(composite(c, t + len(spans) + 1, lc, lt, c, lc), composite(*(sum(getattr(b, k) for b in own) for k in ("c", "t", "lc", "lt")), c, lc))
+    return min(composite(c, t + len(spans) + 1, lc, lt, c, lc), composite(*_totals(own), c, lc))
 
 
 MARKED = re.compile(r"[.!?。！？:;,、|{}\[\]<>%$@_=]\s*$|[{}<>=@$]|__|%\w+%")
@@ -233,11 +253,11 @@ def mark_body(blocks: list[Block], url: str | None = None, data: bytes | None =
     """Sets ``body`` of each block; data are the marks of the page's html (see `density.html_marks`), empty without one."""
     marks = read_marks(data)
     found = _between(blocks, [block_mark(b, marks) for b in blocks]) if marks else [DENSE] * len(blocks)
+    title = next((i for i, b in enumerate(blocks) if b.kind == "h" and b.level == 1 and found[i] == INSIDE), 0)
     if DENSE in found:
-        checked(blocks, url)
+        checked(blocks, url, [m == DENSE and i >= title for i, m in enumerate(found)])
     if not marks:
         return blocks
-    title = next((i for i, b in enumerate(blocks) if b.kind == "h" and b.level == 1 and found[i] == INSIDE), 0)
     for i, (b, m) in enumerate(zip(blocks, found)):
         if m == INSIDE:
             b.body = not own_links(b)
@@ -251,8 +271,8 @@ def own_links(b: Block) -> bool:
     return bool(b.lc) and b.own * 2 >= b.lc and (b.own * 2 >= b.c or is_teaser(b))
 
 
-def checked(blocks: list[Block], url: str | None = None) -> list[Block]:
-    """Sets ``body`` of each block by the check alone."""
+def checked(blocks: list[Block], url: str | None = None, asked: list[bool] | None = None) -> list[Block]:
+    """Sets ``body`` of each block by the check alone; of those that aren't asked for (by default all are) only as far as it decides on later ones."""
     threshold = densities(blocks)
     site = site_label(url)
     title = next((i for i, b in enumerate(blocks) if b.kind == "h" and b.level == 1), -1)
@@ -266,6 +286,8 @@ def checked(blocks: list[Block], url: str | None = None) -> list[Block]:
             related = related and b.kind in ("image", "rule")
             b.body = b.kind == "rule" and not related or b.kind != "rule"
             continue
+        if not related and asked and not asked[i]:
+            continue  # no list of links is open, and this block opens none
         lines = b.plain.split("\n")
         low = b.plain.lower()
         if own_links(b):

@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 from itertools import accumulate, count
 
-from .blocks import CJK, LINK, Block, _chars
+from .blocks import LINK, Block, _chars, cjk_chars
 
 # Frequent function words of the languages of the corpus, without those that also bind nouns in product names. Fixed values.
 FUNCTION = frozenset(
@@ -39,13 +39,20 @@ def is_clause(s: str) -> bool:
     s = s.strip().rstrip("\"'”»«“)]*_ ")
     if len(s) < 12 or s[-1] not in ".!?。！？":
         return False
-    if len(CJK.findall(s)) * 2 >= len(s):
+    plain = s.isascii()
+    if cjk_chars(s) * 2 >= len(s):
         return len(s) >= 12 and len(KANA_PARTICLE.findall(s)) >= 2
-    words = s.lower().replace("’", " ").replace("'", " ").replace("«", " ").replace("“", " ").split()
+    low = s.lower()
+    words = (low if plain else low.replace("’", " ").replace("«", " ").replace("“", " ")).replace("'", " ").split()
     if len(words) < 5 or DIGIT.search(s) and sum(bool(DIGIT.search(w)) for w in words) * 5 > len(words):
         return False
-    n = sum(w.strip(".,!?;:()") in FUNCTION for w in words)
-    return n >= 2 or bool(VERB_RU.search(s.lower()))
+    n = 0
+    for w in words:
+        if w.strip(".,!?;:()") in FUNCTION:
+            n += 1
+            if n == 2:
+                return True
+    return not plain and bool(VERB_RU.search(low))
 
 
 def is_sentence(s: str) -> bool:
@@ -53,10 +60,10 @@ def is_sentence(s: str) -> bool:
     s = s.strip().rstrip("\"'”»«“)]*_ ")
     if len(s) < 12 or s[-1] not in ".!?。！？":
         return False
-    if len(CJK.findall(s)) * 2 >= len(s):
+    if cjk_chars(s) * 2 >= len(s):
         return True
     words = s.split()
-    return len(words) >= 5 and sum(bool(DIGIT.search(w)) for w in words) * 5 <= len(words)
+    return len(words) >= 5 and (not DIGIT.search(s) or sum(bool(DIGIT.search(w)) for w in words) * 5 <= len(words))
 
 
 def sentences(b: Block) -> list[str]:

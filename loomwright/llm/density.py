@@ -24,6 +24,7 @@ import html as _html
 import math
 import re
 from array import array
+from itertools import zip_longest
 
 import xxhash
 
@@ -33,7 +34,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SRC = re.compile(r"""\bsrc\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-LETTERS = re.compile(r"[\W_]+")
+BARE = bytes(i for i in range(128) if not chr(i).isalnum())  # signs of ASCII that aren't letters or digits
+OTHER = re.compile(r"[^\w\x00-\x7f]+")  # and those beyond it
 
 
 def composite(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> float:
@@ -41,14 +43,19 @@ def composite(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> fl
     if c <= 0:
         return 0.0
     lc_, lt_, t_ = lc or 1, lt or 1, t or 1
-    base = math.log(c / max(c - lc, 1) * lc + body_lc / max(body_c, 1) * c + math.e)
-    return c / t_ * max(0.0, math.log(max(c / lc_ * t_ / lt_, 1.0)) / max(base, 1.0))
+    ratio = c / lc_ * t_ / lt_
+    if ratio <= 1.0:
+        return 0.0
+    base = math.log(c / (c - lc if c > lc else 1) * lc + body_lc / (body_c or 1) * c + math.e)
+    return c / t_ * (math.log(ratio) / (base if base > 1.0 else 1.0))
 
 
 def text_key(text: str) -> int:
     """64 bits of a piece's letters and digits, case dropped; 0 where it has none."""
-    s = LETTERS.sub("", text.lower())
-    return _signed(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))) or 4 if s else 0
+    data = text.lower().encode("utf-8", "surrogatepass").translate(None, BARE)
+    if not data.isascii() and not (s := data.decode("utf-8", "surrogatepass")).isalnum():
+        data = OTHER.sub("", s).encode("utf-8", "surrogatepass")
+    return _signed(xxhash.xxh3_64_intdigest(data)) or 4 if data else 0
 
 
 def _signed(x: int) -> int:
@@ -67,82 +74,73 @@ class Tree:
         self.pieces: list[tuple[int, int]] = []  # (node, key)
         self.title = -1  # the first heading of the first level
 
-    def add(self, parent: int, tag: str, attributes: str = "") -> int:
-        self.parent.append(parent)
-        self.sign.append(attributes)
-        self.tag.append(tag)
-        self.c.append(0)
-        self.t.append(1)
-        self.lc.append(0)
-        self.lt.append(0)
-        return len(self.parent) - 1
-
 
 def html_tree(text: str) -> Tree:
     """The node tree of an html; scripts, styles, the head and noscript are left out."""
     tree = Tree()
-    stack, links = [0], 0
+    parent, tags, signs, pieces = tree.parent, tree.tag, tree.sign, tree.pieces
+    stack, names, links = [0], ["body"], 0  # the open nodes and their tags
     words: list[str] = []  # of the piece that is open
 
     def flush() -> None:
-        if words:
-            key = text_key("".join(words))
-            words.clear()
-            if key:
-                tree.pieces.append((stack[-1] if tree.tag[stack[-1]] not in INLINE else next((i for i in reversed(stack) if tree.tag[i] not in INLINE), 0), key))
-
-    def put(s: str) -> None:
-        if s.isspace():
-            words.append(" ")
-            return
-        if "&" in s:
-            s = _html.unescape(s)
-        words.append(s)
-        n = len("".join(s.split()))
-        tree.c[stack[-1]] += n
-        if links:
-            tree.lc[stack[-1]] += n
-
-    pos = 0
-    for m in TOKEN.finditer(text):
-        if m.start() > pos:
-            put(text[pos : m.start()])
-        pos = m.end()
-        tag = m[3]
+        key = text_key("".join(words))
+        words.clear()
+        if key:
+            pieces.append((stack[-1] if names[-1] not in INLINE else next((i for i, x in zip(reversed(stack), reversed(names)) if x not in INLINE), 0), key))
+
+    # pieces of text, and between them the groups of what TOKEN matches
+    parts = TOKEN.split(text)
+    n_groups = TOKEN.groups + 1
+    c = [0] * (len(parts) // n_groups + 1)  # there is at most a node for each match
+    lc = c.copy()
+    for s, closing, tag, attributes in zip_longest(parts[::n_groups], parts[2::n_groups], parts[3::n_groups], parts[4::n_groups]):
+        if s and not s.isspace():
+            if "&" in s:
+                s = _html.unescape(s)
+            words.append(s)
+            n = len("".join(s.split()))
+            c[stack[-1]] += n
+            if links:
+                lc[stack[-1]] += n
         if not tag:
             continue
         tag = tag.lower()
         if tag in ("html", "body"):
             continue
-        if m[2]:
-            if tag not in INLINE:
-                flush()
+        if words and tag not in INLINE:
+            flush()
+        if closing:
             if tag in VOID:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == tag:
-                    for i in stack[k:]:
-                        links -= tree.tag[i] == "a"
-                    del stack[k:]
-                    break
+            if names[-1] == tag:
+                links -= tag == "a"
+                stack.pop()
+                names.pop()
+            elif tag in names:
+                k = len(names) - 1
+                while names[k] != tag:
+                    k -= 1
+                links -= names[k:].count("a")
+                del stack[k:], names[k:]
             continue
-        if tag not in INLINE:
-            flush()
-        node = tree.add(stack[-1], tag, m[4])
+        node = len(parent)
+        parent.append(stack[-1])
+        signs.append(attributes)
+        tags.append(tag)
         if tag == "img":
-            s = SRC.search(m[4] or "")
-            if s and (key := text_key("img " + _html.unescape(s[1].strip("\"'")))):
-                tree.pieces.append((node, key))
-        if tag == "h1" and tree.title < 0:
+            m = SRC.search(attributes or "")
+            if m and (key := text_key("img " + _html.unescape(m[1].strip("\"'")))):
+                pieces.append((node, key))
+        elif tag == "h1" and tree.title < 0:
             tree.title = node
-        if tag == "a":
-            tree.lt[node] += 1
-        if tag not in VOID and not (m[4] or "").endswith("/"):
+        if tag not in VOID and not (attributes or "").endswith("/"):
             stack.append(node)
+            names.append(tag)
             links += tag == "a"
-    if pos < len(text):
-        put(text[pos:])
-    flush()
+    if words:
+        flush()
+    tree.c, tree.lc = c[: len(parent)], lc[: len(parent)]
+    tree.t, tree.lt = [0] + [1] * (len(parent) - 1), [int(x == "a") for x in tags]
     return _summed(tree)
 
 

@@ -46,7 +46,8 @@ SEEDS = {
     "ja": "これ それ です ます した して いる ある こと ため から まで など として という では ません でした について によって",
 }
 BUCKETS, BITS = 1 << 13, 15
-LETTERS = re.compile(r"[^\w\s]|[\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
+ASCII = "".join(chr(i).lower() if LETTERS.match(chr(i)) else " " for i in range(128))  # the same for texts of ASCII, in lower case
 
 
 def codewords() -> np.ndarray:
@@ -76,34 +77,61 @@ def canonical_column(label: Column) -> Column:
 
 def clean(text: str) -> str:
     """Lower-case letters; everything else is one blank. Links and their addresses, names in quotes stay out."""
-    return " ".join(LETTERS.sub(" ", (B.LINK.sub(" ", text) if "](" in text else text).lower()).split())
+    if "](" in text:
+        text = B.LINK.sub(" ", text)
+    return " ".join(text.translate(ASCII).split() if text.isascii() else LETTERS.findall(text)).lower()
 
 
 def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashed n-grams of all texts, the text of each, number of each text)."""
     # four blanks between texts: no n-gram reaches into the next one
     code = np.frombuffer((" " + "    ".join(texts) + "        ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    every = np.repeat(np.arange(len(texts)), lengths + 4)
-    inside = np.arange(len(every)) - np.repeat(np.concatenate(([0], np.cumsum(lengths + 4)[:-1])), lengths + 4) <= lengths[every]
-    owner, n = every[inside], len(every)
-    out = []
-    h = np.zeros(n, np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths + 4)
+    n = int(ends[-1]) if len(texts) else 0
+    inside = np.ones(n, bool)
+    for k in (1, 2, 3):
+        inside[ends - k] = False
+    inside = np.flatnonzero(inside)
+    out = np.empty((4, len(inside)), np.int64)
+    h, m = np.zeros(n, np.uint64), np.empty(n, np.uint64)
     for k in range(4):
-        h = h * np.uint64(0x100000001B3) + code[k : k + n] + np.uint64(k + 1)
-        m = h ^ (h >> np.uint64(31))
-        out.append(((m * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)).astype(np.int64)[inside])
-    return np.stack(out), owner, lengths
+        h *= np.uint64(0x100000001B3)
+        h += code[k : k + n]
+        h += np.uint64(k + 1)
+        np.right_shift(h, np.uint64(31), out=m)
+        m ^= h
+        m *= np.uint64(0x9E3779B97F4A7C15)
+        m >>= np.uint64(51)
+        np.take(m.view(np.int64), inside, out=out[k], mode="clip")
+    return out, np.repeat(np.arange(len(texts)), lengths + 1), lengths
+
+
+SOME = 64  # texts whose n-grams are counted at once
+
+
+def counts(texts: Sequence[str], into: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams' counts, one row for each text, and the rows' lengths; in the first rows of `into`, where that is given."""
+    x = np.empty((len(texts), BUCKETS), np.float32) if into is None else into[: len(texts)]
+    norms = np.empty((len(texts), 1), np.float32)
+    for a in range(0, len(texts), SOME):
+        some = x[a : a + SOME]
+        g, owner, _ = grams(texts[a : a + SOME])
+        g += owner * BUCKETS
+        if g.size < 1 << 24:  # up to there, counts of 32 bits are exact
+            some.fill(0)
+            np.add.at(some.reshape(-1), g.ravel(), np.float32(1))
+        else:
+            some[:] = np.bincount(g.ravel(), minlength=some.size).reshape(some.shape)
+        norms[a : a + SOME, 0] = np.sqrt(np.einsum("ij,ij->i", some, some))
+    return x, np.maximum(norms, np.float32(1e-9))
 
 
 def features(texts: Sequence[str]) -> np.ndarray:
     """The n-grams' counts of unit length, one row for each text."""
-    x = np.zeros((len(texts), BUCKETS), np.float32)
-    for a in range(0, len(texts), 100):
-        some = texts[a : a + 100]
-        g, owner, _ = grams(some)
-        x[a : a + 100] = np.bincount((owner[None, :] * BUCKETS + g).ravel(), minlength=len(some) * BUCKETS).reshape(len(some), BUCKETS)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x, norms = counts(texts)
+    x /= norms
+    return x
 
 
 @dataclass
@@ -115,13 +143,15 @@ class Model:
     def outputs(self, texts: Sequence[str]) -> np.ndarray:
         """The classifiers' outputs for each text, over its whole length."""
         out = np.zeros((len(texts), BITS), np.float32)
+        x = np.empty((min(SOME, len(texts)), BUCKETS), np.float32)
         a = 0
-        while a < len(texts):  # about 200,000 signs at once, and at most 100 texts
+        while a < len(texts):  # about 200,000 signs at once, and at most SOME texts
             z, size = a, 0
-            while z < len(texts) and z < a + 100 and (z == a or size + len(texts[z]) < 200_000):
+            while z < len(texts) and z < a + SOME and (z == a or size + len(texts[z]) < 200_000):
                 size += len(texts[z])
                 z += 1
-            out[a:z] = features(texts[a:z]) @ self.weights + self.bias
+            some, norms = counts(texts[a:z], x)
+            out[a:z] = some @ self.weights / norms + self.bias
             a = z
         return out
 
@@ -195,7 +225,9 @@ def train_on(df: DataFrame, id_col: str, text_col: str, label_col: str, sample:
 
 def words_of(text: str) -> float:
     """Words of a text; a Japanese sign counts as half a word."""
-    cjk = 0 if text.isascii() else len(B.CJK.findall(text))
+    if text.isascii() and "'" not in text and "-" not in text:  # each run of letters is a word
+        return float(len(text.translate(ASCII).split()))
+    cjk = B.cjk_chars(text)
     return cjk / 2 + len(B.WORD.findall(B.CJK.sub(" ", text) if cjk else text))
 
 
@@ -214,31 +246,33 @@ def train_further(texts: DataFrame, start: Model, pages: dict[str, int], rate: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = shared.value
-        w, b = first.weights.copy(), first.bias.copy()
+        fixed = np.pad(first.weights, ((0, 0), (0, 1)))  # with a column of zeros more: products of 16 columns are faster than of 15
+        w, b = fixed.copy(), first.bias.copy()
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
+        space = np.empty((BATCH, BUCKETS), np.float32)  # one for all steps
         right, total, n, t = np.zeros(BITS), 0.0, 0, 0
         rest: list[tuple[str, int]] = []
 
         def step(some: list[tuple[str, int]]) -> None:
             nonlocal w, b, m, v, mb, vb, right, total, n, t
-            x, lang = features([k for k, _ in some]), np.array([k for _, k in some])
-            keep = first.decode(x @ first.weights + first.bias)[0] == lang
+            (x, norms), lang = counts([k for k, _ in some], space), np.array([k for _, k in some])
+            keep = first.decode((x @ fixed / norms)[:, :BITS] + first.bias)[0] == lang
             if not keep.any():
                 return
-            x, lang = x[keep], lang[keep]
-            y, weight = codewords()[lang], alike[lang][:, None]
-            z = x @ w + b
+            # rows that are left out weigh nothing
+            y, weight = codewords()[lang], np.where(keep, alike[lang], np.float32(0))[:, None]
+            z = (x @ w / norms)[:, :BITS] + b
             right += ((z * y > 0) * weight).sum(0)
             total += float(weight.sum())
             g = -y / (1 + np.exp((y * z).clip(-30, 30))) * weight / BATCH
-            gw, gb = x.T @ g + decay * w, g.sum(0)
+            gw, gb = x.T @ (np.pad(g, ((0, 0), (0, 1))) / norms) + decay * w, g.sum(0)
             t += 1
             m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             c1, c2 = 1 - 0.9**t, 1 - 0.99**t
             w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
             b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-            n += len(lang)
+            n += int(keep.sum())
 
         for batch in batches:
             rest += zip(batch.column(0).to_pylist(), (LANGUAGES.index(k) for k in batch.column(1).to_pylist()))
@@ -248,7 +282,7 @@ def train_further(texts: DataFrame, start: Model, pages: dict[str, int], rate: f
         if rest:
             step(rest)
         if n:
-            sums = np.concatenate([(w * n).ravel(), b * n, right, [total, n]]).astype(np.float64)
+            sums = np.concatenate([(w[:, :BITS] * n).ravel(), b * n, right, [total, n]]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
     found = texts.select("text", "label").filter("label is not null").mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r[0])))

@@ -1,9 +1,12 @@
 """Blocks, main content, spam, residue and languages of pages."""
 
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwright.llm import blocks as B, catalog, clauses as C, density as D, language as L, pages as P, residue as R
@@ -238,6 +241,51 @@ def test_outputs_do_not_depend_on_the_batch():
     assert np.allclose(whole, L.features(texts) @ model.weights + model.bias, atol=1e-3)
 
 
+def test_keys_words_and_letters_are_those_of_the_plain_patterns():
+    """The fast ways give what the definitions do, for any sign."""
+    pick = random.Random(5)
+    signs = "aZé߀ßİΣσςﬁ²Ⅷ٣_- '’.,—“”»。、ーカ漢字ё\u0301\u200b\u00a0\u3000\x1c\x00\t\n\ud800😀09[](/)"
+    texts = ["", " ", "ΑΣ ΟΔΟΣ.", "[a b](/c) d_e", *("".join(pick.choices(signs, k=pick.randint(1, 40))) for _ in range(3000)), *("".join(pick.choices("ab '-1._\x1c", k=12)) for _ in range(500))]
+    for t in texts:
+        key = re.sub(r"[\W_]+", "", t.lower())
+        assert D.text_key(t) == (D._signed(xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))) or 4 if key else 0)
+        assert L.clean(t) == " ".join(re.sub(r"[^\w\s]|[\d_]", " ", B.LINK.sub(" ", t)).lower().split())
+        cjk = re.findall(r"[぀-ヿ㐀-鿿]", t)
+        assert L.words_of(t) == len(cjk) / 2 + len(B.WORD.findall(re.sub(r"[぀-ヿ㐀-鿿]", " ", t)))
+        assert B.cjk_chars(t) == len(cjk)
+
+
+def test_counts_of_texts_need_the_room_of_few():
+    """Outputs of many texts are computed in the room of SOME rows, and each row is the counts of its text's n-grams."""
+    texts = [f"{x} the garden and the house" * (k % 9) for k, x in enumerate(["", "größe", "家", "дом"] * 64)]
+    model = L.train(["the house and the garden"] * 3 + ["das haus und der garten"] * 3, ["en"] * 3 + ["de"] * 3)
+    tracemalloc.start()
+    model.outputs(texts[:100])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 64 * L.BUCKETS * 4
+    x, norms = L.counts(texts)
+    for t, row, norm in zip(texts, x, norms):
+        once = np.bincount(L.grams([t])[0].ravel(), minlength=L.BUCKETS)
+        assert (row == once).all() and np.isclose(norm[0], max(np.linalg.norm(once), 1e-9))
+
+
+def test_furniture_is_looked_for_only_where_it_decides(monkeypatch):
+    """Blocks that the html's tree has decided on aren't searched for cues, and the bodies are those of the whole check."""
+    many = [f"{EN} Number {i} of the list is kept in the reading room." for i in range(30)]
+    html = f"<html><body><div class='y'><h1>A title</h1>{''.join(f'<p>{x}</p>' for x in many)}</div><div class='x'><p>Tell a neighbour</p></div></body></html>"
+    md = "\n\n".join(["# A title", *many, "Tell a neighbour", "We use cookies to count visits."])
+    searched, has, checked = [], B._has, B.checked
+    monkeypatch.setattr(B, "_has", lambda low, cues: searched.append(low) or has(low, cues))
+    assert [b.no for b in B.body_blocks(md, None, D.html_marks(html))] == list(range(31))
+    assert set(searched) == {"we use cookies to count visits."}
+    pages = [(md, html), (PAGE, html), (PAGE, None), *((PAGE.replace(EN, x), HTML.format(odd=ODD, menu="<li>a</li>", one=x, two=EN, three=ODD)) for x in many)]
+    pages += [(f"## Related articles\n\n- [One](/a/x)\n\n{md}\n\n## Most read this week\n\n{many[3]}\n\nOne\nTwo", html)]
+    some = [[b.no for b in B.body_blocks(m, "https://www.zorro-shop.example/a", D.html_marks(h))] for m, h in pages]
+    monkeypatch.setattr(B, "checked", lambda blocks, url=None, asked=None: checked(blocks, url))
+    assert some == [[b.no for b in B.body_blocks(m, "https://www.zorro-shop.example/a", D.html_marks(h))] for m, h in pages]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     es = "El taller apoya una garantía más larga para toda la familia cerca del pueblo. Con mucho cuidado, nuestro equipo describe las verduras de temporada según lo que sabemos."
